@@ -64,3 +64,114 @@ def windows_min(values: np.ndarray, width: int) -> np.ndarray:
         out = np.minimum(out[:-step], out[step:])
         have += step
     return out
+
+
+_WHITE = np.zeros(256, bool)
+_WHITE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes outside words: ASCII white space, or every ASCII byte that is neither a digit nor a lower-case letter.
+SPACES = _WHITE
+MARKS = np.array([b < 0x30 or 0x39 < b < 0x61 or 0x7A < b < 0x80 for b in range(256)])
+
+_FOLD = np.frombuffer(LOWER_ASCII, np.uint8)
+_BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers_to(n: int) -> list[np.ndarray]:
+    """The first ``n`` powers of the hash base and of its inverse modulo 2^64."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((_BASE, _INVERSE)):
+            steps = np.full(n, base, np.uint64)
+            steps[0] = 1
+            _powers[k] = np.cumprod(steps)
+    return [p[:n] for p in _powers]
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    """Spread 64-bit values over all bits."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+class Words:
+    """The words of a column of texts, all at once, without a Python object for each.
+
+    ``data`` are the bytes of all texts in a row (A-Z lowered unless ``fold`` is
+    false), ``start`` and ``end`` delimit the words in it, ``first`` has for
+    each text the number of words before it, and the total at its end.  Null
+    texts have no words.
+    """
+
+    def __init__(self, column: pa.Array, outside: np.ndarray = SPACES, fold: bool = True):
+        if column.null_count:
+            column = column.fill_null("")
+        column = column.cast(pa.large_binary())
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        self.offsets = offsets - offsets[0]
+        self.data = _FOLD[raw] if fold else raw
+        inside = ~outside[self.data]
+        if len(self.data):
+            before = np.empty_like(inside)
+            before[0], before[1:] = False, inside[:-1]
+            edges = self.offsets[:-1][self.offsets[:-1] < len(self.data)]
+            before[edges] = False
+            after = np.empty_like(inside)
+            after[-1], after[:-1] = False, inside[1:]
+            after[edges[edges > 0] - 1] = False
+            self.start = np.flatnonzero(inside & ~before)
+            self.end = np.flatnonzero(inside & ~after) + 1
+        else:
+            self.start = self.end = np.empty(0, np.int64)
+        self.first = np.searchsorted(self.start, self.offsets)
+
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash of each word's bytes; the same in every process."""
+        up, down = _powers_to(len(self.data) + 1)
+        total = np.zeros(len(self.data) + 1, np.uint64)
+        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
+        return mix((total[self.end] - total[self.start]) * down[self.start])
+
+    def text_of(self) -> np.ndarray:
+        """For each word the number of its text."""
+        return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+
+
+def runs_hash(h: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of ``width`` consecutive values (none if there are fewer), by doubling."""
+    if len(h) < width:
+        return np.empty(0, np.uint64)
+    n, out, done, power, have = len(h) - width + 1, None, 0, h, 1
+    while True:
+        if width & have:
+            part = power[done : done + n]
+            out = part if out is None else out * np.uint64(pow(_BASE, have, 1 << 64)) + part
+            done += have
+        if 2 * have > width:
+            return mix(out)
+        power = power[:-have] * np.uint64(pow(_BASE, have, 1 << 64)) + power[have:]
+        have *= 2
+
+
+def fraction_of_rows(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """About ``rows`` rows of ``df`` (all, if there are fewer), chosen by a hash of the columns ``by``; for fitting only."""
+    from pyspark.sql import functions as F
+
+    n = df.count()
+    if n <= rows:
+        return df
+    return df.where(F.abs(F.xxhash64(*by) % 1_000_003) < int(1_000_003 * rows / n))
+
+
+def held_out(id_col: str = "doc_id"):
+    """Whether a row is kept out of learning: crc32 of the id as text leaves 2 when divided by 4; false for null ids."""
+    from pyspark.sql import functions as F
+
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sum of ``values`` between consecutive places of ``first``, 0 where they are equal."""
+    total = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)])
+    return total[first[1:]] - total[first[:-1]]
