@@ -30,12 +30,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str = "stage", path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 
     This cuts lineage: a lost executor costs a reread, never a recomputation.
     """
-    path = scratch_path(df.sparkSession, name)
+    path = path or scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -77,7 +77,7 @@ _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _powers_to(n: int) -> list[np.ndarray]:
+def powers_to(n: int) -> list[np.ndarray]:
     """The first ``n`` powers of the hash base and of its inverse modulo 2^64."""
     if len(_powers[0]) < n:
         for k, base in enumerate((_BASE, _INVERSE)):
@@ -128,7 +128,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes; the same in every process."""
-        up, down = _powers_to(len(self.data) + 1)
+        up, down = powers_to(len(self.data) + 1)
         total = np.zeros(len(self.data) + 1, np.uint64)
         np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
         return mix((total[self.end] - total[self.start]) * down[self.start])

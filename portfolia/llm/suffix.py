@@ -3,10 +3,11 @@
 A suffix is retained where its first ``GRAM`` words have the smallest hash of
 any such run in a window of words, so equal passages retain the same suffixes.
 Windows are chosen so that every passage of ``passage`` words retains one.
-Retained suffixes are sorted by their first words and compared with their
-neighbours; those that agree with one are extended to the left and to the
-right, over every passage of ``passage`` words that holds the retained start.
-Extended passages are grouped by their words, and of equal ones the first stays.
+A passage belongs to the leftmost smallest start in it, so the passages of one
+retained suffix are a stretch of the text.  Suffixes that begin alike are
+brought together and compared by stretch: equal stretches are repeats as they
+stand; where stretches of one suffix differ, one of each is extended to the
+left and to the right over its passages, and these are compared.
 
 A word is *repeated* if it stands in a passage of ``passage`` words that a
 document with a smaller doc_id has too, or the same document further left.
@@ -23,88 +24,139 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portfolia.llm.common import Words, runs_hash, small_batches, stage, windows_min
+from portfolia.llm.common import Words, drop_path, mix, powers_to, runs_hash, scratch_path, small_batches, stage, windows_min
 
 PASSAGE, GRAM = 50, 12
 
 
-def _retained(words: Words, passage: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each passage: its first word's number and its retained suffix's; and the hashes of all runs of ``gram`` words."""
-    runs = runs_hash(words.hashes(), gram)
-    if len(words.start) < passage:
-        return np.empty(0, np.int64), np.empty(0, np.int64), runs
-    # The smallest hash of the window; its place in the low bits makes the leftmost of equals win.
-    low = np.uint64((1 << 28) - 1)
-    least = windows_min((runs & ~low) | np.arange(len(runs), dtype=np.uint64), passage - gram + 1)
-    last = words.first[1:][words.text_of()][: len(least)]
-    start = np.flatnonzero(np.arange(len(least)) + passage <= last)
-    return start, (least[start] & low).astype(np.int64), runs
+class Stretches:
+    """The passages of texts by retained suffix: consecutive passages that have one suffix are a stretch.
+
+    ``start`` is the first passage's first word, ``n`` the number of passages,
+    ``doc`` the text, ``suffix`` and ``whole`` hashes of the suffix's first words
+    and of all words of the stretch.
+    """
+
+    def __init__(self, column: pa.Array, passage: int, gram: int):
+        self.words = words = Words(column)
+        self.hashes = words.hashes()
+        runs = runs_hash(self.hashes, gram)
+        if len(runs) < passage - gram + 1:
+            self.start = self.n = self.doc = np.empty(0, np.int64)
+            self.suffix = self.whole = np.empty(0, np.uint64)
+            return
+        # The smallest hash of the window; its place in the low bits makes the leftmost of equals win.
+        low = np.uint64((1 << 28) - 1)
+        least = windows_min((runs & ~low) | np.arange(len(runs), dtype=np.uint64), passage - gram + 1)
+        doc = words.text_of()
+        first = np.flatnonzero(np.arange(len(least)) + passage <= words.first[1:][doc][: len(least)])
+        at = (least[first] & low).astype(np.int64)
+        new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (doc[first[1:]] != doc[first[:-1]])])[: len(at)])
+        self.start = first[new]
+        self.n = np.diff(np.append(new, len(first)))
+        self.doc = doc[self.start]
+        self.suffix = runs[at[new]]
+        up, down = powers_to(len(self.hashes) + 1)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.hashes * up[:-1], dtype=np.uint64)])
+        self.whole = mix((total[self.start + self.n - 1 + passage] - total[self.start]) * down[self.start])
+
+    def place(self, of: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Numbers of words within their texts."""
+        return (of - self.words.first[doc]).astype(np.int32)
+
+
+def _again(doc: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Whether an equal row stands before in the same text; rows come in the order of the text."""
+    by = np.lexsort([np.arange(len(doc)), *keys, doc])
+    same = np.ones(max(0, len(by) - 1), bool)
+    for key in (doc, *keys):
+        same &= key[by[1:]] == key[by[:-1]]
+    out = np.zeros(len(doc), bool)
+    out[by[1:]] = same
+    return out
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return docs.select("doc_id", F.hash("text").alias("text_hash"), "text")
 
 
 def _same_row(left: DataFrame, right: DataFrame) -> F.Column:
     return left["doc_id"].eqNullSafe(right["_id"]) & (left["text_hash"] == right["_hash"])
 
 
+def _earlier(rows: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """For each key that several documents have, the smallest doc_id; and the rows of other documents with it."""
+    firsts = rows.groupBy(*by).agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"), F.bool_or(F.col("doc_id").isNull()).alias("no_id"))
+    firsts = firsts.where("first_doc_id < last or (no_id and first_doc_id is not null)").select(*by, "first_doc_id")
+    return firsts, rows.join(firsts, by).where("doc_id > first_doc_id or doc_id is null")
+
+
 def repeats(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> DataFrame:
     """Runs of repeated words: doc_id, text_hash, start_word, end_word, first_doc_id.
 
-    A run ends where the next word is not repeated or the document that has it
-    first is another; ``first_doc_id`` is the smallest doc_id with the run's
-    passages, the run's own if an earlier place in the document has them.
-    ``text_hash`` is the text's XXH64.  Rows that share a doc_id are versions of
-    one document, and what only they share is no repeat; a null doc_id is the
-    largest.  Null texts and texts of fewer than ``passage`` words have no
-    passages, an empty table gives no rows, other columns are not read.
+    A run ends where the next word is not repeated or another document is named
+    for it; ``first_doc_id`` is a document with a smaller doc_id that has the
+    run's passages, the smallest that has the stretches or passages they were
+    found by, and the run's own if an earlier place in the document has them.
+    ``text_hash`` is Spark's hash of the text.  Rows that share a doc_id are
+    versions of one document, and what only they share is no repeat; a null
+    doc_id is the largest.  Null texts and texts of fewer than ``passage`` words
+    have no passages, an empty table gives no rows, other columns are not read.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = _rows(docs).where("text is not null")
+    spark = docs.sparkSession
 
-    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, limit=2 << 20):
-            words = Words(batch.column("text"))
-            _, at, runs = _retained(words, passage, gram)
-            kept = np.unique(at)
-            doc = words.text_of()[kept]
-            place = (kept - words.first[doc]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), batch.column("text_hash").take(pa.array(doc)), pa.array(runs[kept].view(np.int64)), pa.array(place)], names=["doc_id", "text_hash", "suffix", "place"])
-
-    retained = stage(rows.mapInArrow(suffixes, f"doc_id {kind}, text_hash long, suffix long, place int"), "suffixes")
+            s = Stretches(batch.column("text"), passage, gram)
+            doc = pa.array(s.doc)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(doc), batch.column("text_hash").take(doc), pa.array(s.suffix.view(np.int64)), pa.array(s.whole.view(np.int64)), pa.array(s.place(s.start, s.doc)), pa.array(s.n.astype(np.int32)), pa.array(_again(s.doc, s.suffix, s.whole))],
+                names=["doc_id", "text_hash", "suffix", "whole", "start", "n", "again"],
+            )
+
+    path = scratch_path(spark, "stretches")
+    retained = stage(rows.mapInArrow(stretches, f"doc_id {kind}, text_hash int, suffix long, whole long, start int, n int, again boolean"), path=path)
     # A suffix whose first words no other place has can't begin a repeat.
-    own = F.xxhash64("doc_id", "text_hash", "place")
-    shared = retained.groupBy("suffix").agg(F.min(own).alias("low"), F.max(own).alias("high")).where("low <> high").select("suffix")
-    wanted = retained.join(shared, "suffix", "left_semi").groupBy("doc_id", "text_hash").agg(F.collect_set("place").alias("places"))
+    frequent = retained.groupBy("suffix").count().where("count > 1").select("suffix")
+    shared = stage(retained.join(frequent, "suffix", "left_semi"), "shared-stretches")
+    drop_path(spark, path)
+    end = (F.col("start") + F.col("n") + (passage - 1)).alias("end")
+    own = F.col("doc_id").alias("first_doc_id")
+    known = shared.where("again").select("doc_id", "text_hash", "start", end, own)
+    _, later = _earlier(shared.where("not again"), ["suffix", "whole"])
+    known = known.union(later.select("doc_id", "text_hash", "start", end, "first_doc_id"))
+
+    # Where stretches of a suffix differ, the first of each is compared by passage.
+    kinds = shared.groupBy("suffix", "whole").agg(F.min("doc_id").alias("_first"))
+    differ = kinds.groupBy("suffix").count().where("count > 1").select("suffix")
+    firsts = kinds.join(differ, "suffix", "left_semi")
+    open_ = shared.where("not again").join(firsts, ["suffix", "whole"]).where(F.col("doc_id").eqNullSafe(F.col("_first")))
+    wanted = open_.groupBy("doc_id", "text_hash").agg(F.collect_set("start").alias("starts"))
     wanted = wanted.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"}).hint("shuffle_hash")
-    texts = rows.join(wanted, _same_row(rows, wanted)).select("doc_id", "text_hash", "text", "places")
+    texts = rows.join(wanted, _same_row(rows, wanted)).select("doc_id", "text_hash", "text", "starts")
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, limit=1 << 20):
-            words = Words(batch.column("text"))
-            start, at, runs = _retained(words, passage, gram)
-            lists = batch.column("places")
-            wanted_at = lists.flatten().to_numpy() + np.repeat(words.first[:-1], lists.value_lengths().to_numpy())
-            good = np.isin(at, wanted_at)
-            start, at = start[good], at[good]
-            whole, check = runs_hash(words.hashes(), passage)[start], runs[at].astype(np.uint32)
-            doc = words.text_of()[start]
-            by = np.lexsort([start, whole, doc])
-            again = np.zeros(len(start), bool)
-            again[by[1:]] = (whole[by[1:]] == whole[by[:-1]]) & (doc[by[1:]] == doc[by[:-1]])
-            place = (start - words.first[doc]).astype(np.int32)
+            s = Stretches(batch.column("text"), passage, gram)
+            lists = batch.column("starts")
+            good = np.isin(s.start, lists.flatten().to_numpy() + np.repeat(s.words.first[:-1], lists.value_lengths().to_numpy()))
+            n = s.n[good]
+            at = np.repeat(s.start[good] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            doc = np.repeat(s.doc[good], n)
+            whole = runs_hash(s.hashes, passage)[at] if len(at) else np.empty(0, np.uint64)
+            check = np.repeat(s.suffix[good], n).astype(np.uint32)  # with the hash of the whole, 96 bits
+            index = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(doc)), batch.column("text_hash").take(pa.array(doc)), pa.array(whole.view(np.int64)), pa.array(check.view(np.int32)), pa.array(place), pa.array(again)],
-                names=["doc_id", "text_hash", "passage", "check", "place", "again"],
+                [batch.column("doc_id").take(index), batch.column("text_hash").take(index), pa.array(whole.view(np.int64)), pa.array(check.view(np.int32)), pa.array(s.place(at, doc)), pa.array(_again(doc, whole, check))],
+                names=["doc_id", "text_hash", "passage", "check", "start", "again"],
             )
 
-    extended = stage(texts.mapInArrow(passages, f"doc_id {kind}, text_hash long, passage long, check int, place int, again boolean"), "passages")
-    news = extended.where("not again").drop("again")
-    firsts = news.groupBy("passage", "check").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"), F.bool_or(F.col("doc_id").isNull()).alias("no_id"))
-    firsts = firsts.where("first_doc_id < last or (no_id and first_doc_id is not null)").select("passage", "check", "first_doc_id")
-    later = news.join(firsts, ["passage", "check"]).where("doc_id > first_doc_id or doc_id is null").select("doc_id", "text_hash", "place", "first_doc_id")
-    hits = later.union(extended.where("again").select("doc_id", "text_hash", "place", F.col("doc_id").alias("first_doc_id")))
+    extended = stage(texts.mapInArrow(passages, f"doc_id {kind}, text_hash int, passage long, check int, start int, again boolean"), "passages")
+    _, later = _earlier(extended.where("not again").drop("again"), ["passage", "check"])
+    end = (F.col("start") + passage).alias("end")
+    hits = known.union(later.select("doc_id", "text_hash", "start", end, "first_doc_id")).union(extended.where("again").select("doc_id", "text_hash", "start", end, own))
 
     def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by document and place; the last run is held until its document goes on or ends."""
@@ -117,8 +169,11 @@ def repeats(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> DataFr
             doc, source = code("doc_id"), code("first_doc_id")
             text, start, end = (rows.column(c).to_numpy() for c in names[1:4])
             same = (doc[1:] == doc[:-1]) & (text[1:] == text[:-1])
-            new = np.flatnonzero(np.concatenate([[True], ~(same & (source[1:] == source[:-1]) & (start[1:] <= end[:-1]))]))
-            final = end[np.append(new[1:] - 1, len(end) - 1)]
+            # The furthest end so far within each document: ends of later documents are set off above all before.
+            far = np.concatenate([[0], np.cumsum(~same)]) * (int(end.max()) + 1)
+            reach = np.maximum.accumulate(end + far) - far
+            new = np.flatnonzero(np.concatenate([[True], ~(same & (source[1:] == source[:-1]) & (start[1:] <= reach[:-1]))]))
+            final = reach[np.append(new[1:] - 1, len(end) - 1)].astype(np.int32)
             begin = start[new].copy()
             begin[1:] = np.where(same[new[1:] - 1], np.maximum(begin[1:], final[:-1]), begin[1:])
             at, good = pa.array(new), begin < final
@@ -128,16 +183,15 @@ def repeats(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> DataFr
         for batch in batches:
             if not batch.num_rows:
                 continue
-            place = batch.column("place").to_numpy()
-            now = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(place), pa.array((place + passage).astype(np.int32)), batch.column("first_doc_id")], names=names)
+            now = pa.RecordBatch.from_arrays(batch.columns, names=names)
             done = merged(pa.Table.from_batches([b for b in (held, now) if b is not None]))
             held = done.slice(done.num_rows - 1)
             yield done.slice(0, done.num_rows - 1)
         if held is not None:
             yield held
 
-    sorted_hits = hits.repartition("doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash", "place", "first_doc_id")
-    return sorted_hits.mapInArrow(runs_of, f"doc_id {kind}, text_hash long, start_word int, end_word int, first_doc_id {kind}")
+    sorted_hits = hits.repartition("doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash", "start", F.desc("end"), "first_doc_id")
+    return sorted_hits.mapInArrow(runs_of, f"doc_id {kind}, text_hash int, start_word int, end_word int, first_doc_id {kind}")
 
 
 def remove_repeats(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> DataFrame:
@@ -167,7 +221,7 @@ def remove_repeats(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) ->
                 out.append(b"\n".join(p for p in pieces if p).decode())
             yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(out, pa.string()))
 
-    marked = docs.withColumn("text_hash", F.xxhash64("text"))
+    marked = docs.withColumn("text_hash", F.hash("text"))
     joined = marked.join(runs, _same_row(marked, runs), "left").select(*docs.columns, "_runs")
     done = joined.mapInArrow(cut, joined.schema).where("_runs is null or text <> ''")
     if "n_chars" in docs.columns:
