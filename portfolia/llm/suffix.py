@@ -87,7 +87,7 @@ def _same_row(left: DataFrame, right: DataFrame) -> F.Column:
 def _earlier(rows: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
     """For each key that several documents have, the smallest doc_id; and the rows of other documents with it."""
     firsts = rows.groupBy(*by).agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"), F.bool_or(F.col("doc_id").isNull()).alias("no_id"))
-    firsts = firsts.where("first_doc_id < last or (no_id and first_doc_id is not null)").select(*by, "first_doc_id")
+    firsts = stage(firsts.where("first_doc_id < last or (no_id and first_doc_id is not null)").select(*by, "first_doc_id"), "first-documents")
     return firsts, rows.join(firsts, by).where("doc_id > first_doc_id or doc_id is null")
 
 
@@ -119,7 +119,8 @@ def repeats(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> DataFr
     path = scratch_path(spark, "stretches")
     retained = stage(rows.mapInArrow(stretches, f"doc_id {kind}, text_hash int, suffix long, whole long, start int, n int, again boolean"), path=path)
     # A suffix whose first words no other place has can't begin a repeat.
-    frequent = retained.groupBy("suffix").count().where("count > 1").select("suffix")
+    # (The written table leaves the join free to split a frequent suffix over tasks.)
+    frequent = stage(retained.groupBy("suffix").count().where("count > 1").select("suffix"), "frequent-suffixes")
     shared = stage(retained.join(frequent, "suffix", "left_semi"), "shared-stretches")
     drop_path(spark, path)
     end = (F.col("start") + F.col("n") + (passage - 1)).alias("end")
