@@ -12,26 +12,28 @@ of the left and the right chunk agree, which is at the nearest white space.
 from __future__ import annotations
 
 import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portfolia.llm.common import small_batches
+from portfolia.llm.common import FOLD, Words, small_batches
 
-#: Entries of the word cache and bytes of the chunk cache of one Python worker.
-WORD_CACHE, CHUNK_CACHE = 600_000, 48 << 20
+#: Entries of the cache of word parts and bytes of the chunk cache of one Python worker.
+PART_CACHE, CHUNK_CACHE = 1_500_000, 48 << 20
 #: A cut follows a byte whose hash has this many zero bits: chunks of 512 bytes on average.
 CUT_BITS = 9
 
 _SPACES = [b" ", b"\t", b"\n", b"\r", b"\x0b", b"\x0c"]
 _SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
-#: Lower-case words of letters that NFC leaves alone, with trailing ASCII marks of one kind of pre-token.
-_PLAIN = re.compile(r"([a-zßàáâäçèéêëìíîïñòóôöùúûüœ]*)([.,!?;:\"()\[\]%*#&$|\-]*)")
+#: Letters of parts that NFC leaves alone (with the bytes of their UTF-8 form), and ASCII marks of one kind of pre-token.
+_PLAIN_LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâäçèéêëìíîïñòóôöùúûü"
+_MARKS = b".,!?;:\"()[]%*#&$|-"
+_IS_MARK = np.isin(np.arange(256), list(_MARKS))
+_IS_ASCII_LETTER = np.array([97 <= b <= 122 or 65 <= b <= 90 for b in range(256)])
+_IS_SECOND = np.isin(np.arange(256), [c.encode()[1] for c in _PLAIN_LETTERS if ord(c) > 127])
 
 
 def default_tokenizer() -> str:
@@ -58,66 +60,115 @@ class Encoder:
         self.tokenizer.no_padding()
         self.mask = np.uint32(((1 << cut_bits) - 1) << 12)
         self.gear = np.random.default_rng(17).integers(0, 1 << 32, 256, dtype=np.uint32)
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.forget()
         self.chunks: dict[bytes, tuple[bytes, bytes | None, bytes]] = {}
         self.chunk_bytes = 0
         self.letters = _byte_letters()
         self.names = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
-        #: The shortcut below is checked against the library before it is used.
+        #: The shortcut for plain parts is checked against the library before it is used.
         self.shortcut = False
-        probe = ["Strasse,", "élan", "a", "...", "der.", "L'", "naïve!!", "x" * 40, "don't", "ÉTÉ.", "|", "(of)"]
+        probe = ["Strasse,", "élan", "a", "...", "der.", "L'", "naïve!!", "x" * 40, "don't", "ÉTÉ.", "|", "(of)", "Of-course", "%%%"]
         whole = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in probe]
         self.shortcut = True
         self.shortcut = whole == [np.frombuffer(self._word(w.encode()), np.int32).tolist() for w in probe]
-        self.words.clear()
-
-    def _learn(self, unseen: list[str]) -> None:
-        """Put the ids of runs without ASCII white space, as bytes of int32, into the word cache."""
-        if len(self.words) > WORD_CACHE:
-            self.words.clear()
-        if len(self.parts) > WORD_CACHE:
-            self.parts.clear()
-        words, parts, letters, tokenize = self.words, self.parts, self.letters, self.tokenizer.model.tokenize
-        for word in unseen:
-            plain = _PLAIN.fullmatch(word.lower()) if self.shortcut else None
-            if plain is None:
-                words[word] = array("i", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-                continue
-            got = b""
-            for part in plain.groups():
-                if part:
-                    ids = parts.get(part)
-                    if ids is None:
-                        mapped = part if part.isascii() else part.encode().decode("latin-1").translate(letters)
-                        ids = parts[part] = array("i", [t.id for t in tokenize(mapped)]).tobytes()
-                    got += ids
-            words[word] = got
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the cache: sorted keys with the place and number of their ids, old ones and those learned lately."""
+        self.known = [(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))] * 2
+        self.ids, self.used = np.empty(1 << 16, np.int32), 0
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place and number of ids of each key; place -1 if it is not known."""
+        place, n = np.full(len(keys), -1), np.zeros(len(keys), np.int64)
+        for have, where, many in self.known:
+            if len(have):
+                at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+                good = have[at] == keys
+                place[good], n[good] = where[at[good]], many[at[good]]
+        return place, n
+
+    def _learn(self, keys: np.ndarray, parts: list[bytes], plain: np.ndarray) -> None:
+        """Tokenize parts that are not known: plain ones by the model alone, others by the whole library."""
+        letters, tokenize, out = self.letters, self.tokenizer.model.tokenize, []
+        for part, short in zip(parts, plain.tolist(), strict=True):
+            if short:
+                out.append([t.id for t in tokenize(part.decode() if part.isascii() else part.decode("latin-1").translate(letters))])
+            else:
+                out.append(self.tokenizer.encode(part.decode(), add_special_tokens=False).ids)
+        n = np.fromiter(map(len, out), np.int64, len(out))
+        flat = np.fromiter((x for ids in out for x in ids), np.int32, n.sum())
+        if self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.empty(self.used + 2 * len(flat), np.int32)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        fresh = (keys, self.used + np.cumsum(n) - n, n)
+        self.used += len(flat)
+        old, lately = self.known
+        lately = self._sorted(lately, fresh)
+        if len(lately[0]) > max(50_000, len(old[0]) // 3):
+            old, lately = self._sorted(old, lately), tuple(x[:0] for x in lately)
+        self.known = [old, lately]
+
+    @staticmethod
+    def _sorted(*tables: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+        joined = [np.concatenate(x) for x in zip(*tables, strict=True)]
+        by = np.argsort(joined[0])
+        return tuple(x[by] for x in joined)
 
     def _word(self, word: bytes) -> bytes:
-        text = word.decode()
-        if text not in self.words:
-            self._learn([text])
-        return self.words[text]
+        return self.runs([word])[0].tobytes()
+
+    def _parts(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end, plainness and word of each word's parts: letters and the marks after them, or the word as it is."""
+        data, start, end = words.data, words.start, words.end
+        core = end.copy()
+        if self.shortcut:
+            live = np.arange(len(end))
+            while len(live):  # marks at the end
+                live = live[(core[live] > start[live]) & _IS_MARK[data[np.maximum(core[live] - 1, 0)]]]
+                core[live] -= 1
+            fits = _IS_ASCII_LETTER[data]
+            if len(data) > 1:
+                pair = (data[:-1] == 0xC3) & _IS_SECOND[data[1:]]
+                fits[:-1] |= pair
+                fits[1:] |= pair
+            strange = np.concatenate([[0], np.cumsum(~fits)])
+            plain = strange[core] == strange[start]
+        else:
+            plain = np.zeros(len(start), bool)
+        core = np.where(plain, core, end)
+        both = np.column_stack([start, core]).ravel(), np.column_stack([core, end]).ravel()
+        some = both[1] > both[0]
+        return both[0][some], both[1][some], np.repeat(plain, 2)[some], np.repeat(np.arange(len(start)), 2)[some]
 
     def runs(self, data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all of ``data`` in a row, and where each one's ids start and end; each must begin and end as words do."""
-        lists = pc.ascii_split_whitespace(pa.array(data, pa.string()))
-        coded = lists.flatten().dictionary_encode()
-        unique = coded.dictionary.to_pylist()
-        get = self.words.get
-        ids = [get(w) for w in unique]
-        self._learn([w for w, got in zip(unique, ids, strict=True) if got is None])
-        get = self.words.get
-        for at in [i for i, got in enumerate(ids) if got is None]:
-            ids[at] = get(unique[at])
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), np.int32)
-        which = coded.indices.to_numpy()
-        n = size[which]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        shift = (np.cumsum(size) - size)[which] - ends[:-1]
-        return flat[np.arange(ends[-1]) + np.repeat(shift, n)], ends[lists.offsets.to_numpy()]
+        if len(self.known[0][0]) + len(self.known[1][0]) > PART_CACHE:
+            self.forget()
+        words = Words(pa.array(data, pa.binary()), fold=False)
+        raw = words.data
+        start, end, plain, word = self._parts(words)
+        # Plain parts are the same in either case; others have keys of their own.
+        words.data = FOLD[raw]
+        words.start, words.end = start, end
+        keys = words.hashes()
+        if not plain.all():
+            words.data = raw
+            words.start, words.end = start[~plain], end[~plain]
+            keys[~plain] = words.hashes() ^ np.uint64(0x5DEECE66D1CE4E5B)
+        unique, first, back = np.unique(keys, return_index=True, return_inverse=True)
+        place, n = self._find(unique)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            folded = FOLD[raw].tobytes()
+            exact, short = raw.tobytes(), plain[first[new]]
+            parts = [(folded if s else exact)[a:b] for a, b, s in zip(start[first[new]].tolist(), end[first[new]].tolist(), short.tolist(), strict=True)]
+            self._learn(unique[new], parts, short)
+            place[new], n[new] = self._find(unique[new])
+        size = n[back]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        flat = self.ids[np.arange(ends[-1]) + np.repeat(place[back] - ends[:-1], size)]
+        return flat, ends[np.searchsorted(word, words.first)]
 
     def cuts(self, data: bytes) -> list[int]:
         """Where the chunks of ``data`` end: a gear hash over 8 bytes, by doubling."""

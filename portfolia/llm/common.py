@@ -72,7 +72,7 @@ _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 SPACES = _WHITE
 MARKS = np.array([b < 0x30 or 0x39 < b < 0x61 or 0x7A < b < 0x80 for b in range(256)])
 
-_FOLD = np.frombuffer(LOWER_ASCII, np.uint8)
+FOLD = np.frombuffer(LOWER_ASCII, np.uint8)
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -110,7 +110,7 @@ class Words:
         offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
         raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
         self.offsets = offsets - offsets[0]
-        self.data = _FOLD[raw] if fold else raw
+        self.data = FOLD[raw] if fold else raw
         inside = ~outside[self.data]
         if len(self.data):
             before = np.empty_like(inside)

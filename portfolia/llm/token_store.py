@@ -2,8 +2,9 @@
 
 Layout of a store, all Parquet:
 
-* ``chunks/``  - ``digest`` (SHA-256 of the payload), ``n`` and ``payload`` (ids
-  as little-endian unsigned 32-bit integers); each distinct chunk once.
+* ``chunks/``  - ``digest`` (SHA-256 of the payload), ``n`` and ``payload`` (n ids
+  as little-endian unsigned integers of 16 bits if all fit, else of 32); each
+  distinct chunk once.
 * ``recipes/`` - one row per document in ascending doc_id order: ``doc_id``,
   ``start`` (ids of all documents before it), ``n_tokens``, ``digests``,
   ``sizes`` and ``root``, the Merkle root of the digests.
@@ -48,6 +49,15 @@ def chunk_ends(ids: np.ndarray) -> np.ndarray:
     return ends
 
 
+def pack(ids: np.ndarray) -> bytes:
+    return ids.astype("<u2" if ids.max(initial=0) < 1 << 16 else "<u4").tobytes()
+
+
+def unpack(payload: bytes, n: int) -> np.ndarray:
+    """The ids as unsigned 32-bit integers."""
+    return np.frombuffer(payload, "<u2" if len(payload) == 2 * n else "<u4").astype("<u4")
+
+
 def merkle_root(leaves: list[bytes]) -> bytes:
     """Root of the binary hash tree; an odd node moves up; no leaf: the hash of nothing."""
     level = leaves or [hashlib.sha256(b"").digest()]
@@ -81,7 +91,7 @@ def write_store(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | No
                 ends = chunk_ends(ids).tolist()
                 digests = []
                 for a, b in zip([0, *ends], ends):
-                    payload = ids[a:b].tobytes()
+                    payload = pack(ids[a:b])
                     digests.append(digest := hashlib.sha256(payload).digest())
                     if digest not in sent:
                         sent.add(digest)
@@ -128,6 +138,7 @@ def write_store(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | No
     chunks = kept.filter("is_chunk = 1").select(F.col("hash").alias("digest"), F.col("n").cast("int").alias("n"), "payload")
     chunks = chunks.repartition(F.col("digest")).sortWithinPartitions("digest").mapInArrow(first_of_each, chunks.schema)
     chunks.write.option("compression", "zstd").parquet(f"{path}/chunks")
+    drop_path(spark, f"{raw}/is_chunk=1")
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     recipes = kept.filter("is_chunk = 0").select("doc_id", "tie", "n", "digests", "sizes", F.col("hash").alias("root"))
@@ -185,11 +196,11 @@ def read_documents(spark: SparkSession, path: str, id_type="bigint") -> DataFram
     """The documents put together again: doc_id, start, n_tokens, ids (array of int)."""
     pieces = read_recipes(spark, path, id_type).select("doc_id", "start", "n_tokens", F.posexplode("digests").alias("k", "digest"))
     joined = pieces.join(read_chunks(spark, path), "digest")
-    whole = joined.groupBy("doc_id", "start", "n_tokens").agg(F.sort_array(F.collect_list(F.struct("k", "payload"))).alias("parts"))
+    whole = joined.groupBy("doc_id", "start", "n_tokens").agg(F.sort_array(F.collect_list(F.struct("k", "n", "payload"))).alias("parts"))
 
     def glue(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [np.frombuffer(b"".join(p["payload"] for p in parts), "<u4").astype(np.int32) for parts in batch.column("parts").to_pylist()]
+            ids = [np.concatenate([unpack(p["payload"], p["n"]) for p in parts]).astype(np.int32) for parts in batch.column("parts").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "start", "n_tokens", "ids"])
 
     return whole.mapInArrow(glue, f"doc_id {whole.schema['doc_id'].dataType.simpleString()}, start long, n_tokens long, ids array<int>")
@@ -254,17 +265,17 @@ def read_digests(spark: SparkSession, path: str, id_type="bigint") -> DataFrame:
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            payloads = batch.column("payload").to_pylist()
+            payloads, sizes = batch.column("payload").to_pylist(), batch.column("n").to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([hashlib.sha256(p).digest() for p in payloads], pa.binary()),
-                    pa.array([len(p) // 4 for p in payloads], pa.int32()),
-                    pa.array([zlib.crc32(p) for p in payloads], pa.int64()),
+                    pa.array([n if len(p) in (2 * n, 4 * n) else -1 for p, n in zip(payloads, sizes, strict=True)], pa.int32()),
+                    pa.array([zlib.crc32(unpack(p, n).tobytes()) for p, n in zip(payloads, sizes, strict=True)], pa.int64()),
                 ],
                 names=["digest", "found_n", "crc"],
             )
 
-    chunks = spark.read.schema("digest binary, n int, payload binary").parquet(f"{path}/chunks").select("payload").mapInArrow(checked, "digest binary, found_n int, crc long")
+    chunks = spark.read.schema("digest binary, n int, payload binary").parquet(f"{path}/chunks").select("n", "payload").mapInArrow(checked, "digest binary, found_n int, crc long")
     recipes = read_recipes(spark, path, id_type)
     pieces = recipes.select("start", F.posexplode("digests").alias("k", "digest"))
     found = pieces.join(chunks, "digest").groupBy("start").agg(F.sort_array(F.collect_list(F.struct("k", "crc", "found_n", "digest"))).alias("found"))
