@@ -15,7 +15,8 @@ dropped, and runs of single letters count as one word, so that ``i-d i o t``
 stays near.  Since the map and the machine are linear in the subsequences, a
 word's value is a sum over its subsequences of one learned table.
 
-Fitted on about ``ROWS`` labelled rows of each label.
+Fitted on about ``ROWS`` labelled rows of each label, on the ``CANDIDATES`` words
+of them that mark toxic rows best, and on about ``CLEAN`` words of clean rows.
 """
 
 from __future__ import annotations
@@ -28,9 +29,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portfolia.llm.common import SPACES, Words, fraction_of_rows, held_out, small_batches
+from portfolia.llm.common import SPACES, Words, fraction_of_rows, held_out, small_batches, stage
 
 ROWS, LANDMARKS, CUT = 3_000, 160, 0.3
+CANDIDATES, CLEAN = 3_000, 40_000
 DECAY = 0.6
 #: Places of the second and third letter after the first.
 SPANS = [(a, b) for b in range(2, 5) for a in range(1, b)]
@@ -130,33 +132,35 @@ def train(landmarks: list[str], positive: list[str], weights: np.ndarray, negati
         new = np.linalg.solve(flat + (rows * cost_of[:, None]).T @ rows, rows.T @ (cost_of * y[inside]))
         if np.abs(new - w).max() < 1e-6:
             break
-        w = 0.5 * w + 0.5 * new if inside.all() is False else new
+        w = new
     return table @ (root @ w[:-1]), float(w[-1])
 
 
-def cover(words: list[list[str]], against: dict[str, int], limit: int) -> dict[str, int]:
+def cover(rows: list[list[str]], against: dict[str, int], limit: int) -> dict[str, int]:
     """Words that mark the toxic rows: greedily the one in most rows not yet marked, less the clean rows that have it."""
     where: dict[str, set[int]] = {}
-    for k, row in enumerate(words):
+    for k, row in enumerate(rows):
         for w in row:
             where.setdefault(w, set()).add(k)
-    left, chosen = set(range(len(words))), {}
-    gain = {w: len(rows) for w, rows in where.items()}
-    while left and len(chosen) < limit:
-        w = max(gain, key=lambda w: (gain[w] - 3 * against.get(w, 0), w), default=None)
-        if w is None or gain[w] - 3 * against.get(w, 0) < 2:
+    chosen: dict[str, int] = {}
+    gain = {w: len(have) - 3 * against.get(w, 0) for w, have in where.items()}
+    marked: set[int] = set()
+    while gain and len(chosen) < limit:
+        w = max(gain, key=lambda w: (gain[w], w))
+        if gain.pop(w) < 2:
             break
-        chosen[w] = gain.pop(w)
-        for k in where[w] & left:
-            for other in words[k]:
+        fresh = where[w] - marked
+        chosen[w] = len(fresh)
+        for k in fresh:
+            for other in rows[k]:
                 if other in gain:
                     gain[other] -= 1
-        left -= where[w]
+        marked |= fresh
     return chosen
 
 
 def _learning_words(rows: DataFrame) -> DataFrame:
-    """label and the distinct words of each row."""
+    """label, row number and the distinct words of each row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, limit=2 << 20):
@@ -166,9 +170,9 @@ def _learning_words(rows: DataFrame) -> DataFrame:
             for d, a, b in zip(letters.doc.tolist(), letters.start.tolist(), letters.end.tolist(), strict=True):
                 if b - a <= 30:
                     out[d].add(data[a:b].decode(errors="ignore"))
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([sorted(s) for s in out], pa.list_(pa.string()))], names=["label", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("row"), pa.array([sorted(s) for s in out], pa.list_(pa.string()))], names=["label", "row", "words"])
 
-    return rows.mapInArrow(work, "label int, words array<string>")
+    return rows.select("label", "row", "text").mapInArrow(work, "label int, row long, words array<string>").select("label", "row", F.explode("words").alias("word"))
 
 
 def score_documents(column: pa.Array, table: np.ndarray, bias: float) -> np.ndarray:
@@ -182,6 +186,46 @@ def score_documents(column: pa.Array, table: np.ndarray, bias: float) -> np.ndar
     return out
 
 
+def fit(learned: DataFrame) -> tuple[np.ndarray, float, float, float]:
+    """Table, bias, scale and shift learned from rows with label and text; scale 0 if no word marks toxic rows."""
+    words = stage(_learning_words(learned), "toxicity-words")
+    gain = F.sum("label") - 3 * F.sum(1 - F.col("label"))
+    counted = words.groupBy("word").agg(F.sum(1 - F.col("label")).alias("clean"), gain.alias("gain"))
+    best = counted.where("gain >= 2").orderBy(F.desc("gain"), "word").limit(CANDIDATES)
+    against = {r["word"]: r["clean"] for r in best.collect()}
+    rows: dict[int, list[str]] = {}
+    for r in words.where("label = 1").join(F.broadcast(best.select("word")), "word").select("row", "word").orderBy("row", "word").collect():
+        rows.setdefault(r["row"], []).append(r["word"])
+    marks = cover(list(rows.values()), against, LANDMARKS)
+    if not marks:
+        return np.zeros(CODES), -1.0, 0.0, -1e3
+    clean = fraction_of_rows(counted.where("clean > 0").select("word"), CLEAN, "word")
+    pool = sorted(r["word"] for r in clean.collect()) or ["aaa"]
+    positive, weights = list(marks), np.array(list(marks.values()), float) + 1
+    easy = negative = [pool[k] for k in np.random.default_rng(9).choice(len(pool), min(len(pool), 10_000), replace=False)]
+    coded = _as_letters(pool)
+    for _ in range(3):
+        table, bias = train(positive, positive, weights, negative)
+        hard = np.argsort(-word_values(*coded, table), kind="stable")[:2000]
+        negative = easy + [pool[k] for k in hard] * 3
+    return table, bias, 4.0, 0.0
+
+
+def calibrate(learned: DataFrame, table: np.ndarray, bias: float, scale: float, cut: float) -> float:
+    """The shift that puts the threshold with the highest F1 on the learning rows at ``cut``."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, limit=2 << 20):
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(score_documents(batch.column("text"), table, bias))], names=["label", "value"])
+
+    got = learned.select("label", "text").mapInArrow(work, "label int, value double").toPandas().sort_values("value", kind="stable")
+    value, y = got["value"].to_numpy(), got["label"].to_numpy(float)
+    right = np.append(np.cumsum(y[::-1])[::-1], 0)  # toxic rows from each place on
+    at = int(np.argmax(2 * right / np.maximum(len(y) - np.arange(len(y) + 1) + y.sum(), 1)))
+    threshold = (value[at] + value[max(0, at - 1)]) / 2 if at < len(value) else value[-1] + 1
+    return float(np.log(cut / (1 - cut)) - scale * threshold)
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, cut: float = CUT, rows: int = ROWS) -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted (score >= cut) for each row of ``docs``.
 
@@ -195,35 +239,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, cut: float = CUT, rows: i
     known = labels.where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("label")).where(~held_out() & F.col("doc_id").isNotNull())
     some = fraction_of_rows(known.where("label = 1"), rows, "doc_id").union(fraction_of_rows(known.where("label = 0"), rows, "doc_id"))
     learned = docs.select("doc_id", "text").join(some, "doc_id").where("text is not null").select("text", "label").dropDuplicates(["text"])
-    gathered = _learning_words(learned).toPandas()
-    toxic = [list(w) for w in gathered["words"][gathered["label"] == 1]]
-    clean = [list(w) for w in gathered["words"][gathered["label"] == 0]]
-    against: dict[str, int] = {}
-    for row in clean:
-        for w in row:
-            against[w] = against.get(w, 0) + 1
-    marks = cover(toxic, against, LANDMARKS)
-    table, bias, scale, shift = np.zeros(CODES), -1.0, 0.0, -1e3
-    if marks:
-        positive, weights = list(marks), np.array(list(marks.values()), float)
-        pool = sorted(against)
-        draw = np.random.default_rng(9)
-        easy = [pool[k] for k in draw.choice(len(pool), min(len(pool), 20_000), replace=False)] if pool else ["aaa"]
-        negative = easy
-        for _ in range(3):
-            table, bias = train(positive, positive, weights, negative)
-            value = word_values(*_as_letters(pool or ["aaa"]), table) + bias
-            hard = [(pool or ["aaa"])[k] for k in np.argsort(-value, kind="stable")[:2000]]
-            negative = easy + hard * 3
-        best = [max(word_values(*_as_letters(w), table) + bias, default=-1.0) if w else -1.0 for w in toxic + clean]
-        order = np.sort(np.array(best))
-        y = np.append(np.ones(len(toxic)), np.zeros(len(clean)))[np.argsort(best, kind="stable")]
-        right = np.append(np.cumsum(y[::-1])[::-1], 0)  # toxic rows at or above each place
-        f1 = 2 * right / (len(y) - np.arange(len(y) + 1) + y.sum())
-        at = int(np.argmax(f1))
-        threshold = (order[at] + order[max(0, at - 1)]) / 2 if at < len(order) else order[-1] + 1
-        scale = 4.0
-        shift = np.log(cut / (1 - cut)) - scale * threshold
+    learned = stage(learned.withColumn("row", F.monotonically_increasing_id()), "toxicity-rows")
+    table, bias, scale, shift = fit(learned)
+    if scale:
+        shift = calibrate(learned, table, bias, scale, cut)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, limit=2 << 20):
