@@ -196,9 +196,9 @@ class Encoder:
             self.chunks[chunk] = (chunk[: at[0]], ids, chunk[at[1] + 1 :]) if at else (chunk, None, b"")
             self.chunk_bytes += len(chunk) + len(ids) + 300
 
-    def _join(self, chunks: list[bytes]) -> bytes:
-        """Ids of consecutive chunks; the bytes around each cut are encoded again, to the nearest white space."""
-        out: list[bytes] = []
+    def _join(self, chunks: list[bytes], joins: list[bytes]) -> list[bytes | None]:
+        """Ids of consecutive chunks; None stands for the bytes around a cut, up to the nearest white space, added to ``joins``."""
+        out: list[bytes | None] = []
         between = b""
         for chunk in chunks:
             head, body, tail = self.chunks[chunk]
@@ -206,12 +206,14 @@ class Encoder:
             if body is None:
                 continue
             if between:
-                out.append(self._word(between))
+                joins.append(between)
+                out.append(None)
             out.append(body)
             between = tail
         if between:
-            out.append(self._word(between))
-        return b"".join(out)
+            joins.append(between)
+            out.append(None)
+        return out
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
         """All ids of each text, int32; none for null."""
@@ -224,7 +226,18 @@ class Encoder:
             self.chunks.clear()
             self.chunk_bytes = 0
         self._learn_chunks(list({c for chunks in cut for c in chunks if c not in self.chunks}))
-        return [np.frombuffer(self._join(chunks), np.int32) for chunks in cut]
+        joins: list[bytes] = []
+        parts = [self._join(chunks, joins) for chunks in cut]
+        flat, at = self.runs(joins)  # encoded again over the joined bytes
+        flat, at = flat.tobytes(), iter((4 * at).tolist())
+        last, out = next(at), []
+        for part in parts:
+            for k, ids in enumerate(part):
+                if ids is None:
+                    start, last = last, next(at)
+                    part[k] = flat[start:last]
+            out.append(np.frombuffer(b"".join(part), np.int32))
+        return out
 
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_all([text])[0]
