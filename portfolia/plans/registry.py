@@ -1,9 +1,37 @@
-"""All queries over the driver's tables, and the SQL that they are checked against."""
+"""All queries over the test tables, and the SQL that they are checked against."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def oracle_sql() -> dict:
-    return {}
+from portfolia.sources.bindings import SQL, Tables
+
+_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str):
+    """Register a function of ``Tables`` by its name; ``sql`` follows the common table expressions of the domain."""
+
+    def keep(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        _QUERIES[f.__name__] = f
+        _SQL[f.__name__] = f"WITH RECURSIVE {SQL.strip()}{sql if sql.lstrip().startswith(',') else ' ' + sql}"
+        return f
+
+    return keep
+
+
+def _load() -> None:
+    from portfolia.operators import integrity, planning, portfolio, quality, views  # noqa: F401
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
+    return {name: (lambda spark, sf_dir, f=f: f(Tables(spark, sf_dir))) for name, f in _QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return dict(_SQL)
