@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portfolia.llm.common import FOLD, Words, small_batches
+from portfolia.llm.common import FOLD, Words, bound_batches, forget_others, small_batches, worker_cache
 
 #: Entries of the cache of word parts and bytes of the chunk cache of one Python worker.
-PART_CACHE, CHUNK_CACHE = 1_500_000, 48 << 20
+PART_CACHE, CHUNK_CACHE = 1_000_000, 24 << 20
 #: A cut follows a byte whose hash has this many zero bits: chunks of 512 bytes on average.
 CUT_BITS = 9
 
@@ -250,11 +250,12 @@ class Encoder:
         return " ".join([names[i] for i in ids.tolist() if 0 <= i < len(names)])
 
 
-_encoders: dict[tuple[str, int], Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = worker_cache()
 
 
 def encoder(path: str, cut_bits: int = CUT_BITS) -> Encoder:
     """The encoder of this Python worker, with its caches."""
+    forget_others(_encoders)
     if (path, cut_bits) not in _encoders:
         _encoders[path, cut_bits] = Encoder(path, cut_bits)
     return _encoders[path, cut_bits]
@@ -268,10 +269,11 @@ def encode_decode(docs: DataFrame, tokenizer: str | None = None, id_col: str = "
     is no shuffle: each task encodes the rows that it scans.
     """
     path = tokenizer or default_tokenizer()
+    bound_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for batch in small_batches(batches, limit=2 << 20):
+        for batch in small_batches(batches, limit=1 << 19):
             ids = enc.encode_all(batch.column("text").to_pylist())
             offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             flat = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32())

@@ -46,7 +46,34 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+#: Rows of an Arrow batch at most: texts are long, and a batch is in memory several times in the JVM and in Python.
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let the session send ``BATCH_ROWS`` rows to Python at once; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+_caches: list[dict] = []
+
+
+def worker_cache() -> dict:
+    """A cache that lives as long as a Python worker and its operator's turn in it."""
+    _caches.append({})
+    return _caches[-1]
+
+
+def forget_others(own: dict | None = None) -> None:
+    """Empty what other operators have left in this worker."""
+    for cache in _caches:
+        if cache is not own:
+            cache.clear()
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches that hold about ``limit`` bytes of text each, so that results stay small too."""
     for batch in batches:
         column = batch.column(text)

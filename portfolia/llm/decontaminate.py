@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portfolia.llm.common import MARKS, Words, small_batches
+from portfolia.llm.common import MARKS, Words, bound_batches, forget_others, small_batches
 
 WIDTH, SHINGLE, BLOCK = 13, 3, 400_000
 
@@ -111,7 +111,8 @@ class Windows:
 
 def _batches(batches: Iterator[pa.RecordBatch], windows: Windows) -> Iterator[tuple[pa.RecordBatch, Words, np.ndarray]]:
     """Batches with their words; a separator that no window has stands between the documents' numbers."""
-    for batch in small_batches(batches, limit=2 << 20):
+    forget_others()
+    for batch in small_batches(batches, limit=1 << 19):
         words = Words(batch.column("text"), MARKS)
         ids = np.full(len(words.start) + batch.num_rows, -1, np.int64)
         ids[np.arange(len(words.start)) + words.text_of()] = windows.numbers(words.hashes())
@@ -196,8 +197,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_words:
     ``docs`` may have any name (these three are replaced).
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     names = [c for c in docs.columns if c not in ("n_words", "hits", "items")]
-    kept = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)])
+    kept = F.struct(F.lit(0).alias("c"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names) if c != "text"])  # texts are sent once
     rows = docs.select(kept.alias("row"), "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:int,end:int>>").alias("hits"), F.array().cast("array<string>").alias("items"))
     passes = 0
     for windows in _blocks(benchmark, width, block_words):
@@ -205,7 +207,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_words:
         rows, passes = _scan(rows, spark.sparkContext.broadcast(windows)), passes + 1
     if not passes:  # the words are counted all the same
         rows = _scan(rows, spark.sparkContext.broadcast(Windows([], width)))
-    return rows.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(names)], "n_words", "hits", "items")
+    return rows.select(*["text" if c == "text" else F.col(f"row.c{k}").alias(c) for k, c in enumerate(names)], "n_words", "hits", "items")
 
 
 def _n_hit() -> F.Column:

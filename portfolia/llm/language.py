@@ -21,14 +21,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portfolia.llm.common import Words, held_out, mix, small_batches, sums
+from portfolia.llm.common import Words, bound_batches, forget_others, held_out, mix, small_batches, sums, worker_cache
 
 PER_LANGUAGE, ROUNDS = 600, 3
 #: Bytes of a word that are segmented together; longer words are cut.  Longest piece that is used.
 WORD, PIECE = 40, 12
 #: Probability of a byte that no piece covers, and what unseen pieces get in counts.
 BYTE, UNSEEN = 1e-7, 0.01
-CACHE = 400_000
+CACHE = 250_000
 
 _OUTSIDE = np.array([b < 0x61 or 0x7A < b < 0x80 for b in range(256)])
 _B, _INV = np.uint64(0x9E3779B97F4A7C15), pow(0x9E3779B97F4A7C15, -1, 1 << 64)
@@ -79,7 +79,7 @@ class Lattice:
         if crowd.any():
             at[crowd] = np.minimum(np.searchsorted(self.keys, h[crowd]), len(self.keys) - 1)
         good = (at >= 0) & (self.keys[at] == h)
-        return np.where(good, self.by[at], -1)
+        return np.where(good, self.by[at], -1).astype(np.int32)
 
     def edges(self, letters: np.ndarray) -> list[list[tuple[int, np.ndarray]]]:
         """For each end (from 1): (length, piece numbers) of the pieces that end there, for words of one length."""
@@ -165,8 +165,8 @@ class Scorer:
         got = np.empty((len(new), self.p.shape[1]))
         for n in np.unique(size):
             own = np.flatnonzero(size == n)
-            for a in range(0, len(own), 20_000):
-                part = own[a : a + 20_000]
+            for a in range(0, len(own), 5_000):
+                part = own[a : a + 5_000]
                 got[part] = self.lattice.likelihood(_letters(words.data, start[first[new[part]]], n), self.p)
         at[new] = len(self.scores) + np.arange(len(new))
         self.rows.update(zip(h[new].tolist(), at[new].tolist(), strict=True))
@@ -175,7 +175,7 @@ class Scorer:
         return sums(self.scores[at[back]], parts_before), np.diff(words.first) > 0
 
 
-_scorers: dict[str, Scorer] = {}
+_scorers: dict[str, Scorer] = worker_cache()
 
 
 def fit(docs: DataFrame, pieces: list[bytes], per_language: int = PER_LANGUAGE, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
@@ -196,8 +196,9 @@ def fit(docs: DataFrame, pieces: list[bytes], per_language: int = PER_LANGUAGE,
 
         def expect(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
             pieces, langs = model.value
+            forget_others()
             lattice, total = Lattice(pieces), np.zeros((len(pieces), len(langs)))
-            for batch in small_batches(batches, limit=1 << 20):
+            for batch in small_batches(batches, limit=1 << 19):
                 words, which, start, end = _split(batch.column("text"))
                 lang = np.searchsorted(langs, batch.column("lang").to_pylist())[words.text_of()[which]]
                 h, first, back = np.unique(_part_hash(words.data, start, end), return_index=True, return_inverse=True)
@@ -206,8 +207,8 @@ def fit(docs: DataFrame, pieces: list[bytes], per_language: int = PER_LANGUAGE,
                 size = (end - start)[first]
                 for n in np.unique(size):
                     own = np.flatnonzero(size == n)
-                    for a in range(0, len(own), 10_000):
-                        part = own[a : a + 10_000]
+                    for a in range(0, len(own), 4_000):
+                        part = own[a : a + 4_000]
                         lattice.likelihood(_letters(words.data, start[first[part]], n), now.value, weight[part], total)
             piece, which = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(which), pa.array(total[piece, which])], names=["piece", "lang", "n"])
@@ -231,6 +232,7 @@ def identify(docs: DataFrame, vocabulary: str | None = None, keep: tuple[str, ..
     none.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     pieces = read_pieces(vocabulary or default_vocabulary())
     learn = docs.where(~held_out() & F.col("doc_id").isNotNull())
     langs, p = fit(learn, pieces, per_language)
@@ -239,12 +241,13 @@ def identify(docs: DataFrame, vocabulary: str | None = None, keep: tuple[str, ..
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, langs, p = model.value
+        forget_others(_scorers)
         if tag not in _scorers:
             _scorers.clear()
             _scorers[tag] = Scorer(Lattice(pieces), p)
         scorer = _scorers[tag]
-        for batch in small_batches(batches, "_text", 2 << 20):
-            column = batch.column("_text").fill_null("")
+        for batch in small_batches(batches, "row" if inside else "_text", 1 << 19):
+            column = (batch.column("row").field(keep.index("text")) if inside else batch.column("_text")).fill_null("")
             like, lettered = scorer.of(column)
             ascii_letter = pc.match_substring_regex(column, "[A-Za-z]").to_numpy(zero_copy_only=False)
             for at in np.flatnonzero(lettered & ~ascii_letter):
@@ -257,7 +260,8 @@ def identify(docs: DataFrame, vocabulary: str | None = None, keep: tuple[str, ..
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(names, pa.string()), pa.array(np.where(lettered, share, 0.0))], names=["row", "lang_pred", "score"])
 
     row = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)], held_out().alias("held_out"))
-    rows = docs.select(row.alias("row"), F.col("text").alias("_text"))
+    inside = "text" in keep  # then texts are sent once
+    rows = docs.select(row.alias("row"), *[] if inside else [F.col("text").alias("_text")])
     found = rows.mapInArrow(work, rows.select("row").schema.add("lang_pred", "string").add("score", "double"))
     return found.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(keep)], "row.held_out", "lang_pred", "score")
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portfolia.llm.common import LOWER_ASCII, small_batches, stage
+from portfolia.llm.common import LOWER_ASCII, bound_batches, forget_others, small_batches, stage
 from portfolia.llm.components import connected_components
 
 #: Fingerprints that the thresholds are estimated on, rows of a bucket before it is split, and how often it is.
@@ -49,7 +49,10 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """One row per row of ``docs``: the id and ``fp``, the fingerprint as a long.  No shuffle."""
 
+    bound_batches(docs.sparkSession)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         for batch in small_batches(batches):
             got = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(got.view(np.int64))], names=["id", "fp"])

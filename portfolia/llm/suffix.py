@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portfolia.llm.common import Words, drop_path, mix, powers_to, runs_hash, scratch_path, small_batches, stage, windows_min
+from portfolia.llm.common import Words, bound_batches, drop_path, forget_others, mix, powers_to, runs_hash, scratch_path, small_batches, stage, windows_min
 
 PASSAGE, GRAM = 50, 12
 
@@ -106,9 +106,11 @@ def repeats(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> DataFr
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = _rows(docs).where("text is not null")
     spark = docs.sparkSession
+    bound_batches(spark)
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, limit=2 << 20):
+        forget_others()
+        for batch in small_batches(batches, limit=1 << 19):
             s = Stretches(batch.column("text"), passage, gram)
             doc = pa.array(s.doc)
             yield pa.RecordBatch.from_arrays(
@@ -139,7 +141,7 @@ def repeats(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> DataFr
     texts = rows.join(wanted, _same_row(rows, wanted)).select("doc_id", "text_hash", "text", "starts")
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, limit=1 << 20):
+        for batch in small_batches(batches, limit=1 << 19):
             s = Stretches(batch.column("text"), passage, gram)
             lists = batch.column("starts")
             good = np.isin(s.start, lists.flatten().to_numpy() + np.repeat(s.words.first[:-1], lists.value_lengths().to_numpy()))

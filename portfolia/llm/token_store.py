@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from portfolia.llm.bpe import default_tokenizer, encoder
-from portfolia.llm.common import drop_path, scratch_path, small_batches
+from portfolia.llm.common import bound_batches, drop_path, scratch_path, small_batches
 
 #: Chunks have 256 ids on average and 2,048 at most.
 CUT_BITS, LONGEST = 8, 2048
@@ -76,6 +76,7 @@ def write_store(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | No
     """
     spark = docs.sparkSession
     tokenizer = tokenizer or default_tokenizer()
+    bound_batches(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     raw = scratch_path(spark, "token-store")
 
@@ -83,7 +84,7 @@ def write_store(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | No
         """A recipe for each document, and each chunk that this task has not sent lately."""
         enc = encoder(tokenizer)
         sent: set[bytes] = set()
-        for batch in small_batches(batches, limit=4 << 20):
+        for batch in small_batches(batches, limit=1 << 19):
             flat, at = enc.runs([(t or "").encode() for t in batch.column("text").to_pylist()])
             recipes, chunks = [], []
             for k in range(batch.num_rows):

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portfolia.llm.common import SPACES, Words, fraction_of_rows, held_out, small_batches, stage
+from portfolia.llm.common import SPACES, Words, bound_batches, fraction_of_rows, held_out, small_batches, stage
 
 ROWS, LANDMARKS, CUT = 3_000, 160, 0.3
 CANDIDATES, CLEAN = 3_000, 40_000
@@ -163,7 +163,7 @@ def _learning_words(rows: DataFrame) -> DataFrame:
     """label, row number and the distinct words of each row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, limit=2 << 20):
+        for batch in small_batches(batches, limit=1 << 19):
             letters = Letters(batch.column("text"))
             out: list[set[str]] = [set() for _ in range(batch.num_rows)]
             data = letters.data.tobytes()
@@ -215,7 +215,7 @@ def calibrate(learned: DataFrame, table: np.ndarray, bias: float, scale: float,
     """The shift that puts the threshold with the highest F1 on the learning rows at ``cut``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, limit=2 << 20):
+        for batch in small_batches(batches, limit=1 << 19):
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(score_documents(batch.column("text"), table, bias))], names=["label", "value"])
 
     got = learned.select("label", "text").mapInArrow(work, "label int, value double").toPandas().sort_values("value", kind="stable")
@@ -235,6 +235,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, cut: float = CUT, rows: i
     count as empty; they are scored too.  Repeated rows get a row each, an empty
     table none; other columns are not read.
     """
+    bound_batches(docs.sparkSession)
     kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}"
     known = labels.where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("label")).where(~held_out() & F.col("doc_id").isNotNull())
     some = fraction_of_rows(known.where("label = 1"), rows, "doc_id").union(fraction_of_rows(known.where("label = 0"), rows, "doc_id"))
@@ -245,7 +246,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, cut: float = CUT, rows: i
         shift = calibrate(learned, table, bias, scale, cut)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, limit=2 << 20):
+        for batch in small_batches(batches, limit=1 << 19):
             value = score_documents(batch.column("text"), table, bias)
             score = 1 / (1 + np.exp(-np.clip(scale * value + shift, -500, 500)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score)], names=["doc_id", "held_out", "score"])
