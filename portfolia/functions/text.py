@@ -45,6 +45,16 @@ def item_text(texts: pd.Series) -> pd.Series:
     return texts.map(clean)
 
 
+#: Names of units in sheets.
+UNITS = {"un": "UN", "unidade": "UN", "serv": "SERV", "serviço": "SERV", "us": "US", "unidade e serviço": "US"}
+
+
+def unit_code(cell: Column) -> Column:
+    """The unit that a cell names, in any case and with outer spaces; null if it names none."""
+    names = F.create_map(*[F.lit(x) for pair in UNITS.items() for x in pair])
+    return F.try_element_at(names, F.lower(F.trim(item_text(cell))))
+
+
 def project_code(cell: Column) -> Column:
     found = F.regexp_extract(F.trim(cell), PROJECT_CODE, 0)
     return F.when(found != "", found)
