@@ -12,7 +12,7 @@ from portfolia.plans.registry import query
 from portfolia.sources.bindings import PLAN_STATUSES, PROJECT_STATUSES, Tables, count_of
 
 #: How a plan version may change, and who may change it so.
-TRANSITIONS = [("draft", "submit", "pending_approval", "editor"), ("pending_approval", "return", "draft", "approver"), ("pending_approval", "approve", "approved", "approver"), ("approved", "lock", "locked", "approver"), ("locked", "archive", "archived", "admin"), ("approved", "reopen", "draft", "admin"), ("locked", "reopen", "draft", "admin")]
+TRANSITIONS = [("draft", "submit", "pending_approval", "editor"), ("pending_approval", "return", "draft", "approver"), ("pending_approval", "approve", "approved", "approver"), ("approved", "lock", "locked", "admin"), ("approved", "archive", "archived", "admin"), ("locked", "archive", "archived", "admin"), ("approved", "reopen", "draft", "admin"), ("locked", "reopen", "draft", "admin")]
 
 
 def violations(rows: DataFrame, key: str, checks: dict[str, Column]) -> DataFrame:
@@ -73,7 +73,7 @@ def attempts(t: Tables, rows: DataFrame) -> DataFrame:
 
 
 @query("""
-, tr(status, action, next_status, needs) AS (VALUES ('draft', 'submit', 'pending_approval', 'editor'), ('pending_approval', 'return', 'draft', 'approver'), ('pending_approval', 'approve', 'approved', 'approver'), ('approved', 'lock', 'locked', 'approver'), ('locked', 'archive', 'archived', 'admin'), ('approved', 'reopen', 'draft', 'admin'), ('locked', 'reopen', 'draft', 'admin')),
+, tr(status, action, next_status, needs) AS (VALUES ('draft', 'submit', 'pending_approval', 'editor'), ('pending_approval', 'return', 'draft', 'approver'), ('pending_approval', 'approve', 'approved', 'approver'), ('approved', 'lock', 'locked', 'admin'), ('approved', 'archive', 'archived', 'admin'), ('locked', 'archive', 'archived', 'admin'), ('approved', 'reopen', 'draft', 'admin'), ('locked', 'reopen', 'draft', 'admin')),
 asked AS (SELECT v.id AS plan_version_id, v.status, a.action, r.role FROM versions v, (SELECT DISTINCT action FROM tr) a, (VALUES ('editor'), ('approver'), ('admin')) r(role)),
 j AS (SELECT asked.*, next_status, CASE WHEN next_status IS NULL THEN 'invalid_transition' WHEN role <> 'admin' AND role <> needs THEN 'forbidden' ELSE 'done' END AS verdict FROM asked LEFT JOIN tr USING (status, action))
 SELECT plan_version_id, status, action, role, verdict, CASE WHEN verdict = 'done' THEN next_status END AS next_status FROM j""")
