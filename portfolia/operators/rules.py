@@ -277,9 +277,9 @@ def set_difference(expected: DataFrame, observed: DataFrame, name: str) -> DataF
 
 
 @query("""
-, a AS (SELECT item_code AS name FROM items WHERE id % 50 = 0 GROUP BY 1), b AS (SELECT item_code AS name, count(*) AS n FROM items WHERE id % 60 = 0 GROUP BY 1)
+, a AS (SELECT item_code AS name FROM items WHERE id % 997 = 0 GROUP BY 1), b AS (SELECT item_code AS name, count(*) AS n FROM items WHERE id % 1009 = 0 GROUP BY 1)
 SELECT name, CASE WHEN b.name IS NULL THEN 'missing' WHEN a.name IS NULL THEN 'unexpected' ELSE 'duplicate' END AS difference FROM a FULL JOIN b USING (name) WHERE b.name IS NULL OR a.name IS NULL OR n > 1""")
 def r9_set_difference(t: Tables) -> DataFrame:
     """Item codes of one slice of the items against those of another."""
     code = F.col("item_code").alias("name")
-    return set_difference(t.items.where("id % 50 = 0").select(code).distinct(), t.items.where("id % 60 = 0").select(code), "name")
+    return set_difference(t.items.where("id % 997 = 0").select(code).distinct(), t.items.where("id % 1009 = 0").select(code), "name")
