@@ -216,27 +216,40 @@ def v9_source_provenance(t: Tables) -> DataFrame:
     return t.cells.join(item, "project_item_id").join(t.projects.select(F.col("id").alias("project_id"), "project_code"), "project_id").join(line, "financial_plan_line_id", "left")
 
 
-@query("""
-, planned AS (SELECT currency_code, competence_month, sum(amount) AS x FROM lines JOIN projects p ON p.id = project_id WHERE NOT deleted AND plan_version_id = 3 GROUP BY ALL),
-realized AS (SELECT currency_code, date_trunc('month', competence_date)::DATE AS competence_month, sum(amount) AS y FROM actuals JOIN projects p ON p.id = project_id WHERE NOT deleted AND actuals.status = 'posted' AND metric_type = 'billing_actual' GROUP BY ALL),
-spine AS (SELECT currency_code, competence_month FROM planned UNION SELECT currency_code, competence_month FROM realized),
-both_ AS (SELECT currency_code, competence_month, coalesce(x, 0) AS x, coalesce(y, 0) AS y FROM spine LEFT JOIN planned USING (currency_code, competence_month) LEFT JOIN realized USING (currency_code, competence_month)),
-run AS (SELECT *, sum(x) OVER w AS cx, sum(y) OVER w AS cy, sum(x) OVER (PARTITION BY currency_code) AS tx FROM both_ WINDOW w AS (PARTITION BY currency_code ORDER BY competence_month))
-SELECT currency_code, competence_month, x::DECIMAL(20,2) AS planned_amount, y::DECIMAL(20,2) AS actual_amount, cx::DECIMAL(20,2) AS planned_cumulative, cy::DECIMAL(20,2) AS actual_cumulative, (cy - cx)::DECIMAL(20,2) AS variance,
-  CASE WHEN tx > 0 THEN round(cx::DOUBLE / tx::DOUBLE, 6) ELSE 0 END AS planned_share, CASE WHEN cx > 0 THEN round(cy::DOUBLE / cx::DOUBLE, 6) END AS adherence FROM run""")
-def v12_s_curve_variance(t: Tables) -> DataFrame:
+def _variance_sql(k: str) -> str:
+    return f"""
+, planned AS (SELECT {k}currency_code, competence_month, sum(amount) AS x FROM lines JOIN projects p ON p.id = project_id WHERE NOT deleted AND plan_version_id = 3 GROUP BY ALL),
+realized AS (SELECT {k}currency_code, date_trunc('month', competence_date)::DATE AS competence_month, sum(amount) AS y FROM actuals JOIN projects p ON p.id = project_id WHERE NOT deleted AND actuals.status = 'posted' AND metric_type = 'billing_actual' GROUP BY ALL),
+spine AS (SELECT {k}currency_code, competence_month FROM planned UNION SELECT {k}currency_code, competence_month FROM realized),
+both_ AS (SELECT {k}currency_code, competence_month, coalesce(x, 0) AS x, coalesce(y, 0) AS y FROM spine LEFT JOIN planned USING ({k}currency_code, competence_month) LEFT JOIN realized USING ({k}currency_code, competence_month)),
+run AS (SELECT *, sum(x) OVER w AS cx, sum(y) OVER w AS cy, sum(x) OVER (PARTITION BY {k}currency_code) AS tx FROM both_ WINDOW w AS (PARTITION BY {k}currency_code ORDER BY competence_month))
+SELECT {k}currency_code, competence_month, x::DECIMAL(20,2) AS planned_amount, y::DECIMAL(20,2) AS actual_amount, cx::DECIMAL(20,2) AS planned_cumulative, cy::DECIMAL(20,2) AS actual_cumulative, (cy - cx)::DECIMAL(20,2) AS variance,
+  CASE WHEN tx > 0 THEN round(cx::DOUBLE / tx::DOUBLE, 6) ELSE 0 END AS planned_share, CASE WHEN cx > 0 THEN round(cy::DOUBLE / cx::DOUBLE, 6) END AS adherence FROM run"""
+
+
+def variance(t: Tables, extra: list[str]) -> DataFrame:
     """Baseline against posted billing on a common spine of months; shares are 0, adherence is null without a base."""
-    by = ["currency_code", "competence_month"]
+    by = [*extra, "currency_code", "competence_month"]
     planned = planned_facts(t).where("plan_version_id = 3").groupBy(*by).agg(F.sum("amount").alias("x"))
     realized = actual_facts(t).where("actual_status = 'posted' and metric_type = 'billing_actual'").groupBy(*by).agg(F.sum("amount").alias("y"))
     joined = planned.join(realized, by, "full").select(*by, money(F.coalesce("x", F.lit(0))).alias("planned_amount"), money(F.coalesce("y", F.lit(0))).alias("actual_amount"))
-    whole = Window.partitionBy("currency_code")
+    whole = Window.partitionBy(*extra, "currency_code")
     w = whole.orderBy("competence_month").rangeBetween(Window.unboundedPreceding, 0)
     ratio = lambda a, b: F.round(F.col(a).cast("double") / F.col(b).cast("double"), 6)
     run = joined.withColumns({"planned_cumulative": money(F.sum("planned_amount").over(w)), "actual_cumulative": money(F.sum("actual_amount").over(w)), "total": money(F.sum("planned_amount").over(whole))})
     return run.withColumns({"variance": money(F.col("actual_cumulative") - F.col("planned_cumulative")), "planned_share": F.when(F.col("total") > 0, ratio("planned_cumulative", "total")).otherwise(0.0), "adherence": F.when(F.col("planned_cumulative") > 0, ratio("actual_cumulative", "planned_cumulative"))}).drop("total")
 
 
+@query(_variance_sql(""))
+def v12_s_curve_variance(t: Tables) -> DataFrame:
+    return variance(t, [])
+
+
+@query(_variance_sql("project_id, "))
+def v13_s_curve_project_variance(t: Tables) -> DataFrame:
+    return variance(t, ["project_id"])
+
+
 @query(_TOTALS_SQL + """
 SELECT id AS project_id, project_code, abs(coalesce(total, 0) - contract_value) > 0.01 AS has_value_difference, coalesce(bad, 0) AS incomplete_item_count
 FROM own LEFT JOIN (SELECT project_id, count(*) AS bad FROM items WHERE active AND NOT deleted AND description IS NULL GROUP BY project_id) b ON b.project_id = own.id""")
