@@ -13,6 +13,8 @@ expressions in one pass, without a shuffle.
 from __future__ import annotations
 
 import re
+from fractions import Fraction
+from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,6 +71,12 @@ def template_rows(templates: dict[str, list[str]] | None = None) -> list[tuple[s
     return [(name, bigrams_of(text)) for name in sorted(chosen) for text in chosen[name]]
 
 
+def _bounds(m: int, threshold: float) -> tuple[int, int]:
+    """The least and most bigrams that a piece can have to reach ``threshold`` with a template of ``m``, in exact arithmetic."""
+    t = Fraction(str(threshold))
+    return ceil(m * t / (2 - t)), floor(m * (2 - t) / t)
+
+
 def _words(piece: Column) -> Column:
     return F.filter(F.split(F.translate(piece, _UPPER, _LOWER), "[^a-z0-9]+"), lambda w: w != "")
 
@@ -87,23 +95,22 @@ def license_scan(docs: DataFrame, templates: dict[str, list[str]] | None = None,
     (null without a match).  Null and empty texts match nothing.  Repeated rows
     get a row each, an empty table none; other columns are not read.
     """
-    rows = [(name, grams) for name, grams in template_rows(templates) if grams]
-    sizes = sorted({len(g) for _, g in rows}) or [0]
-    least, most = sizes[0] * threshold / (2 - threshold), sizes[-1] * (2 - threshold) / threshold
-    known = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(len(grams)).alias("m"), F.array(*map(F.lit, grams)).alias("grams")) for name, grams in rows]) if rows else F.array().cast("array<struct<name:string,m:int,grams:array<string>>>")
+    rows = [(name, grams, *_bounds(len(grams), threshold)) for name, grams in template_rows(templates) if grams]
+    least, most = min((r[2] for r in rows), default=0), max((r[3] for r in rows), default=0)
+    known = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(len(grams)).alias("m"), F.lit(low).alias("low"), F.lit(high).alias("high"), F.array(*map(F.lit, grams)).alias("grams")) for name, grams, low, high in rows]) if rows else F.array().cast("array<struct<name:string,m:int,low:int,high:int,grams:array<string>>>")
     pieces = F.split(F.coalesce(text_col, F.lit("")), PIECE_END)
-    worded = F.filter(F.transform(pieces, _words), lambda w: (F.size(w) > least) & (F.size(w) >= 1))
+    worded = F.filter(F.transform(pieces, _words), lambda w: (F.size(w) > least) | ((F.size(w) == 1) & F.lit(least <= 1)))
     # A piece of w words has w - 1 bigrams at most; repetition lowers this, so only the lower bound prunes here.
     grams = F.filter(F.transform(worded, _bigrams), lambda g: (F.size(g) >= least) & (F.size(g) <= most))
 
     def matches(piece: Column) -> Column:
         n = F.size(piece)
-        near = F.filter(known, lambda t: (t["m"] * threshold <= n * (2 - threshold)) & (n * threshold <= t["m"] * (2 - threshold)))
+        near = F.filter(known, lambda t: (t["low"] <= n) & (n <= t["high"]))
         scored = F.transform(near, lambda t: F.struct((F.size(F.array_intersect(t["grams"], piece)) * 2.0 / (n + t["m"])).alias("dice"), t["name"].alias("name")))
         return F.filter(scored, lambda s: s["dice"] >= threshold)
 
     # Only pieces that share a bigram with some template are scored.
-    every = F.array(*map(F.lit, sorted({g for _, gs in rows for g in gs}))) if rows else F.array().cast("array<string>")
+    every = F.array(*map(F.lit, sorted({g for r in rows for g in r[1]}))) if rows else F.array().cast("array<string>")
     found = F.flatten(F.transform(F.filter(grams, lambda g: F.arrays_overlap(g, every)), matches))
     out = docs.select(F.col(id_col), found.alias("found"))
     ordered = F.array_sort(F.transform("found", lambda s: F.struct((-s["dice"]).alias("d"), s["name"].alias("name"))))

@@ -47,6 +47,17 @@ def test_size_bounds_lose_no_match(spark):
         assert got[k] == want
 
 
+def test_bounds_keep_what_just_reaches_the_threshold(spark):
+    shared = lambda n, k, own: " ".join(f"w{i}" for i in range(k + 1)) + "".join(f" {own}{i}" for i in range(n - k))
+    sizes = [(4, 6, 4), (3, 2, 2), (6, 4, 4), (6, 9, 6), (8, 12, 8), (2, 3, 2)]
+    for m, n, k in sizes:
+        rows = license.license_scan(make_docs(spark, [shared(n, k, "x"), shared(n + 1, k, "x")]), {"A": [shared(m, k, "y")]}).collect()
+        assert {r.doc_id: r.dice for r in rows} == {0: 0.8, 1: None}
+    docs = make_docs(spark, ["This is released under the MIT License."])
+    got = license.license_scan(docs).selectExpr("doc_id", "array_join(licenses, ',')", "best", "dice")
+    assert [tuple(r) for r in got.collect()] == duck(license.oracle(), documents=docs) == [(0, "MIT", "MIT", 0.8)]
+
+
 def slow_hits(text, items, width):
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
     words, hit, found = split(text), set(), set()
