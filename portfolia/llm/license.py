@@ -8,11 +8,17 @@ m * t <= n * (2 - t) and n * t <= m * (2 - t), so only templates within these
 size bounds are candidates, and pieces outside the bounds of all templates are
 dropped before their bigrams are built.  Everything runs as DataFrame
 expressions in one pass, without a shuffle.
+
+Notices that are wrapped, or have marks inside, are found in runs: consecutive
+pieces of a paragraph (lines without a word end one), as long as a template
+allows, are compared as one.  Texts without a word of ``_anchors`` can't match
+and are passed over.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from fractions import Fraction
 from math import ceil, floor
 
@@ -58,11 +64,19 @@ THRESHOLD = 0.8
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Ends of pieces: line breaks, and white space after the end of a sentence.
 PIECE_END = r"[\n\r]+|(?<=[.!?:;])[ \t]+"
+#: Ends of paragraphs: two line breaks without a letter or digit between.
+PARAGRAPH_END = r"(?>\r\n|\r|\n)[^A-Za-z0-9\r\n]*+(?:[\r\n][^A-Za-z0-9]*+)"
+#: Words that prose has often; a run is not looked for by them if others will do.
+COMMON = set("a all and any as at be but by conditions following for free from in including is it its may not of on or provided public software that the this to under use work with without you".split())
+
+
+def words_of(text: str) -> list[str]:
+    return [w for w in re.split(r"[^a-z0-9]+", text.translate(str.maketrans(_UPPER, _LOWER))) if w]
 
 
 def bigrams_of(text: str) -> list[str]:
     """The sorted distinct word bigrams of a normalised piece; of one word, the word alone."""
-    words = [w for w in re.split(r"[^a-z0-9]+", text.translate(str.maketrans(_UPPER, _LOWER))) if w]
+    words = words_of(text)
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])} or set(words))
 
 
@@ -77,6 +91,36 @@ def _bounds(m: int, threshold: float) -> tuple[int, int]:
     return ceil(m * t / (2 - t)), floor(m * (2 - t) / t)
 
 
+def _anchors(grams: list[str], threshold: float) -> set[str]:
+    """Words, one of which is in every piece that reaches ``threshold``: without them too few bigrams of the template are left."""
+    chosen: set[str] = set()
+    for word in sorted({w for g in grams for w in g.split()}, key=lambda w: (w in COMMON, -len(w), w)):
+        if sum(chosen.isdisjoint(g.split()) for g in grams) < max(1, _bounds(len(grams), threshold)[0]):
+            break
+        chosen.add(word)
+    return chosen
+
+
+def _heads(templates: dict[str, list[str]]) -> list[list[str]]:
+    """Words before a mark inside templates of several names, as of every SPDX line: alone they name no licence."""
+    names: dict[tuple[str, ...], set[str]] = {}
+    for name, texts in templates.items():
+        for text in texts:
+            for end in re.finditer(PIECE_END, text):
+                if words_of(text[end.end() :]):
+                    names.setdefault(tuple(words_of(text[: end.start()])), set()).add(name)
+    return sorted(list(head) for head, of in names.items() if head and len(of) > 1)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _strings(values: list[str] | set[str]) -> Column:
+    return F.array(*map(F.lit, sorted(values))).cast("array<string>")
+
+
 def _words(piece: Column) -> Column:
     return F.filter(F.split(F.translate(piece, _UPPER, _LOWER), "[^a-z0-9]+"), lambda w: w != "")
 
@@ -86,22 +130,47 @@ def _bigrams(words: Column) -> Column:
     return F.when(F.size(words) > 1, F.array_distinct(pairs)).otherwise(words)
 
 
+def _runs(text: Column, anchors: set[str], most: int) -> Column:
+    """Words of each run of two or more consecutive pieces of a paragraph, of ``most`` words at most and with an anchor."""
+    marked = F.translate(text, _UPPER + "|\u00b6", _LOWER + "  ")
+    for pattern, mark in ((PARAGRAPH_END, " \u00b6 "), (PIECE_END, " | "), ("[^a-z0-9|\u00b6]+", " "), (r" ?\|[ |]*", " | "), ("[ |]*\u00b6[ |\u00b6]*", " \u00b6 ")):
+        marked = F.regexp_replace(marked, pattern, mark)
+    limit = 2 * most  # between two words there is one mark at most
+
+    def of(words: Column) -> Column:
+        at = F.sequence(F.lit(1), F.size(words))
+        ends = F.concat(F.array(F.lit(0)), F.filter(at, lambda i: F.element_at(words, i).isin("|", "\u00b6")), F.array(F.size(words) + 1))
+        hits = F.filter(at, lambda i: F.array_contains(_strings(anchors), F.element_at(words, i)))
+        return _let(F.struct(ends.alias("ends"), hits.alias("hits")), lambda x: F.flatten(F.transform(x["ends"], lambda a, k: starting(words, x["ends"], x["hits"], a, k))))
+
+    def starting(words: Column, ends: Column, hits: Column, a: Column, k: Column) -> Column:
+        near = F.filter(hits, lambda h: (h > a) & (h <= a + limit))
+        last = F.filter(F.slice(ends, k + 3, most), lambda b: (b - a <= limit) & F.exists(near, lambda h: h < b))
+        runs = F.transform(last, lambda b: F.slice(words, a + 1, b - a - 1))
+        whole = F.filter(runs, lambda r: ~F.array_contains(r, "\u00b6"))
+        return F.when(F.size(near) > 0, F.filter(F.transform(whole, lambda r: F.array_remove(r, "|")), lambda r: F.size(r) <= most)).otherwise(F.array().cast("array<array<string>>"))
+
+    return _let(F.filter(F.split(marked, " "), lambda w: w != ""), lambda w: F.when(F.size(w) > 0, of(w)).otherwise(F.array().cast("array<array<string>>")))
+
+
 def license_scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: the id, ``licenses``, ``best`` and ``dice``.
 
     ``licenses`` has the names of all templates that a piece of the text
     reaches ``threshold`` with, sorted; ``best`` is the one with the highest
     coefficient, the first by name of equals, and ``dice`` that coefficient
-    (null without a match).  Null and empty texts match nothing.  Repeated rows
+    (null without a match).  Pieces are compared alone and in runs.  Null and empty texts match nothing.  Repeated rows
     get a row each, an empty table none; other columns are not read.
     """
-    rows = [(name, grams, *_bounds(len(grams), threshold)) for name, grams in template_rows(templates) if grams]
+    chosen = TEMPLATES if templates is None else templates
+    rows = [(name, grams, *_bounds(len(grams), threshold)) for name, grams in template_rows(chosen) if grams]
     least, most = min((r[2] for r in rows), default=0), max((r[3] for r in rows), default=0)
     known = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(len(grams)).alias("m"), F.lit(low).alias("low"), F.lit(high).alias("high"), F.array(*map(F.lit, grams)).alias("grams")) for name, grams, low, high in rows]) if rows else F.array().cast("array<struct<name:string,m:int,low:int,high:int,grams:array<string>>>")
-    pieces = F.split(F.coalesce(text_col, F.lit("")), PIECE_END)
-    worded = F.filter(F.transform(pieces, _words), lambda w: (F.size(w) > least) | ((F.size(w) == 1) & F.lit(least <= 1)))
-    # A piece of w words has w - 1 bigrams at most; repetition lowers this, so only the lower bound prunes here.
-    grams = F.filter(F.transform(worded, _bigrams), lambda g: (F.size(g) >= least) & (F.size(g) <= most))
+    every = _strings({g for r in rows for g in r[1]})
+    anchors = {w for r in rows for w in _anchors(r[1], threshold)}
+    heads = [F.array(*map(F.lit, head)) for head in _heads(chosen)]
+    # A run has its words with repetition, as templates do.
+    longest = max((_bounds(len(words_of(text)), threshold)[1] for texts in chosen.values() for text in texts), default=0) + 1
 
     def matches(piece: Column) -> Column:
         n = F.size(piece)
@@ -109,9 +178,21 @@ def license_scan(docs: DataFrame, templates: dict[str, list[str]] | None = None,
         scored = F.transform(near, lambda t: F.struct((F.size(F.array_intersect(t["grams"], piece)) * 2.0 / (n + t["m"])).alias("dice"), t["name"].alias("name")))
         return F.filter(scored, lambda s: s["dice"] >= threshold)
 
-    # Only pieces that share a bigram with some template are scored.
-    every = F.array(*map(F.lit, sorted({g for r in rows for g in r[1]}))) if rows else F.array().cast("array<string>")
-    found = F.flatten(F.transform(F.filter(grams, lambda g: F.arrays_overlap(g, every)), matches))
+    def found_in(worded: Column) -> Column:
+        # A piece of w words has w - 1 bigrams at most; repetition lowers this, so only the lower bound prunes here.
+        whole = F.filter(worded, lambda w: ~w.isin(*heads)) if heads else worded
+        large = F.filter(whole, lambda w: (F.size(w) > least) | ((F.size(w) == 1) & F.lit(least <= 1)))
+        grams = F.filter(F.transform(large, _bigrams), lambda g: (F.size(g) >= least) & (F.size(g) <= most))
+        # Only pieces that share a bigram with some template are scored.
+        return F.flatten(F.transform(F.filter(grams, lambda g: F.arrays_overlap(g, every)), matches))
+
+    def with_runs(worded: Column) -> Column:
+        joined = found_in(_runs(F.col(text_col), anchors, longest))
+        several = (F.size(worded) > 1) & F.arrays_overlap(F.flatten(worded), _strings(anchors))
+        return F.concat(found_in(worded), F.when(several, joined).otherwise(F.array().cast("array<struct<dice:double,name:string>>")))
+
+    pieces = F.split(F.coalesce(text_col, F.lit("")), PIECE_END)
+    found = _let(F.filter(F.transform(pieces, _words), lambda w: F.size(w) >= 1), with_runs)
     out = docs.select(F.col(id_col), found.alias("found"))
     ordered = F.array_sort(F.transform("found", lambda s: F.struct((-s["dice"]).alias("d"), s["name"].alias("name"))))
     return out.select(

@@ -58,6 +58,42 @@ def test_bounds_keep_what_just_reaches_the_threshold(spark):
     assert [tuple(r) for r in got.collect()] == duck(license.oracle(), documents=docs) == [(0, "MIT", "MIT", 0.8)]
 
 
+def wrapped(text, width, start=""):
+    lines = [""]
+    for word in text.split():
+        if lines[-1] and len(lines[-1]) + len(word) >= width:
+            lines.append("")
+        lines[-1] = f"{lines[-1]} {word}".strip()
+    return "\n".join(start + x for x in lines)
+
+
+def test_every_template_is_found_by_its_own_text(spark):
+    own = [(name, text) for name, texts in license.TEMPLATES.items() for text in texts]
+    for shape in (str, lambda t: wrapped(t, 72), lambda t: wrapped(t, 30, " * ").replace("\n", "\r\n"), lambda t: f"Some words here. {prose(5, 4)}\nfor {prose(6, 3)}. {wrapped(t, 40)}. {prose(7, 4)}\n\n{prose(8, 9)}"):
+        rows = {r.doc_id: r for r in license.license_scan(make_docs(spark, [shape(t) for _, t in own])).collect()}
+        for k, (name, text) in enumerate(own):
+            assert rows[k].best == name, (name, text)
+            assert "SPDX" not in text or rows[k].licenses == [name]
+    # A head that all SPDX lines share names none, and blank lines end a notice.
+    odd = ["SPDX-License-Identifier: Zlib", "// SPDX-License-Identifier:\n", "All\n\nrights\n\nreserved", "All\n*\nrights reserved"]
+    assert not any(r.licenses for r in license.license_scan(make_docs(spark, odd)).collect())
+
+
+def test_runs_equal_brute_force(spark):
+    draw = random.Random(3)
+    words = "permission is hereby granted to use copy and modify this".split()
+    texts = ["".join(draw.choice(words) + draw.choice([" ", " ", " ", "\n", "\r\n", ". ", ": ", "\n\n", "\n#\n", "|", " \u00b6 "]) for _ in range(draw.randrange(1, 40))) for _ in range(150)]
+    templates = {"A": ["permission is hereby granted to: use and copy"], "B": ["to modify this"], "C": ["use this"]}
+    got = {r.doc_id: r.licenses for r in license.license_scan(make_docs(spark, texts), templates, 0.6).collect()}
+    for k, text in enumerate(texts):
+        want = set()
+        for part in re.split(r"(?:\r\n|\n)[^a-z\n]*\n[^a-z]*", text):
+            pieces = [p for p in re.split(license.PIECE_END, part) if re.search("[a-z]", p)]
+            for g in (set(license.bigrams_of(" ".join(pieces[a:b]))) for a in range(len(pieces)) for b in range(a + 1, len(pieces) + 1)):
+                want |= {n for n, t in license.template_rows(templates) if 2 * len(g & set(t)) / (len(g) + len(t)) >= 0.6}
+        assert got[k] == sorted(want), text
+
+
 def slow_hits(text, items, width):
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
     words, hit, found = split(text), set(), set()
