@@ -283,3 +283,19 @@ def r9_set_difference(t: Tables) -> DataFrame:
     """Item codes of one slice of the items against those of another."""
     code = F.col("item_code").alias("name")
     return set_difference(t.items.where("id % 997 = 0").select(code).distinct(), t.items.where("id % 1009 = 0").select(code), "name")
+
+
+@query("""
+, a AS (SELECT item_code AS name, count(*) AS n FROM items GROUP BY 1), b AS (SELECT p_brand AS name, count(*) AS n FROM part GROUP BY 1)
+SELECT name, CASE WHEN b.name IS NULL THEN 'missing' WHEN a.name IS NULL THEN 'unexpected' ELSE 'duplicate' END AS difference FROM a FULL JOIN b USING (name) WHERE b.name IS NULL OR a.name IS NULL OR a.n > 1 OR b.n > 1""")
+def r9_parts_difference(t: Tables) -> DataFrame:
+    """Item codes of all items against those of all parts."""
+    return set_difference(t.items.select(F.col("item_code").alias("name")), t.raw("part").select(F.col("p_brand").alias("name")), "name")
+
+
+@query("""
+, b AS (SELECT id AS name, count(*) AS n FROM actuals WHERE status = 'posted' GROUP BY 1)
+SELECT name, CASE WHEN n IS NULL THEN 'missing' WHEN a.id IS NULL THEN 'unexpected' ELSE 'duplicate' END AS difference FROM (SELECT id, id AS name FROM items) a FULL JOIN b USING (name) WHERE n IS NULL OR a.id IS NULL OR n > 1""")
+def r9_posted_difference(t: Tables) -> DataFrame:
+    """All items against all that posted events are for, by id."""
+    return set_difference(t.items.select(F.col("id").alias("name")), t.actuals.where("status = 'posted'").select(F.col("id").alias("name")), "name")
