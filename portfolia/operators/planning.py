@@ -21,6 +21,13 @@ def month_spine(bounds: DataFrame, key: str) -> DataFrame:
     return bounds.where(fits).select(key, F.explode(F.sequence("first_month", "last_month", F.expr("INTERVAL 1 MONTH"))).alias("competence_month"))
 
 
+def editor_months(lines: DataFrame) -> DataFrame:
+    """Per project and month from its first line to its last: the planned amount and the number of lines."""
+    bounds = lines.groupBy("project_id").agg(F.min("competence_month").alias("first_month"), F.max("competence_month").alias("last_month"))
+    monthly = lines.groupBy("project_id", "competence_month").agg(money(F.sum("amount")).alias("planned_amount"), count_of("*").alias("line_count"))
+    return month_spine(bounds, "project_id").join(monthly, ["project_id", "competence_month"], "left").select("project_id", "competence_month", F.coalesce("planned_amount", money(F.lit(0))).alias("planned_amount"), F.coalesce("line_count", F.lit(0)).cast("long").alias("line_count"))
+
+
 @query("""
 , b AS (SELECT project_id, min(competence_month) AS a, max(competence_month) AS z FROM lines WHERE project_id % 10 = 1 GROUP BY 1),
 spine AS (SELECT project_id, unnest(generate_series(a::TIMESTAMP, z::TIMESTAMP, INTERVAL 1 MONTH))::DATE AS competence_month FROM b),
@@ -28,10 +35,17 @@ m AS (SELECT project_id, competence_month, sum(amount) AS x, count(*) AS n FROM
 SELECT project_id, competence_month, coalesce(x, 0)::DECIMAL(20,2) AS planned_amount, coalesce(n, 0) AS line_count FROM spine LEFT JOIN m USING (project_id, competence_month)""")
 def g5_editor_months(t: Tables) -> DataFrame:
     """Monthly totals of the editor for one tenth of the projects (the editor shows one project), empty months as zero."""
-    own = t.lines.where("project_id % 10 = 1")
-    bounds = own.groupBy("project_id").agg(F.min("competence_month").alias("first_month"), F.max("competence_month").alias("last_month"))
-    monthly = own.groupBy("project_id", "competence_month").agg(money(F.sum("amount")).alias("planned_amount"), count_of("*").alias("line_count"))
-    return month_spine(bounds, "project_id").join(monthly, ["project_id", "competence_month"], "left").select("project_id", "competence_month", F.coalesce("planned_amount", money(F.lit(0))).alias("planned_amount"), F.coalesce("line_count", F.lit(0)).cast("long").alias("line_count"))
+    return editor_months(t.lines.where("project_id % 10 = 1"))
+
+
+@query("""
+, b AS (SELECT project_id, min(competence_month) AS a, max(competence_month) AS z FROM lines GROUP BY 1),
+spine AS (SELECT project_id, unnest(generate_series(a::TIMESTAMP, z::TIMESTAMP, INTERVAL 1 MONTH))::DATE AS competence_month FROM b),
+m AS (SELECT project_id, competence_month, sum(amount) AS x, count(*) AS n FROM lines GROUP BY ALL)
+SELECT project_id, competence_month, coalesce(x, 0)::DECIMAL(20,2) AS planned_amount, coalesce(n, 0) AS line_count FROM spine LEFT JOIN m USING (project_id, competence_month)""")
+def g5_all_editor_months(t: Tables) -> DataFrame:
+    """The same for every project."""
+    return editor_months(t.lines)
 
 
 def summaries(t: Tables) -> DataFrame:

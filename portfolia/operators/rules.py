@@ -97,12 +97,23 @@ def x5_append_only(t: Tables) -> DataFrame:
     return append_only(t.audit, after, "id", ["changed_at", "entity_id", "operation"])
 
 
+def plan_writes(lines: DataFrame, versions: DataFrame) -> DataFrame:
+    """The verdict on a write of each line: allowed if its version is a draft."""
+    states = versions.select(F.col("id").alias("plan_version_id"), "status")
+    writes = lines.select(F.col("id").alias("line_id"), "plan_version_id").join(states, "plan_version_id", "left")
+    return writes.select("line_id", "plan_version_id", F.coalesce("status", F.lit("missing")).alias("status"), F.coalesce(F.col("status") == "draft", F.lit(False)).alias("allowed"))
+
+
 @query("""SELECT l.id AS line_id, l.plan_version_id, coalesce(v.status, 'missing') AS status, coalesce(v.status = 'draft', false) AS allowed FROM lines l LEFT JOIN versions v ON v.id = l.plan_version_id WHERE l.id % 5 = 0""")
 def x7_plan_writes(t: Tables) -> DataFrame:
     """Requested writes of plan lines: only those of a draft are allowed."""
-    versions = t.versions.select(F.col("id").alias("plan_version_id"), "status")
-    writes = t.lines.where("id % 5 = 0").select(F.col("id").alias("line_id"), "plan_version_id").join(versions, "plan_version_id", "left")
-    return writes.select("line_id", "plan_version_id", F.coalesce("status", F.lit("missing")).alias("status"), F.coalesce(F.col("status") == "draft", F.lit(False)).alias("allowed"))
+    return plan_writes(t.lines.where("id % 5 = 0"), t.versions)
+
+
+@query("SELECT l.id AS line_id, l.plan_version_id, coalesce(v.status, 'missing') AS status, coalesce(v.status = 'draft', false) AS allowed FROM lines l LEFT JOIN versions v ON v.id = l.plan_version_id")
+def x7_all_plan_writes(t: Tables) -> DataFrame:
+    """The same of every plan line."""
+    return plan_writes(t.lines, t.versions)
 
 
 def approvals(requests: DataFrame, users: DataFrame) -> DataFrame:

@@ -18,3 +18,10 @@ def test_all_codes_and_posted_items_are_compared(spark, tables):
     assert many and all(codes[r.item_code] == "duplicate" for r in many)
     posted = registry.queries()["r9_posted_difference"](spark, SF)
     assert posted.where("difference = 'missing'").count() == tables.items.count() - tables.actuals.where("status = 'posted'").count() > 0
+
+
+def test_every_project_has_months_and_every_line_a_verdict(spark, tables):
+    months = registry.queries()["g5_all_editor_months"](spark, SF)
+    assert months.select("project_id").distinct().count() == tables.lines.select("project_id").distinct().count()
+    assert months.groupBy().sum("line_count").first()[0] == tables.lines.count()
+    assert registry.queries()["x7_all_plan_writes"](spark, SF).count() == tables.lines.count()
