@@ -348,6 +348,41 @@ def s8_nested_snapshot(t: Tables) -> DataFrame:
     return nested.join(named, "project_id").select("project_id", "project_code", "items", "items_json")
 
 
+def nested(rows: DataFrame, name: str, *columns: str) -> DataFrame:
+    """Per project: its rows as one JSON list, ordered by ``columns``; nulls are kept."""
+    return rows.groupBy("project_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct(*columns))), {"ignoreNullFields": "false"}).alias(name))
+
+
+_SNAPSHOT_SQL = """
+, si AS (SELECT project_id, '[' || string_agg('{"source_line_key":"' || source_line_key || '","id":' || id || ',"line_number":' || line_number || ',"active":' || active || ',"deleted":' || deleted || '}', ',' ORDER BY source_line_key, id) || ']' AS items_json FROM items GROUP BY 1),
+ss AS (SELECT project_id, '[' || string_agg('{"metric_type":"' || metric_type || '","planning_level":"' || planning_level || '","currency_code":"' || currency_code || '"}', ',' ORDER BY metric_type, planning_level, currency_code) || ']' AS scopes_json FROM scopes WHERE plan_version_id = 3 GROUP BY 1),
+sc AS (SELECT project_id, '[' || string_agg('{"project_item_id":' || project_item_id || ',"competence_month":"' || competence_month || '","declaration_state":"' || declaration_state || '","canonical_amount":' || coalesce('"' || canonical_amount || '"', 'null') || ',"financial_plan_line_id":' || coalesce(financial_plan_line_id::VARCHAR, 'null') || '}', ',' ORDER BY project_item_id, competence_month) || ']' AS cells_json FROM cells c JOIN items i ON i.id = project_item_id GROUP BY 1),
+sl AS (SELECT project_id, '[' || string_agg('{"id":' || id || ',"project_item_id":' || coalesce(project_item_id::VARCHAR, 'null') || ',"competence_month":"' || competence_month || '","amount":"' || amount || '","currency_code":"' || currency_code || '"}', ',' ORDER BY id) || ']' AS lines_json FROM lines WHERE plan_version_id = 3 GROUP BY 1)
+SELECT p.id AS project_id, project_code, p.status, deleted, v.id AS plan_version_id, v.status AS plan_version_status, is_baseline, coalesce(items_json, '[]') AS items_json, coalesce(scopes_json, '[]') AS scopes_json, coalesce(cells_json, '[]') AS cells_json, coalesce(lines_json, '[]') AS lines_json
+FROM projects p LEFT JOIN versions v ON v.id = 3 LEFT JOIN si ON si.project_id = p.id LEFT JOIN ss ON ss.project_id = p.id LEFT JOIN sc ON sc.project_id = p.id LEFT JOIN sl ON sl.project_id = p.id"""
+
+
+@query(_SNAPSHOT_SQL)
+def s8_all_nested_snapshots(t: Tables) -> DataFrame:
+    """A nested JSON snapshot of every project against the baseline version: items, scopes, cells and plan lines in order."""
+    rows = t.projects.select(F.col("id").alias("project_id"), "project_code", "status", "deleted")
+    target = t.versions.where("id = 3").select(F.col("id").alias("plan_version_id"), F.col("status").alias("plan_version_status"), "is_baseline")
+    owner = t.items.select(F.col("id").alias("project_item_id"), "project_id")
+    text = lambda c: F.col(c).cast("string").alias(c)
+    lines = t.lines.where("plan_version_id = 3").select("project_id", "id", "project_item_id", text("competence_month"), text("amount"), "currency_code")
+    cells = t.cells.join(owner, "project_item_id").select("project_id", "project_item_id", text("competence_month"), "declaration_state", text("canonical_amount"), "financial_plan_line_id")
+    relations = {
+        "items_json": nested(t.items, "items_json", "source_line_key", "id", "line_number", "active", "deleted"),
+        "scopes_json": nested(t.scopes.where("plan_version_id = 3"), "scopes_json", "metric_type", "planning_level", "currency_code"),
+        "cells_json": nested(cells, "cells_json", *cells.columns[1:]),
+        "lines_json": nested(lines, "lines_json", *lines.columns[1:]),
+    }
+    rows = rows.join(F.broadcast(target), F.lit(True), "left")  # one row
+    for side in relations.values():
+        rows = rows.join(side, "project_id", "left")
+    return rows.select(*[c for c in rows.columns if c not in relations], *[F.coalesce(c, F.lit("[]")).alias(c) for c in relations])
+
+
 def realized_facts(actuals: DataFrame, projects: DataFrame) -> DataFrame:
     """Realized totals at the two grains a source states them in; neither can become an event, and none is allocated.
 

@@ -1,5 +1,7 @@
 """Queries over whole tables leave no row out."""
 
+import json
+
 import pytest
 
 from portfolia.plans import registry
@@ -25,3 +27,10 @@ def test_every_project_has_months_and_every_line_a_verdict(spark, tables):
     assert months.select("project_id").distinct().count() == tables.lines.select("project_id").distinct().count()
     assert months.groupBy().sum("line_count").first()[0] == tables.lines.count()
     assert registry.queries()["x7_all_plan_writes"](spark, SF).count() == tables.lines.count()
+
+
+def test_every_project_has_a_snapshot_of_all_its_rows(spark, tables):
+    rows = registry.queries()["s8_all_nested_snapshots"](spark, SF).collect()
+    assert sorted(r.project_id for r in rows) == sorted(r.id for r in tables.projects.select("id").collect())
+    for name, table in (("items_json", tables.items), ("scopes_json", tables.scopes.where("plan_version_id = 3")), ("cells_json", tables.cells), ("lines_json", tables.lines.where("plan_version_id = 3"))):
+        assert sum(len(json.loads(r[name])) for r in rows) == table.count() > 0
