@@ -7,6 +7,9 @@ cut may fall inside a word; the encoding of a chunk is final only between its
 first and its last white space, because no pre-token crosses white space.  The
 rest, at the joins, is encoded again over the joined bytes until the encoding
 of the left and the right chunk agree, which is at the nearest white space.
+
+Words and chunks are told apart by their bytes, not by a hash alone.  For a
+tokenizer whose pre-tokens may cross white space the library encodes whole texts.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portfolia.llm.common import FOLD, Words, bound_batches, forget_others, small_batches, worker_cache
+from portfolia.llm.common import FOLD, Words, bound_batches, distinct, forget_others, small_batches, spread, worker_cache
 
 #: Entries of the cache of word parts and bytes of the chunk cache of one Python worker.
 PART_CACHE, CHUNK_CACHE = 1_000_000, 24 << 20
@@ -60,6 +63,7 @@ class Encoder:
         self.tokenizer.no_padding()
         self.mask = np.uint32(((1 << cut_bits) - 1) << 12)
         self.gear = np.random.default_rng(17).integers(0, 1 << 32, 256, dtype=np.uint32)
+        self.splits = self._splits_at_white_space()
         self.forget()
         self.chunks: dict[bytes, tuple[bytes, bytes | None, bytes]] = {}
         self.chunk_bytes = 0
@@ -73,22 +77,29 @@ class Encoder:
         self.shortcut = whole == [np.frombuffer(self._word(w.encode()), np.int32).tolist() for w in probe]
         self.forget()
 
+    def _splits_at_white_space(self) -> bool:
+        """Whether texts joined by white space encode as their parts do, one after the other."""
+        own = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        parts = ["one", "Two.", "1 2", "don't", "é", "...", "x9_", "(a", "'s", "日本"]
+        return all(own(a + gap + b) == own(a) + own(b) == own(gap + a) + own(b + gap) for a in parts for b in parts for gap in (" ", "\t", "\n", "  ", "\r\n"))
+
     def forget(self) -> None:
-        """Empty the cache: sorted keys with the place and number of their ids, old ones and those learned lately."""
-        self.known = [(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))] * 2
+        """Empty the cache: sorted hashes with the exact keys, the place and the number of their ids; old ones and those learned lately."""
+        self.known = [(*[np.empty(0, np.uint64)] * 3, *[np.empty(0, np.int64)] * 2)] * 2
         self.ids, self.used = np.empty(1 << 16, np.int32), 0
 
-    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _find(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place and number of ids of each key; place -1 if it is not known."""
+        keys = spread(low, high)
         place, n = np.full(len(keys), -1), np.zeros(len(keys), np.int64)
-        for have, where, many in self.known:
+        for have, have_low, have_high, where, many in self.known:
             if len(have):
                 at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
-                good = have[at] == keys
+                good = (have_low[at] == low) & (have_high[at] == high)
                 place[good], n[good] = where[at[good]], many[at[good]]
         return place, n
 
-    def _learn(self, keys: np.ndarray, parts: list[bytes], plain: np.ndarray) -> None:
+    def _learn(self, low: np.ndarray, high: np.ndarray, parts: list[bytes], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokenize parts that are not known: plain ones by the model alone, others by the whole library."""
         letters, tokenize, out = self.letters, self.tokenizer.model.tokenize, []
         for part, short in zip(parts, plain.tolist(), strict=True):
@@ -101,13 +112,15 @@ class Encoder:
         if self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids[: self.used], np.empty(self.used + 2 * len(flat), np.int32)])
         self.ids[self.used : self.used + len(flat)] = flat
-        fresh = (keys, self.used + np.cumsum(n) - n, n)
+        place = self.used + np.cumsum(n) - n
+        fresh = (spread(low, high), low, high, place, n)
         self.used += len(flat)
         old, lately = self.known
         lately = self._sorted(lately, fresh)
         if len(lately[0]) > max(50_000, len(old[0]) // 3):
             old, lately = self._sorted(old, lately), tuple(x[:0] for x in lately)
         self.known = [old, lately]
+        return place, n
 
     @staticmethod
     def _sorted(*tables: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
@@ -148,23 +161,24 @@ class Encoder:
         words = Words(pa.array(data, pa.binary()), fold=False)
         raw = words.data
         start, end, plain, word = self._parts(words)
-        # Plain parts are the same in either case; others have keys of their own.
+        # Plain parts are the same in either case; others have keys of their own, with a bit of the length byte turned.
         words.data = FOLD[raw]
         words.start, words.end = start, end
-        keys = words.hashes()
+        low, high = words.exact()
         if not plain.all():
             words.data = raw
             words.start, words.end = start[~plain], end[~plain]
-            keys[~plain] = words.hashes() ^ np.uint64(0x5DEECE66D1CE4E5B)
-        unique, first, back = np.unique(keys, return_index=True, return_inverse=True)
-        place, n = self._find(unique)
+            low[~plain], own = words.exact()
+            high[~plain] = own ^ np.uint64(1 << 60)
+        first, back = distinct(low, high)
+        low, high = low[first], high[first]
+        place, n = self._find(low, high)
         new = np.flatnonzero(place < 0)
         if len(new):
             folded = FOLD[raw].tobytes()
             exact, short = raw.tobytes(), plain[first[new]]
             parts = [(folded if s else exact)[a:b] for a, b, s in zip(start[first[new]].tolist(), end[first[new]].tolist(), short.tolist(), strict=True)]
-            self._learn(unique[new], parts, short)
-            place[new], n[new] = self._find(unique[new])
+            place[new], n[new] = self._learn(low[new], high[new], parts, short)
         size = n[back]
         ends = np.concatenate([[0], np.cumsum(size)])
         flat = self.ids[np.arange(ends[-1]) + np.repeat(place[back] - ends[:-1], size)]
@@ -217,6 +231,8 @@ class Encoder:
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
         """All ids of each text, int32; none for null."""
+        if not self.splits:
+            return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
         cut = []
         for text in texts:
             data = (text or "").encode()
@@ -239,6 +255,13 @@ class Encoder:
             out.append(np.frombuffer(b"".join(part), np.int32))
         return out
 
+    def encode_whole(self, texts: list[str | None]) -> list[np.ndarray]:
+        """As ``encode_all``, word by word without chunks, for callers that cut the ids themselves."""
+        if not self.splits:
+            return self.encode_all(texts)
+        flat, at = self.runs([(t or "").encode() for t in texts])
+        return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_all([text])[0]
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +19,12 @@ _own_scratch: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a private one where it is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; where that is unset, a folder of its own if the driver is the only machine."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_scratch:
         _own_scratch.append(tempfile.mkdtemp(prefix="portfolia-"))
     return _own_scratch[0]
@@ -100,18 +104,24 @@ SPACES = _WHITE
 MARKS = np.array([b < 0x30 or 0x39 < b < 0x61 or 0x7A < b < 0x80 for b in range(256)])
 
 FOLD = np.frombuffer(LOWER_ASCII, np.uint8)
-_BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: The first n bytes of eight, and what tells words of over 15 bytes from shorter ones.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_LONG = np.uint64(0xFF << 56)
 
 
-def powers_to(n: int) -> list[np.ndarray]:
-    """The first ``n`` powers of the hash base and of its inverse modulo 2^64."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps)
-    return [p[:n] for p in _powers]
+def spread(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """One 64-bit hash of two 64-bit numbers."""
+    return mix(low ^ mix(high + np.uint64(0x9E3779B97F4A7C15)))
+
+
+def distinct(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place of each distinct pair, and each pair's number among them; pairs are compared, not only their hashes."""
+    _, first, back = np.unique(spread(low, high), return_index=True, return_inverse=True)
+    if (low[first][back] != low).any() or (high[first][back] != high).any():
+        both = np.empty(len(low), [("low", np.uint64), ("high", np.uint64)])
+        both["low"], both["high"] = low, high
+        _, first, back = np.unique(both, return_index=True, return_inverse=True)
+    return first, back
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -153,12 +163,24 @@ class Words:
             self.start = self.end = np.empty(0, np.int64)
         self.first = np.searchsorted(self.start, self.offsets)
 
+    def exact(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two 64-bit numbers that stand for each word's bytes: words of up to 15 bytes as they are, longer ones by 120 bits of BLAKE2b."""
+        size = self.end - self.start
+        padded = np.concatenate([self.data, np.zeros(16, np.uint8)])
+        eight = np.ndarray(len(self.data) + 9, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+        low = eight[self.start] & _FIRST[np.minimum(size, 8)]
+        high = eight[self.start + 8] & _FIRST[np.clip(size - 8, 0, 7)] | size.astype(np.uint64) << np.uint64(56)
+        long = np.flatnonzero(size > 15)
+        if len(long):
+            raw = self.data.tobytes()
+            digests = [blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(self.start[long].tolist(), self.end[long].tolist(), strict=True)]
+            both = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
+            low[long], high[long] = both[:, 0], both[:, 1] | _LONG
+        return low, high
+
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes; the same in every process."""
-        up, down = powers_to(len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-        return mix((total[self.end] - total[self.start]) * down[self.start])
+        return spread(*self.exact())
 
     def text_of(self) -> np.ndarray:
         """For each word the number of its text."""
@@ -169,18 +191,36 @@ def runs_hash(h: np.ndarray, width: int) -> np.ndarray:
     """A hash of each run of ``width`` consecutive values (none if there are fewer), by doubling."""
     if len(h) < width:
         return np.empty(0, np.uint64)
-    n, out, done, power, have = len(h) - width + 1, None, 0, h, 1
+    n, out, done, power, have, base = len(h) - width + 1, None, 0, h, 1, 0x9E3779B97F4A7C15
     while True:
         if width & have:
             part = power[done : done + n]
-            out = part if out is None else out * np.uint64(pow(_BASE, have, 1 << 64)) + part
+            out = part if out is None else out * np.uint64(pow(base, have, 1 << 64)) + part
             done += have
         if 2 * have > width:
             return mix(out)
-        power = power[:-have] * np.uint64(pow(_BASE, have, 1 << 64)) + power[have:]
+        power = power[:-have] * np.uint64(pow(base, have, 1 << 64)) + power[have:]
         have *= 2
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def packed(docs: DataFrame, *more, without: tuple[str, ...] = ()) -> DataFrame:
+    """``row``, the columns of ``docs`` by number in a struct, and the columns ``more``, whose names can't clash with them."""
+    from pyspark.sql import functions as F
+
+    return docs.select(F.struct(F.lit(0).alias("c"), *[F.col(quoted(c)).alias(f"c{k}") for k, c in enumerate(docs.columns) if c not in without]).alias("row"), *more)
+
+
+def unpacked(rows: DataFrame, names: list[str], **replaced) -> DataFrame:
+    """The columns that ``packed`` has put in ``row``, by their names; those in ``replaced`` are given anew."""
+    from pyspark.sql import functions as F
+
+    return rows.select(*[replaced[c].alias(c) if c in replaced else F.col(f"row.c{k}").alias(c) for k, c in enumerate(names)])
+
+
 def fraction_of_rows(df: DataFrame, rows: int, *by: str) -> DataFrame:
     """About ``rows`` rows of ``df`` (all, if there are fewer), chosen by a hash of the columns ``by``; for fitting only."""
     from pyspark.sql import functions as F

@@ -6,7 +6,7 @@ the documents; because a window must be contained whole, its prefix is its one
 rarest shingle, and a document is a candidate only at places that hold it.  The
 shingle's place in the window must leave room for the window inside the document
 (positional and length bounds), and the window's words are then compared one by
-one.
+one, by their bytes.
 
 The benchmark is broadcast in blocks of at most ``BLOCK`` words, each a pass
 over the rows without a shuffle, so its size has no bound.
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portfolia.llm.common import MARKS, Words, bound_batches, forget_others, small_batches
+from portfolia.llm.common import MARKS, Words, bound_batches, distinct, forget_others, packed, small_batches, spread, unpacked
 
 WIDTH, SHINGLE, BLOCK = 13, 3, 400_000
 
@@ -44,14 +44,22 @@ class Windows:
     """The windows of a block of items, and the prefix index over them."""
 
     def __init__(self, items: list[tuple[str | None, np.ndarray]], width: int):
+        """``items`` have an id and the exact keys of their words (two columns)."""
         self.width = width
-        flat = np.concatenate([w for _, w in items]) if items else np.empty(0, np.uint64)
-        self.vocabulary = np.unique(flat)
+        flat = np.concatenate([w for _, w in items]) if items else np.empty((0, 2), np.uint64)
+        first, back = distinct(flat[:, 0], flat[:, 1])
+        self.vocabulary, self.seed = flat[first], np.uint64(0)
+        while len(np.unique(key := spread(self.vocabulary[:, 0] ^ self.seed, self.vocabulary[:, 1]))) < len(key):
+            self.seed += np.uint64(1)  # until no two words of the vocabulary have one hash
+        order = np.argsort(key)
+        self.keys, self.vocabulary = key[order], self.vocabulary[order]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        numbers = np.split(place[back], np.cumsum([len(w) for _, w in items])[:-1])
         self.items = sorted({str(i) for i, _ in items if i is not None})
         number = {i: k for k, i in enumerate(self.items)}
         rows, owner = set(), {}
-        for item, words in items:
-            ids = np.searchsorted(self.vocabulary, words)
+        for (item, _), ids in zip(items, numbers, strict=False):
             size = min(width, len(ids))
             for at in range(len(ids) - size + 1 if size else 0):
                 window = tuple(ids[at : at + size].tolist())
@@ -81,11 +89,12 @@ class Windows:
         out[bad] = -1
         return out
 
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.vocabulary):
-            return np.full(len(hashes), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == hashes, at, -1)
+    def numbers(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The vocabulary's number of each word, -1 for other words."""
+        if not len(self.keys):
+            return np.full(len(low), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, spread(low ^ self.seed, high)), len(self.keys) - 1)
+        return np.where((self.vocabulary[at, 0] == low) & (self.vocabulary[at, 1] == high), at, -1)
 
     def places(self, ids: np.ndarray, n: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where shingles of ``keys`` (sorted) begin, and which."""
@@ -115,7 +124,7 @@ def _batches(batches: Iterator[pa.RecordBatch], windows: Windows) -> Iterator[tu
     for batch in small_batches(batches, limit=1 << 19):
         words = Words(batch.column("text"), MARKS)
         ids = np.full(len(words.start) + batch.num_rows, -1, np.int64)
-        ids[np.arange(len(words.start)) + words.text_of()] = windows.numbers(words.hashes())
+        ids[np.arange(len(words.start)) + words.text_of()] = windows.numbers(*words.exact())
         yield batch, words, ids
 
 
@@ -176,7 +185,7 @@ def _blocks(benchmark: DataFrame, width: int, limit: int) -> Iterator[Windows]:
     """The items in blocks of at most ``limit`` words, streamed; a longer item is cut with an overlap of width - 1 words."""
     held: list[tuple[str | None, np.ndarray]] = []
     for row in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
-        words = Words(pa.array([row["text"]], pa.string()), MARKS).hashes()
+        words = np.column_stack(Words(pa.array([row["text"]], pa.string()), MARKS).exact())
         for at in range(0, max(1, len(words) - width + 1), limit):
             part = words[at : at + limit + width - 1]
             if held and sum(len(w) for _, w in held) + len(part) > limit:
@@ -189,25 +198,23 @@ def _blocks(benchmark: DataFrame, width: int, limit: int) -> Iterator[Windows]:
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_words: int = BLOCK) -> DataFrame:
-    """All columns of ``docs``, with ``n_words``, ``hits`` (disjoint runs of words in windows) and ``items`` (ids, sorted).
+    """``row`` (the columns of ``docs`` but text, see ``packed``), ``text``, ``n_words``, ``hits`` (disjoint runs of words in windows) and ``items`` (ids, sorted).
 
     Null texts have no words and no hits; items without words have no window.
     A null item_id hits words but is not listed, and items with one id count as
     one.  Repeated rows get a row each, an empty table none, and columns of
-    ``docs`` may have any name (these three are replaced).
+    ``docs`` may have any name.
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    names = [c for c in docs.columns if c not in ("n_words", "hits", "items")]
-    kept = F.struct(F.lit(0).alias("c"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names) if c != "text"])  # texts are sent once
-    rows = docs.select(kept.alias("row"), "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:int,end:int>>").alias("hits"), F.array().cast("array<string>").alias("items"))
+    rows = packed(docs, "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:int,end:int>>").alias("hits"), F.array().cast("array<string>").alias("items"), without=("text",))
     passes = 0
     for windows in _blocks(benchmark, width, block_words):
         windows.order(_count_shingles(docs, spark.sparkContext.broadcast(windows)))
         rows, passes = _scan(rows, spark.sparkContext.broadcast(windows)), passes + 1
     if not passes:  # the words are counted all the same
         rows = _scan(rows, spark.sparkContext.broadcast(Windows([], width)))
-    return rows.select(*["text" if c == "text" else F.col(f"row.c{k}").alias(c) for k, c in enumerate(names)], "n_words", "hits", "items")
+    return rows
 
 
 def _n_hit() -> F.Column:
@@ -218,13 +225,14 @@ def _contaminated() -> F.Column:
     return (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))
 
 
-def report(scanned: DataFrame) -> DataFrame:
-    """Per row of ``scan``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+def report(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_words: int = BLOCK) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated; see ``scan``."""
+    scanned = scan(docs.select("doc_id", "text"), benchmark, width, block_words)
     return scanned.select(
-        "doc_id", "n_words", _n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+        F.col("row.c0").alias("doc_id"), "n_words", _n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
     ).withColumn("contaminated", _contaminated())
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with their columns."""
-    return scan(docs, benchmark).withColumn("n_hit", _n_hit()).where(~_contaminated()).select(*docs.columns)
+    """The rows of ``docs`` that are not contaminated, with their columns; see ``scan`` for nulls, repeated rows and empty tables."""
+    return unpacked(scan(docs, benchmark).withColumn("n_hit", _n_hit()).where(~_contaminated()), docs.columns, text=F.col("text"))

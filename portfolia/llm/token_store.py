@@ -85,10 +85,10 @@ def write_store(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | No
         enc = encoder(tokenizer)
         sent: set[bytes] = set()
         for batch in small_batches(batches, limit=1 << 19):
-            flat, at = enc.runs([(t or "").encode() for t in batch.column("text").to_pylist()])
+            encoded = enc.encode_whole(batch.column("text").to_pylist())
             recipes, chunks = [], []
             for k in range(batch.num_rows):
-                ids = np.append(flat[at[k] : at[k + 1]], np.int32(end_id)).astype("<u4")
+                ids = np.append(encoded[k], np.int32(end_id)).astype("<u4")
                 ends = chunk_ends(ids).tolist()
                 digests = []
                 for a, b in zip([0, *ends], ends):

@@ -117,7 +117,7 @@ def test_decontamination(spark, odd_texts, block):
     texts = [*odd_texts[:-2], None]
     texts += [" , ".join(draw.choice([prose(draw.randrange(999), 9), draw.choice(parts).upper(), " ".join(draw.choice(parts).split()[:15])]) for _ in range(4)) for _ in range(40)]
     docs, bench = make_docs(spark, texts), spark.createDataFrame(items, "item_id long, text string")
-    rows = decontaminate.report(decontaminate.scan(docs, bench, block_words=block)).collect()
+    rows = decontaminate.report(docs, bench, block_words=block).collect()
     assert {r.doc_id: tuple(r)[1:5] for r in rows} == {k: slow_hits(t, items, 13) for k, t in enumerate(texts)}
     assert all(r.contaminated == (r.n_hit > 0 and 20 * r.n_hit >= r.n_words) for r in rows)
     if block > 1000:
