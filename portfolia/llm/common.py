@@ -238,6 +238,23 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def labelled_texts(docs: DataFrame, labels: DataFrame, column: str, rows: int, name: str, each: bool = False) -> DataFrame:
+    """text, its hash ``key`` and ``label``: about ``rows`` labelled rows (of each label, if ``each``) that are not held out, for learning.
+
+    Labels other than 0 and 1, null ids and null texts are not learned from.  A
+    doc_id with several labels has the highest, and so has a text; equal texts
+    count once.  Ids are chosen by hash, so about ``rows`` of them are broadcast;
+    where ids repeat, texts are chosen by hash again.
+    """
+    from pyspark.sql import functions as F
+
+    known = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(F.col(column).cast("int")).alias("label"))
+    some = fraction_of_rows(known.where("label = 1"), rows, "doc_id").union(fraction_of_rows(known.where("label = 0"), rows, "doc_id")) if each else fraction_of_rows(known, rows, "doc_id")
+    texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(stage(some, f"{name}-ids")), "doc_id")
+    found = stage(texts.groupBy("text").agg(F.max("label").alias("label")).withColumn("key", F.xxhash64("text")), f"{name}-rows")
+    return fraction_of_rows(found, 3 * rows if each else 2 * rows, "text")
+
+
 def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sum of ``values`` between consecutive places of ``first``, 0 where they are equal."""
     total = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)])

@@ -2,15 +2,19 @@
 
 Vectors of whole numbers are documents whose terms are their components.  The
 rows are dealt into shards of at most ``SHARD`` vectors, kept as one posting
-list per component.  For a query, a component's score bound in a shard is the
-most that it can add there.  The components with the highest bounds are
-essential: their postings are traversed, until what the others could still add
-cannot lift most rows over the k-th best score so far.  The others are probed,
-in order of their bounds, only for rows that are still competitive.  Shards are
-merged by score, ties to the smaller id.
-
-Queries come in blocks of at most ``QUERIES`` and meet every shard once, so no
-task holds more than a shard and a block.
+list per component.  In a shard, every row has at least the sum of the least
+that each component adds; what a component can add above its least is its
+score bound.  Components are taken by falling bound.  A query splits them at
+its threshold, a score that k rows are known to reach: components are essential
+until the bounds of the rest can't lift a row to the threshold.  The essential
+lists are traversed, the others are probed, in order of their bounds, only for
+rows that are still competitive, and the threshold rises as scores do.
+
+The threshold is shared: each query is first scored against one shard, and its
+k-th score there is where all shards start from.  Shards are merged by score,
+ties to the smaller id.  Queries come in blocks of at most ``QUERIES`` and meet
+every shard once, so no task holds more than a shard and a block; wide vectors
+make smaller shards and blocks (``BYTES``).
 """
 
 from __future__ import annotations
@@ -19,12 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from portfolia.llm.common import stage
+from portfolia.llm.common import bound_batches, stage
 
-SHARD, QUERIES = 2048, 512
+SHARD, QUERIES, BYTES = 2048, 512, 1 << 20
 
 
 def whole_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 256) -> DataFrame:
@@ -35,91 +40,138 @@ def whole_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
 
 
 def _packed(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """Blocks of at most ``size`` vectors: ids and vectors as bytes of int64; order as read, so no shuffle."""
+    """Blocks of at most ``size`` vectors sorted by id: ids, vectors as bytes of int64 and their width; blocks as read, so no shuffle."""
+    kind = rows.schema["id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, size):
-                part = batch.slice(at, size)
+            widest = int(pc.max(batch.column("v").value_lengths()).as_py() or 1) if batch.num_rows else 1
+            step = max(1, min(size, BYTES // (8 * max(1, widest))))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                part = part.take(pc.sort_indices(part.column("id")))
                 lists = part.column("v")
                 length = lists.value_lengths().to_numpy()
                 m = np.zeros((len(length), int(length.max(initial=0))), np.int64)
                 m[np.arange(m.shape[1])[None, :] < length[:, None]] = lists.flatten().to_numpy()
+                ids = part.column("id")
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part.column("id").to_numpy().tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary()), pa.array([m.shape[1]], pa.int32())], names=["ids", "vectors", "width"]
+                    [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([m.tobytes()], pa.binary()), pa.array([m.shape[1]], pa.int32())], names=["ids", "vectors", "width"]
                 )
 
-    blocks = rows.where("id is not null").mapInArrow(work, "ids binary, vectors binary, width int")
+    blocks = rows.where("id is not null").mapInArrow(work, f"ids array<{kind}>, vectors binary, width int")
     return stage(blocks.withColumn("block", F.monotonically_increasing_id()), name)
 
 
-def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.frombuffer(row["ids"], np.int64)
-    return ids, np.frombuffer(row["vectors"], np.int64).reshape(len(ids), -1)
-
-
-def max_score(query: np.ndarray, own: int, ids: np.ndarray, postings: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -> list[tuple[int, int]]:
-    """The best k (score, id) of one query in one shard; ``postings`` has a row per component, ``low`` and ``high`` its least and most."""
-    width = min(len(query), len(postings))
-    query = query[:width]
-    bound = np.maximum(query * low[:width], query * high[:width])
-    floor = np.minimum(query * low[:width], query * high[:width])
-    order = np.argsort(floor - bound, kind="stable")
-    order = order[bound[order] > floor[order]] if len(order) else order
-    constant = int(bound[bound == floor].sum())
-    after = np.append(np.cumsum(bound[order][::-1])[::-1], 0)
-    alive = np.flatnonzero(ids != own)
-    score = np.full(len(alive), constant, np.int64)
-    done = 0
-    while done < len(order):
-        step = max(8, len(order) // 4) if done else max(8, len(order) // 2)  # essential components first, then probes
-        part = order[done : done + step]
-        score = score + query[part] @ postings[np.ix_(part, alive)] if len(alive) < postings.shape[1] // 2 else score + (query[part] @ postings[part])[alive]
-        done += len(part)
-        if done < len(order) and len(alive) > k:
-            worst = np.append(np.cumsum(floor[order][::-1])[::-1], 0)[done]
-            least = np.partition(score, len(score) - k)[len(score) - k] + worst  # at least k rows reach this
-            keep = score + after[done] >= least
-            alive, score = alive[keep], score[keep]
-    best = np.lexsort([ids[alive], -score])[:k]
-    return list(zip(score[best].tolist(), ids[alive[best]].tolist(), strict=True))
+def _matrix(vectors: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(vectors, np.int64).reshape(n, -1)
+
+
+def _shared_ids(queries: pa.Array, rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers for the ids of both, equal where the ids are."""
+    code = pa.concat_arrays([queries, rows]).dictionary_encode().indices.to_numpy()
+    return code[: len(queries)], code[len(queries) :]
+
+
+class Shard:
+    """Posting lists of a shard: one row per component, with the least and the most in it."""
+
+    def __init__(self, vectors: np.ndarray, largest: int):
+        #: Whole numbers are exact in doubles up to 2^53.
+        exact = max(1, largest) * max(1, int(np.abs(vectors).max(initial=0))) * max(1, vectors.shape[1]) < 1 << 53
+        self.kind = np.float64 if exact else np.int64
+        self.postings = np.ascontiguousarray(vectors.T).astype(self.kind)
+        self.low, self.high = self.postings.min(1, initial=np.inf if exact else 1 << 62), self.postings.max(1, initial=-np.inf if exact else -(1 << 62))
+
+    def best(self, query: np.ndarray, alive: np.ndarray, k: int, least: float | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+        """Scores and places of the best k of the rows ``alive`` (fewer, if others can't reach ``least``), and how many postings were read."""
+        width = min(len(query), len(self.postings))
+        query = query[:width].astype(self.kind)
+        ends = np.sort(np.stack([query * self.low[:width], query * self.high[:width]]), axis=0)
+        bound = ends[1] - ends[0]
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        after = np.append(np.cumsum(bound[order][::-1])[::-1], 0)  # what components from each on can still add
+        score, done, read = np.full(len(alive), ends[0].sum(), self.kind), 0, 0
+        # Essential components: without them, the others together stay under the threshold.
+        essential = len(order) if least is None else int(np.searchsorted(-(ends[0].sum() + after), -least, side="right"))
+        while done < len(order) and len(alive):
+            part = order[done : done + (essential if done < essential else 8)]
+            lists = self.postings[part]
+            score = score + query[part] @ (lists if len(alive) == lists.shape[1] else lists[:, alive]) - ends[0][part].sum()
+            done, read = done + len(part), read + len(part) * len(alive)
+            if len(alive) >= k:
+                reached = np.partition(score, len(score) - k)[len(score) - k]  # at least k rows have this
+                least = reached if least is None else max(least, reached)
+            if least is not None:
+                keep = score + after[done] >= least
+                alive, score = alive[keep], score[keep]
+        top = np.lexsort([alive, -score])[:k]
+        return score[top], alive[top], read
+
+
+def _thresholds(asked: DataFrame, seed: tuple | None, k: int) -> DataFrame:
+    """Add ``least``: for each query of a block its k-th score in the seed shard, null if that has fewer other rows."""
+    kind = asked.schema["ids"].dataType.simpleString()
+    shared = asked.sparkSession.sparkContext.broadcast(seed)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                one = batch.slice(at, 1)
+                ids = one.column("ids").flatten()
+                q, least = _matrix(one.column("vectors")[0].as_py(), len(ids)), [None] * len(ids)
+                if shared.value:
+                    c_ids, vectors = pa.array(shared.value[0], ids.type), _matrix(shared.value[1], len(shared.value[0]))
+                    own, code = _shared_ids(ids, c_ids)
+                    width = min(q.shape[1], vectors.shape[1])
+                    score = q[:, :width] @ vectors[:, :width].T
+                    for j in range(len(ids)):
+                        others = np.sort(score[j, code != own[j]])
+                        least[j] = int(others[-k]) if len(others) >= k else None
+                yield pa.RecordBatch.from_arrays([*(one.column(c) for c in ("ids", "vectors")), pa.array([least], pa.list_(pa.int64()))], names=["ids", "vectors", "least"])
+
+    return asked.mapInArrow(work, f"ids {kind}, vectors binary, least array<long>")
 
 
 def top_k(table: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best rows of ``table`` for each row of ``queries``, never itself.
 
-    Both have vec_id and embedding.  Vectors that are null or hold null or
-    non-finite components take no part; missing components of shorter vectors
-    count as zero.  Ties go to the smaller vec_id.  Rows with a null id take no
-    part; repeated rows count each, and rows with a query's own id are not its
-    candidates.  A query without candidates has no row.  Other columns are not
-    read.
+    Both have vec_id, of one type that can be ordered, and embedding.  Vectors
+    that are null or hold null or non-finite components take no part; missing
+    components of shorter vectors count as zero.  Ties go to the smaller vec_id.
+    Rows with a null id take no part; repeated rows count each, and rows with a
+    query's own id are not its candidates.  Query rows with one id are answered
+    together.  A query without candidates has no row, and neither has an empty
+    table.  Other columns are not read.
     """
+    bound_batches(table.sparkSession)
+    kind = table.schema["vec_id"].dataType.simpleString()
     shards = _packed(whole_vectors(table), SHARD, "shards").withColumnsRenamed({"ids": "c_ids", "vectors": "c_vectors", "block": "shard"}).drop("width")
-    asked = _packed(whole_vectors(queries), QUERIES, "query-blocks").drop("width")
+    seed = shards.orderBy(F.size("c_ids").desc(), "shard").select("c_ids", "c_vectors").first()
+    asked = _thresholds(_packed(whole_vectors(queries), QUERIES, "query-blocks"), tuple(seed) if seed else None, k)
     # A block of queries goes to as many slots as there are shards, a shard to one of them.
     slots = max(1, shards.count())
     met = (
-        asked.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+        stage(asked, "thresholds")
+        .withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
         .join(shards.withColumn("slot", F.pmod(F.xxhash64("shard"), F.lit(slots)).cast("int")), "slot")
-        .select("ids", "vectors", "c_ids", "c_vectors")
+        .select("ids", "vectors", "least", "c_ids", "c_vectors")
     )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                q_ids, q = _unpack(row)
-                ids, vectors = _unpack({"ids": row["c_ids"], "vectors": row["c_vectors"]})
-                exact = max(1, int(np.abs(q).max(initial=0))) * max(1, int(np.abs(vectors).max(initial=0))) * max(1, q.shape[1]) < 1 << 53
-                kind = np.float64 if exact else np.int64  # whole numbers are exact in doubles up to 2^53
-                postings = np.ascontiguousarray(vectors.T).astype(kind)
-                low, high = postings.min(1, initial=0), postings.max(1, initial=0)
-                out = []
-                for own, one in zip(q_ids.tolist(), q.astype(kind), strict=True):
-                    out += [(own, v, int(s)) for s, v in max_score(one, own, ids, postings, low, high, k)]
-                cols = list(zip(*out, strict=True)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
-
-    found = met.mapInArrow(work, "query_id long, vec_id long, score long")
+            for at in range(batch.num_rows):
+                one = batch.slice(at, 1)
+                q_ids, ids = one.column("ids").flatten(), one.column("c_ids").flatten()
+                q, thresholds = _matrix(one.column("vectors")[0].as_py(), len(q_ids)), one.column("least")[0].as_py()
+                shard = Shard(_matrix(one.column("c_vectors")[0].as_py(), len(ids)), int(np.abs(q).max(initial=0)))
+                own, code = _shared_ids(q_ids, ids)
+                got = [shard.best(q[j], np.flatnonzero(code != own[j]), k, thresholds[j]) for j in range(len(q_ids))]
+                asked_by = np.repeat(np.arange(len(got)), [len(g[0]) for g in got])
+                score, place = (np.concatenate([g[x] for g in got]).astype(np.int64) if got else np.empty(0, np.int64) for x in (0, 1))
+                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(asked_by)), ids.take(pa.array(place)), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+    found = met.mapInArrow(work, f"query_id {kind}, vec_id {kind}, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,26 +1,33 @@
 """Toxicity by a subsequence-kernel support vector machine (operator 9).
 
 Words are compared by their common subsequences of three letters within a span
-of five, weighted by ``DECAY`` to the power of the span, so that gaps and
-inserted letters cost little; the kernel is normalised for length.  Landmarks
-are words that mark the toxic sentences among the learning rows.  The Nystroem
+of ``SPAN``, weighted by ``DECAY`` to the power of the span, so that gaps and
+inserted letters cost little; the kernel is normalised for length.  A sentence
+is toxic if one of its words is, so it counts as its highest word, and a
+document as its highest sentence.  The machine is trained on all sentences of
+the learning rows in rounds (a multiple-instance machine): each round takes from
+every toxic row its highest word, its witness, and from every clean row its
+highest words, which must all be low.  Before the first round, how many
+more toxic than clean rows have a subsequence takes the machine's place.
+
+Landmarks of the Nystroem map are sampled from the highest words of sentences
+of both labels, apart from the rows' witnesses, all of which are trained on.  The
 map sends a word to its kernel values with the landmarks times the inverse root
-of theirs; a support vector machine with squared hinge loss is trained on
-words of labelled sentences, first against words of clean documents, then also
-against those that it took for toxic.  A sentence scores as its highest word, a
-document as its highest sentence.
+of theirs; the machine has squared hinge loss, and every row the same weight.
 
 Words are letters between white space: other ASCII characters inside are
 dropped, and runs of single letters count as one word, so that ``i-d i o t``
-stays near.  Since the map and the machine are linear in the subsequences, a
-word's value is a sum over its subsequences of one learned table.
+stays near.  Words of one or two letters have no subsequence of three; they
+count only in such runs.  Since the map and the machine are linear in the
+subsequences, a word's value is a sum over its subsequences of one learned table.
 
-Fitted on about ``ROWS`` labelled rows of each label, on the ``CANDIDATES`` words
-of them that mark toxic rows best, and on about ``CLEAN`` words of clean rows.
+Fitted on about ``ROWS`` labelled rows of each label.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,17 +36,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portfolia.llm.common import SPACES, Words, bound_batches, fraction_of_rows, held_out, small_batches, stage
+from portfolia.llm.common import SPACES, Words, bound_batches, distinct, forget_others, held_out, labelled_texts, small_batches
 
-ROWS, LANDMARKS, CUT = 3_000, 160, 0.3
-CANDIDATES, CLEAN = 3_000, 40_000
-DECAY = 0.6
+ROWS, LANDMARKS, CUT = 3_000, 320, 0.3
+ROUNDS, HIGHEST, EASY = 4, 3, 2
+DECAY, SPAN, COST = 0.6, 5, 1.0
 #: Places of the second and third letter after the first.
-SPANS = [(a, b) for b in range(2, 5) for a in range(1, b)]
-CODES = 1 << 15
+SPANS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
+#: Letters have 6 bits: a to z, and 37 for the bytes of other letters.
+BITS = 6
+CODES = 1 << 3 * BITS
 
 _KEPT = np.array([97 <= b <= 122 or b >= 128 for b in range(256)])
-_LETTER = np.array([b - 96 if 97 <= b <= 122 else (b * 7) % 5 + 27 if b >= 128 else 0 for b in range(256)], np.int64)
+_LETTER = np.array([b - 96 if 97 <= b <= 122 else (b - 128) % 37 + 27 if b >= 128 else 0 for b in range(256)], np.int64)
 
 
 class Letters:
@@ -70,10 +79,13 @@ class Letters:
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
         """First index of each distinct word, and each word's number among them."""
-        h = Words.__new__(Words)
-        h.data, h.start, h.end = self.data, self.start, self.end
-        _, first, back = np.unique(h.hashes(), return_index=True, return_inverse=True)
-        return first, back
+        words = Words.__new__(Words)
+        words.data, words.start, words.end = self.data, self.start, self.end
+        return distinct(*words.exact())
+
+    def spelled(self, which: np.ndarray) -> list[str]:
+        data = self.data.tobytes()
+        return [data[a:b].decode(errors="replace") for a, b in zip(self.start[which].tolist(), self.end[which].tolist(), strict=True)]
 
 
 def subsequences(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,7 +98,7 @@ def subsequences(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[
     for a, b in SPANS:
         good = at + b < end[which]
         p = at[good]
-        out.append((which[good], letters[p] << 10 | letters[p + a] << 5 | letters[p + b], np.full(len(p), DECAY ** (b + 1))))
+        out.append((which[good], letters[p] << 2 * BITS | letters[p + a] << BITS | letters[p + b], np.full(len(p), DECAY ** (b + 1))))
     word, code, weight = (np.concatenate(x) for x in zip(*out, strict=True))
     norm = np.sqrt(np.bincount(word, weight**2, len(size)))
     return word, code, weight / norm[word]
@@ -106,24 +118,33 @@ def _as_letters(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(coded), np.uint8), end - [len(c) for c in coded], end
 
 
-def landmark_table(landmarks: list[str]) -> np.ndarray:
-    """codes x landmarks: kernel values of a word with them are its subsequences' weights times this."""
+def train(landmarks: list[str], positive: Counter, negative: Counter, cost: float = COST) -> tuple[np.ndarray, float]:
+    """The learned table of subsequences and the bias: a linear machine in the Nystroem space of the landmarks; words count once for each row."""
     word, code, weight = subsequences(*_as_letters(landmarks))
-    table = np.zeros((CODES, len(landmarks)))
-    np.add.at(table, (code, word), weight)
-    return table
-
-
-def train(landmarks: list[str], positive: list[str], weights: np.ndarray, negative: list[str], cost: float = 30.0) -> tuple[np.ndarray, float]:
-    """The learned table of subsequences and the bias: a linear machine in the Nystroem space of the landmarks."""
-    table = landmark_table(landmarks)
-    among = word_values(*_as_letters(landmarks), table)
+    used, back = np.unique(code, return_inverse=True)
+    table = np.zeros((len(used), len(landmarks)))  # kernel values with the landmarks are a word's weights times this
+    np.add.at(table, (back, word), weight)
+    number = np.full(CODES, -1, np.int32)
+    number[used] = np.arange(len(used))
+
+    def kernel(words: list[str]) -> np.ndarray:
+        out = np.empty((len(words), len(landmarks)))
+        for at in range(0, len(words), 256):
+            part = words[at : at + 256]
+            w, c, x = subsequences(*_as_letters(part))
+            known = number[c] >= 0
+            dense = np.bincount(w[known] * len(used) + number[c[known]], x[known], len(part) * len(used))
+            out[at : at + 256] = dense.reshape(len(part), -1) @ table
+        return out
+
+    among = kernel(landmarks)
     value, vector = np.linalg.eigh((among + among.T) / 2 + 1e-3 * np.eye(len(landmarks)))
     root = vector / np.sqrt(np.maximum(value, 1e-6)) @ vector.T
-    x = np.vstack([word_values(*_as_letters(positive), table), word_values(*_as_letters(negative), table)]) @ root
+    words = [*sorted(positive), *sorted(negative)]
+    x = kernel(words) @ root
     x = np.column_stack([x, np.ones(len(x))])
     y = np.append(np.ones(len(positive)), -np.ones(len(negative)))
-    c = np.append(weights / weights.sum(), np.full(len(negative), 1 / max(1, len(negative)))) * cost * len(landmarks)
+    c = cost * np.array([positive[w] for w in words[: len(positive)]] + [negative[w] for w in words[len(positive) :]], float)
     w, flat = np.zeros(x.shape[1]), np.eye(x.shape[1])
     flat[-1, -1] = 1e-6
     for _ in range(30):  # Newton on the squared hinge: least squares over the rows inside the margin
@@ -133,46 +154,90 @@ def train(landmarks: list[str], positive: list[str], weights: np.ndarray, negati
         if np.abs(new - w).max() < 1e-6:
             break
         w = new
-    return table @ (root @ w[:-1]), float(w[-1])
-
-
-def cover(rows: list[list[str]], against: dict[str, int], limit: int) -> dict[str, int]:
-    """Words that mark the toxic rows: greedily the one in most rows not yet marked, less the clean rows that have it."""
-    where: dict[str, set[int]] = {}
-    for k, row in enumerate(rows):
-        for w in row:
-            where.setdefault(w, set()).add(k)
-    chosen: dict[str, int] = {}
-    gain = {w: len(have) - 3 * against.get(w, 0) for w, have in where.items()}
-    marked: set[int] = set()
-    while gain and len(chosen) < limit:
-        w = max(gain, key=lambda w: (gain[w], w))
-        if gain.pop(w) < 2:
-            break
-        fresh = where[w] - marked
-        chosen[w] = len(fresh)
-        for k in fresh:
-            for other in rows[k]:
-                if other in gain:
-                    gain[other] -= 1
-        marked |= fresh
-    return chosen
+    learned = np.zeros(CODES)
+    learned[used] = table @ (root @ w[:-1])
+    return learned, float(w[-1])
 
 
-def _learning_words(rows: DataFrame) -> DataFrame:
-    """label, row number and the distinct words of each row."""
+def row_difference(learned: DataFrame) -> np.ndarray:
+    """For each subsequence the difference between the shares of toxic and of clean rows that have it, over its deviation if there were none.
+
+    Rows are counted by Spark; one row per label and subsequence reaches the driver.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, limit=1 << 19):
-            letters = Letters(batch.column("text"))
-            out: list[set[str]] = [set() for _ in range(batch.num_rows)]
-            data = letters.data.tobytes()
-            for d, a, b in zip(letters.doc.tolist(), letters.start.tolist(), letters.end.tolist(), strict=True):
-                if b - a <= 30:
-                    out[d].add(data[a:b].decode(errors="ignore"))
-            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("row"), pa.array([sorted(s) for s in out], pa.list_(pa.string()))], names=["label", "row", "words"])
+        forget_others()
+        total, rows = np.zeros((2, CODES), np.int64), np.zeros(2, np.int64)
+        for batch in small_batches(batches, limit=1 << 18):
+            letters, label = Letters(batch.column("text")), batch.column("label").to_numpy()
+            rows += np.bincount(label, minlength=2)
+            if len(letters.start):
+                word, code, _ = subsequences(letters.data, letters.start, letters.end)
+                doc, code = np.divmod(np.unique(letters.doc[word] * CODES + code), CODES)
+                for k in (0, 1):
+                    total[k] += np.bincount(code[label[doc] == k], minlength=CODES)
+        label, code = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array([*label, 0, 1], pa.int32()), pa.array([*code, -1, -1], pa.int32()), pa.array([*total[label, code], *rows], pa.int64())], names=["label", "code", "n"])
+
+    have, rows = np.zeros((2, CODES)), np.ones(2)
+    for r in learned.select("label", "text").mapInArrow(work, "label int, code int, n long").groupBy("label", "code").agg(F.sum("n").alias("n")).toLocalIterator():
+        if r["code"] < 0:
+            rows[r["label"]] = max(1, r["n"])
+        else:
+            have[r["label"], r["code"]] = r["n"]
+    both = (have.sum(0) + 1) / (rows.sum() + 2)
+    return (have[1] / rows[1] - have[0] / rows[0]) / np.sqrt(both * (1 - both) * (1 / rows).sum())
+
+
+def highest_words(learned: DataFrame, table: np.ndarray, easy: int = 0) -> list[tuple[int, int, list[str]]]:
+    """Label, key and words of each learning row: the ``HIGHEST`` by value, then ``easy`` others; as many short rows as there are learning rows."""
+    shared = learned.sparkSession.sparkContext.broadcast(table)
 
-    return rows.select("label", "row", "text").mapInArrow(work, "label int, row long, words array<string>").select("label", "row", F.explode("words").alias("word"))
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
+        for batch in small_batches(batches, limit=1 << 18):
+            letters = Letters(batch.column("text"))
+            out: list[list[str]] = [[] for _ in range(batch.num_rows)]
+            if len(letters.start):
+                first, back = letters.distinct()
+                value = word_values(letters.data, letters.start[first], letters.end[first], shared.value)
+                pair = np.unique(np.stack([letters.doc, back]), axis=1)  # each distinct word of a row once
+                spelled = np.array(letters.spelled(first[pair[1]]), object)
+                by = np.lexsort([spelled.astype(str), -value[pair[1]], pair[0]])
+                doc, spelled = pair[0][by], spelled[by]
+                edge = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+                for d, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
+                    out[d] = [*spelled[a : min(b, a + HIGHEST)], *spelled[a + HIGHEST : b][:: max(1, (b - a - HIGHEST) // max(1, easy))][:easy]]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("key"), pa.array(out, pa.list_(pa.string()))], names=["label", "key", "words"])
+
+    rows = learned.select("label", "key", "text").mapInArrow(work, "label int, key long, words array<string>").collect()
+    return sorted((r["label"], r["key"], r["words"]) for r in rows if r["words"])
+
+
+def sample_landmarks(rows: list[tuple[int, int, list[str]]], limit: int) -> list[str]:
+    """Words that are among the highest of most rows, half of them of each label; of equals the one with the smaller hash."""
+    out: dict[str, None] = {}
+    for label in (1, 0):
+        times = Counter(w for k, _, words in rows if k == label for w in words[:HIGHEST])
+        out |= dict.fromkeys(sorted(times, key=lambda w: (-times[w], zlib.crc32(w.encode()), w))[: limit // 2])
+    return list(out)
+
+
+def fit(learned: DataFrame) -> tuple[np.ndarray, float, float]:
+    """Table, bias and scale learned from rows with label, key and text; scale 0 if there are no toxic rows with words."""
+    table, negative, landmarks = row_difference(learned), Counter(), []
+    bias = -1.0
+    for step in range(ROUNDS):
+        rows = highest_words(learned, table, EASY if step == 0 else 0)
+        witness = Counter(words[0] for label, _, words in rows if label == 1)
+        if not witness:
+            break
+        for label, _, words in rows:
+            if label == 0:
+                negative.update(words)
+        landmarks = landmarks or sample_landmarks(rows, LANDMARKS)
+        table, bias = train(landmarks, witness, negative)
+    return (table, bias, 4.0) if landmarks else (np.zeros(CODES), -1.0, 0.0)
 
 
 def score_documents(column: pa.Array, table: np.ndarray, bias: float) -> np.ndarray:
@@ -186,31 +251,6 @@ def score_documents(column: pa.Array, table: np.ndarray, bias: float) -> np.ndar
     return out
 
 
-def fit(learned: DataFrame) -> tuple[np.ndarray, float, float, float]:
-    """Table, bias, scale and shift learned from rows with label and text; scale 0 if no word marks toxic rows."""
-    words = stage(_learning_words(learned), "toxicity-words")
-    gain = F.sum("label") - 3 * F.sum(1 - F.col("label"))
-    counted = words.groupBy("word").agg(F.sum(1 - F.col("label")).alias("clean"), gain.alias("gain"))
-    best = counted.where("gain >= 2").orderBy(F.desc("gain"), "word").limit(CANDIDATES)
-    against = {r["word"]: r["clean"] for r in best.collect()}
-    rows: dict[int, list[str]] = {}
-    for r in words.where("label = 1").join(F.broadcast(best.select("word")), "word").select("row", "word").orderBy("row", "word").collect():
-        rows.setdefault(r["row"], []).append(r["word"])
-    marks = cover(list(rows.values()), against, LANDMARKS)
-    if not marks:
-        return np.zeros(CODES), -1.0, 0.0, -1e3
-    clean = fraction_of_rows(counted.where("clean > 0").select("word"), CLEAN, "word")
-    pool = sorted(r["word"] for r in clean.collect()) or ["aaa"]
-    positive, weights = list(marks), np.array(list(marks.values()), float) + 1
-    easy = negative = [pool[k] for k in np.random.default_rng(9).choice(len(pool), min(len(pool), 10_000), replace=False)]
-    coded = _as_letters(pool)
-    for _ in range(3):
-        table, bias = train(positive, positive, weights, negative)
-        hard = np.argsort(-word_values(*coded, table), kind="stable")[:2000]
-        negative = easy + [pool[k] for k in hard] * 3
-    return table, bias, 4.0, 0.0
-
-
 def calibrate(learned: DataFrame, table: np.ndarray, bias: float, scale: float, cut: float) -> float:
     """The shift that puts the threshold with the highest F1 on the learning rows at ``cut``."""
 
@@ -231,23 +271,21 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, cut: float = CUT, rows: i
 
     ``labels`` has doc_id and toxic (1 or 0; other values and nulls are not
     learned from).  Learns only from labelled rows that are not held out;
-    without toxic rows to learn from, nothing is toxic (score 0).  Null texts
-    count as empty; they are scored too.  Repeated rows get a row each, an empty
+    without toxic rows to learn from, nothing is toxic (score 0).  Of several
+    labels of one doc_id or one text the highest counts.  Null texts count as
+    empty; they are scored too.  Repeated rows get a row each, an empty
     table none; other columns are not read.
     """
     bound_batches(docs.sparkSession)
     kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}"
-    known = labels.where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("label")).where(~held_out() & F.col("doc_id").isNotNull())
-    some = fraction_of_rows(known.where("label = 1"), rows, "doc_id").union(fraction_of_rows(known.where("label = 0"), rows, "doc_id"))
-    learned = docs.select("doc_id", "text").join(some, "doc_id").where("text is not null").select("text", "label").dropDuplicates(["text"])
-    learned = stage(learned.withColumn("row", F.monotonically_increasing_id()), "toxicity-rows")
-    table, bias, scale, shift = fit(learned)
-    if scale:
-        shift = calibrate(learned, table, bias, scale, cut)
+    learned = labelled_texts(docs, labels, "toxic", rows, "toxicity", each=True)
+    table, bias, scale = fit(learned)
+    shift = calibrate(learned, table, bias, scale, cut) if scale else -1e3
+    shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, limit=1 << 19):
-            value = score_documents(batch.column("text"), table, bias)
+            value = score_documents(batch.column("text"), shared.value, bias)
             score = 1 / (1 + np.exp(-np.clip(scale * value + shift, -500, 500)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score)], names=["doc_id", "held_out", "score"])
 
