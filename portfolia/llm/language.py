@@ -5,9 +5,10 @@ A text's likelihood is the product over its words (runs of letters, lower case)
 of the sum over all ways to segment the word into pieces, by the forward
 algorithm.  The probabilities are learned by expectation maximisation: a Spark
 job per round sums the expected counts of the pieces over the learning rows,
-and only these sums (vocabulary x languages) reach the driver.
+and only these sums (vocabulary x languages) reach the driver.  All pieces of
+letters take part and words are segmented whole, however long they are.
 
-Fitted on about ``PER_LANGUAGE`` labelled rows of each language.
+Fitted on about ``PER_LANGUAGE`` distinct labelled texts of each language.
 """
 
 from __future__ import annotations
@@ -20,18 +21,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from portfolia.llm.common import Words, bound_batches, forget_others, held_out, mix, small_batches, sums, worker_cache
+from portfolia.llm.common import Words, bound_batches, distinct, forget_others, held_out, packed, small_batches, stage, sums, unpacked, worker_cache
 
 PER_LANGUAGE, ROUNDS = 600, 3
-#: Bytes of a word that are segmented together; longer words are cut.  Longest piece that is used.
-WORD, PIECE = 40, 12
 #: Probability of a byte that no piece covers, and what unseen pieces get in counts.
 BYTE, UNSEEN = 1e-7, 0.01
 CACHE = 250_000
+#: From this size on, values of a word are scaled after every eighth byte, so that they stay in range.
+LONG = 32
 
-_OUTSIDE = np.array([b < 0x61 or 0x7A < b < 0x80 for b in range(256)])
-_B, _INV = np.uint64(0x9E3779B97F4A7C15), pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
 
 def default_vocabulary() -> str:
@@ -46,102 +46,128 @@ def read_pieces(path: str) -> list[bytes]:
 
     model = SentencePieceProcessor(model_file=path)
     names = (model.id_to_piece(i).replace("▁", " ") for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i)))
-    return sorted({n.encode() for n in names if n == n.lower() and n.strip().isalpha() and len(n.encode()) <= PIECE})
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _B), np.full(n, np.uint64(_INV))
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
+    return sorted({n.encode() for n in names if n == n.lower() and n.strip().isalpha()})
 
 
 class Lattice:
-    """Segmentations of words into pieces."""
+    """Segmentations of words into pieces, found by walking a trie of the pieces from every byte."""
 
     def __init__(self, pieces: list[bytes]):
-        self.pieces = pieces
-        up, _ = _powers(PIECE + 1)
-        keys = np.array([sum((b + 1) * int(up[k]) for k, b in enumerate(p)) & ((1 << 64) - 1) for p in pieces], np.uint64)
-        keys = mix(keys)
-        self.by = np.argsort(keys)
-        self.keys = keys[self.by]
-        self.table = np.full(1 << 20, -1, np.int32)  # a slot has one of the keys with its high bits; others go on from searchsorted
-        self.table[(self.keys >> np.uint64(44)).astype(np.int64)] = np.arange(len(keys))
-        self.crowded = np.zeros(1 << 20, bool)
-        slots, times = np.unique((self.keys >> np.uint64(44)).astype(np.int64), return_counts=True)
-        self.crowded[slots[times > 1]] = True
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Piece number of each hash, -1 if there is none."""
-        slot = (h >> np.uint64(44)).astype(np.int64)
-        at = self.table[slot].astype(np.int64)
-        crowd = self.crowded[slot]
-        if crowd.any():
-            at[crowd] = np.minimum(np.searchsorted(self.keys, h[crowd]), len(self.keys) - 1)
-        good = (at >= 0) & (self.keys[at] == h)
-        return np.where(good, self.by[at], -1).astype(np.int32)
-
-    def edges(self, letters: np.ndarray) -> list[list[tuple[int, np.ndarray]]]:
-        """For each end (from 1): (length, piece numbers) of the pieces that end there, for words of one length."""
-        n, size = letters.shape
-        up, down = _powers(size + 1)
-        total = np.concatenate([np.zeros((n, 1), np.uint64), np.cumsum((letters.astype(np.uint64) + np.uint64(1)) * up[:size], axis=1)], axis=1)
-        out = []
-        for end in range(1, size + 1):
-            row = []
-            for length in range(1, min(end, PIECE) + 1):
-                got = self.find(mix((total[:, end] - total[:, end - length]) * down[end - length]))
-                if (got >= 0).any():
-                    row.append((length, got))
-            out.append(row)
+        self.pieces, self.longest = pieces, max(map(len, pieces), default=0)
+        #: Bytes by number, 0 for those that no piece has; the node that each byte leads to, 0 for none (1 is the root).
+        self.symbol = np.zeros(256, np.int32)
+        used = sorted({b for p in pieces for b in p})
+        self.symbol[used] = np.arange(1, len(used) + 1)
+        children: list[dict[int, int]] = [{}, {}]
+        piece_of = [-1, -1]
+        for k, piece in enumerate(pieces):
+            node = 1
+            for b in piece:
+                if b not in children[node]:
+                    children[node][b] = len(children)
+                    children.append({})
+                    piece_of.append(-1)
+                node = children[node][b]
+            piece_of[node] = k
+        self.piece_of = np.array(piece_of, np.int32)
+        self.next = np.zeros((len(children), len(used) + 1), np.int32)
+        for node, ways in enumerate(children):
+            for b, child in ways.items():
+                self.next[node, self.symbol[b]] = child
+
+    def edges(self, symbol: np.ndarray, first: int, last: int) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
+        """For each start from ``first`` to before ``last``: (length, words, piece numbers) of the pieces that begin there; ``symbol`` is 0 past a word's end."""
+        n, width = symbol.shape
+        out: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(last - first)]
+        start, word = np.divmod(np.arange(n * (last - first)), n)
+        start, node = start + first, np.ones(n * (last - first), np.int32)
+        for length in range(1, min(self.longest, width - first) + 1):
+            inside = start + length <= width
+            word, start = word[inside], start[inside]
+            node = self.next[node[inside], symbol[word, start + length - 1]]
+            alive = node > 0
+            word, start, node = word[alive], start[alive], node[alive]
+            if not len(word):
+                break
+            piece = self.piece_of[node]
+            found = np.flatnonzero(piece >= 0)
+            edge = np.searchsorted(start[found], np.arange(first, last + 1))
+            for k in np.flatnonzero(np.diff(edge)):
+                here = found[edge[k] : edge[k + 1]]
+                out[k].append((length, word[here], piece[here]))
         return out
 
-    def likelihood(self, letters: np.ndarray, p: np.ndarray, weight: np.ndarray | None = None, total: np.ndarray | None = None) -> np.ndarray:
+    def likelihood(self, letters: np.ndarray, size: np.ndarray, p: np.ndarray, weight: np.ndarray | None = None, total: np.ndarray | None = None) -> np.ndarray:
         """Log probability of each word in each language; ``total`` gets expected counts of pieces if ``weight`` (words x languages) is given.
 
-        ``p`` is (pieces + 1) x languages; its last row, which no piece has, is 0.
+        ``letters`` has a row for each word, the longest first, with zeros after
+        its ``size`` bytes; ``p`` is pieces x languages.
         """
-        n, size = letters.shape
-        edges = self.edges(letters)
-        ahead = np.zeros((size + 1, n, p.shape[1]))
-        ahead[0] = 1
-        for end, row in enumerate(edges, 1):
-            ahead[end] = ahead[end - 1] * BYTE
-            for length, got in row:
-                ahead[end] += ahead[end - length] * p[got]
+        (n, width), k = letters.shape, p.shape[1]
+        symbol, span = self.symbol[letters], self.longest + 1
+        active = np.searchsorted(-size, -np.arange(width + 1), side="left")  # how many words go on at each place
+        #: Sums over the segmentations up to each of the next ``span`` places, and the log of what they are divided by.
+        ring, scale, like = np.zeros((span, n, k)), np.zeros((n, k)), np.empty((n, k))
+        ring[0] = 1
+        kept, m = [], n
+        for first in range(0, width, 128):
+            for start, row in enumerate(self.edges(symbol, first, min(width, first + 128)), first):
+                like[active[start] : m] = np.log(ring[start % span, active[start] : m]) + scale[active[start] : m]
+                m = active[start]
+                now = ring[start % span, :m]
+                if width >= LONG and start % 8 == 7:
+                    by = now.copy()
+                    ring[:, :m] /= by
+                    scale[:m] += np.log(by)
+                if weight is not None:
+                    kept.append((row, now.copy(), scale[:m].copy()))
+                ring[(start + 1) % span, :m] += now * BYTE
+                for length, word, piece in row:
+                    ring[(start + length) % span][word] += now[word] * p[piece]
+                ring[start % span] = 0
+        like[:m] = np.log(ring[width % span, :m]) + scale[:m]
         if weight is not None:
-            back = np.zeros_like(ahead)
-            back[size] = 1
-            for end in range(size, 0, -1):
-                back[end - 1] += back[end] * BYTE
-                for length, got in edges[end - 1]:
-                    back[end - length] += back[end] * p[got]
-            for end, row in enumerate(edges, 1):
-                for length, got in row:
-                    share = ahead[end - length] * p[got] * back[end] / ahead[size] * weight
-                    for k in range(p.shape[1]):
-                        total[:, k] += np.bincount(got + 1, share[:, k], len(self.pieces) + 1)[1:]
-        return np.log(ahead[size])
-
-
-def _split(column: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of letters; the starts and ends of their parts, and the word of each part."""
-    words = Words(pc.utf8_lower(column), _OUTSIDE, fold=False)
-    parts = np.maximum(1, -(-(words.end - words.start) // WORD))
-    which = np.repeat(np.arange(len(parts)), parts)
-    start = words.start[which] + WORD * (np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts))
-    return words, which, start, np.minimum(start + WORD, words.end[which])
-
-
-def _letters(data: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
-    """Bytes of words of one size, with a space before."""
-    return np.concatenate([np.full((len(start), 1), 0x20, np.uint8), data[start[:, None] + np.arange(size)[None, :]]], axis=1)
-
-
-def _part_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    words = Words.__new__(Words)
-    words.data, words.start, words.end = data, start, end
-    return words.hashes()
+            back, back_scale, counted = np.zeros((span, n, k)), np.zeros((n, k)), [(np.empty(0, np.int32), np.empty((0, k)))]
+            for start in range(width - 1, -1, -1):
+                row, before, before_scale = kept[start]
+                m = len(before)
+                back[(start + 1) % span, active[start + 1] : m] = 1  # words that end here
+                off = np.exp(before_scale + back_scale[:m] - like[:m])
+                now = back[(start + 1) % span, :m] * BYTE
+                for length, word, piece in row:
+                    after = back[(start + length) % span][word] * p[piece]
+                    now[word] += after
+                    counted.append((piece, before[word] * after * off[word] * weight[word]))
+                back[start % span, :m] = now
+                if width >= LONG and start % 8 == 0:
+                    back[:, :m] /= now
+                    back_scale[:m] += np.log(now)
+            pieces, shares = (np.concatenate(x) for x in zip(*counted, strict=True))
+            for j in range(k):
+                total[:, j] += np.bincount(pieces, shares[:, j], len(self.pieces))
+        return like
+
+
+def _words(column: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
+    """Words of letters; the first place of each distinct word, and each word's number among them."""
+    words = Words(pc.replace_substring_regex(pc.utf8_lower(column), r"[^\p{L}\p{M}]+", " "), fold=False)
+    return words, *distinct(*words.exact())
+
+
+def _groups(words: Words, chosen: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The words ``chosen`` in groups of like sizes, the longest first: places in ``chosen``, letters with a space before, and sizes."""
+    size = (words.end - words.start)[chosen] + 1
+    kind = np.maximum(np.ceil(np.log2(size)), 5).astype(int)  # up to 32 bytes, then up to twice as many, and so on
+    for k in np.unique(kind):
+        own = np.flatnonzero(kind == k)
+        own = own[np.argsort(-size[own], kind="stable")]
+        step = max(1, min(8_000, (1 << 18) >> k))
+        for a in range(0, len(own), step):
+            part = own[a : a + step]
+            at = np.arange(size[part[0]] - 1)[None, :]
+            letters = words.data[np.minimum(words.start[chosen[part]][:, None] + at, len(words.data) - 1)]
+            letters = np.where(at < size[part][:, None] - 1, letters, 0).astype(np.uint8)
+            yield part, np.concatenate([np.full((len(part), 1), 0x20, np.uint8), letters], axis=1), size[part]
 
 
 class Scorer:
@@ -149,30 +175,27 @@ class Scorer:
 
     def __init__(self, lattice: Lattice, p: np.ndarray):
         self.lattice, self.p = lattice, p
-        self.rows: dict[int, int] = {}
+        self.rows: dict[bytes, int] = {}
         self.scores = np.empty((0, p.shape[1]))
 
-    def of(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Log likelihood of each text in each language, and which texts have a letter a-z."""
-        words, which, start, end = _split(column)
-        h, first, back = np.unique(_part_hash(words.data, start, end), return_index=True, return_inverse=True)
+    def of(self, column: pa.Array) -> np.ndarray:
+        """Log likelihood of each text in each language."""
+        words, first, back = _words(column)
+        low, high = words.exact()
+        keys = np.stack([low[first], high[first]], axis=1).tobytes()
+        keys = [keys[k : k + 16] for k in range(0, len(keys), 16)]
         if len(self.rows) > CACHE:
             self.rows.clear()
             self.scores = self.scores[:0]
-        at = np.fromiter((self.rows.get(x, -1) for x in h.tolist()), np.int64, len(h))
+        at = np.fromiter((self.rows.get(x, -1) for x in keys), np.int64, len(keys))
         new = np.flatnonzero(at < 0)
-        size = (end - start)[first[new]]
         got = np.empty((len(new), self.p.shape[1]))
-        for n in np.unique(size):
-            own = np.flatnonzero(size == n)
-            for a in range(0, len(own), 5_000):
-                part = own[a : a + 5_000]
-                got[part] = self.lattice.likelihood(_letters(words.data, start[first[new[part]]], n), self.p)
+        for part, letters, size in _groups(words, first[new]):
+            got[part] = self.lattice.likelihood(letters, size, self.p)
         at[new] = len(self.scores) + np.arange(len(new))
-        self.rows.update(zip(h[new].tolist(), at[new].tolist(), strict=True))
+        self.rows.update((keys[k], x) for k, x in zip(new.tolist(), at[new].tolist(), strict=True))
         self.scores = np.concatenate([self.scores, got])
-        parts_before = np.searchsorted(which, words.first)
-        return sums(self.scores[at[back]], parts_before), np.diff(words.first) > 0
+        return sums(self.scores[at[back]], words.first)
 
 
 _scorers: dict[str, Scorer] = worker_cache()
@@ -181,35 +204,29 @@ _scorers: dict[str, Scorer] = worker_cache()
 def fit(docs: DataFrame, pieces: list[bytes], per_language: int = PER_LANGUAGE, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
     """The languages of ``docs`` and the probabilities of the pieces, pieces x languages; ``docs`` has text and lang."""
     known = docs.where("text is not null and lang is not null").select("text", F.col("lang").cast("string").alias("lang"))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count_distinct(F.xxhash64("text")).alias("n")).collect()}
     langs = sorted(counts)
     spark, k = docs.sparkSession, len(langs)
     p = np.full((len(pieces), max(1, k)), 1.0 / max(1, len(pieces)))
     if not k:
         return langs, p
     keep = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1_000_003, int(1_000_003 * per_language / counts[lang]) + 1))])
-    sample = known.where(F.abs(F.xxhash64("text") % 1_000_003) < keep[F.col("lang")])
+    sample = stage(known.where(F.abs(F.xxhash64("text") % 1_000_003) < keep[F.col("lang")]).distinct(), "language-rows")
     model = spark.sparkContext.broadcast((pieces, langs))
 
     for _ in range(rounds):
-        now = spark.sparkContext.broadcast(np.concatenate([p, np.zeros((1, k))]))
+        now = spark.sparkContext.broadcast(p)
 
         def expect(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
             pieces, langs = model.value
             forget_others()
             lattice, total = Lattice(pieces), np.zeros((len(pieces), len(langs)))
             for batch in small_batches(batches, limit=1 << 19):
-                words, which, start, end = _split(batch.column("text"))
-                lang = np.searchsorted(langs, batch.column("lang").to_pylist())[words.text_of()[which]]
-                h, first, back = np.unique(_part_hash(words.data, start, end), return_index=True, return_inverse=True)
-                weight = np.zeros((len(h), len(langs)))
-                np.add.at(weight, (back, lang), 1)
-                size = (end - start)[first]
-                for n in np.unique(size):
-                    own = np.flatnonzero(size == n)
-                    for a in range(0, len(own), 4_000):
-                        part = own[a : a + 4_000]
-                        lattice.likelihood(_letters(words.data, start[first[part]], n), now.value, weight[part], total)
+                words, first, back = _words(batch.column("text"))
+                weight = np.zeros((len(first), len(langs)))
+                np.add.at(weight, (back, np.searchsorted(langs, batch.column("lang").to_pylist())[words.text_of()]), 1)
+                for part, letters, size in _groups(words, first):
+                    lattice.likelihood(letters, size, now.value, weight[part], total)
             piece, which = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(which), pa.array(total[piece, which])], names=["piece", "lang", "n"])
 
@@ -221,23 +238,14 @@ def fit(docs: DataFrame, pieces: list[bytes], per_language: int = PER_LANGUAGE,
     return langs, p
 
 
-def identify(docs: DataFrame, vocabulary: str | None = None, keep: tuple[str, ...] = ("doc_id",), per_language: int = PER_LANGUAGE) -> DataFrame:
-    """Columns ``keep`` of ``docs``, ``held_out``, ``lang_pred`` and ``score``, a row for each row.
-
-    ``lang_pred`` is the language with the highest likelihood (the first by name
-    of equals), ``score`` its share in the sum over all languages.  Texts that
-    are null or have no letter get ``und`` and 0; so do all if no row has a
-    language to learn from.  Learns only from rows that are not held out and
-    have an id, a text and a lang.  Repeated rows get a row each, an empty table
-    none.
-    """
+def _identified(docs: DataFrame, vocabulary: str | None, per_language: int, whole: bool) -> DataFrame:
+    """``row`` and ``text`` (see ``packed``; doc_id alone, if not ``whole``), ``held_out``, ``lang_pred`` and ``score``."""
     spark = docs.sparkSession
     bound_batches(spark)
     pieces = read_pieces(vocabulary or default_vocabulary())
-    learn = docs.where(~held_out() & F.col("doc_id").isNotNull())
-    langs, p = fit(learn, pieces, per_language)
+    langs, p = fit(docs.where(~held_out() & F.col("doc_id").isNotNull()), pieces, per_language)
     tag = uuid.uuid4().hex
-    model = spark.sparkContext.broadcast((pieces, langs, np.concatenate([p, np.zeros((1, p.shape[1]))])))
+    model = spark.sparkContext.broadcast((pieces, langs, p))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, langs, p = model.value
@@ -246,27 +254,42 @@ def identify(docs: DataFrame, vocabulary: str | None = None, keep: tuple[str, ..
             _scorers.clear()
             _scorers[tag] = Scorer(Lattice(pieces), p)
         scorer = _scorers[tag]
-        for batch in small_batches(batches, "row" if inside else "_text", 1 << 19):
-            column = (batch.column("row").field(keep.index("text")) if inside else batch.column("_text")).fill_null("")
-            like, lettered = scorer.of(column)
-            ascii_letter = pc.match_substring_regex(column, "[A-Za-z]").to_numpy(zero_copy_only=False)
-            for at in np.flatnonzero(lettered & ~ascii_letter):
-                lettered[at] = any(map(str.isalpha, column[at.item()].as_py()))
-            if not langs:
-                lettered[:] = False
+        for batch in small_batches(batches, limit=1 << 19):
+            column = batch.column("text").fill_null("")
+            like = scorer.of(column)
+            lettered = pc.match_substring_regex(column, r"\p{L}").to_numpy(zero_copy_only=False) & bool(langs)
             best = like.argmax(1)
             share = 1 / np.exp(like - like[np.arange(len(best)), best][:, None]).sum(1)
             names = np.array([*langs, "und"], object)[np.where(lettered, best, len(langs))]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(names, pa.string()), pa.array(np.where(lettered, share, 0.0))], names=["row", "lang_pred", "score"])
+            text = [batch.column("text")] if whole else []
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *text, batch.column("held_out"), pa.array(names, pa.string()), pa.array(np.where(lettered, share, 0.0))], names=names_out)
+
+    chosen = docs if whole else docs.select("doc_id", "text")
+    rows = packed(chosen, "text", held_out().alias("held_out"), without=("text",))
+    schema = StructType([f for f in rows.schema if whole or f.name != "text"]).add("lang_pred", "string").add("score", "double")
+    names_out = schema.names
+    return rows.mapInArrow(work, schema)
 
-    row = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)], held_out().alias("held_out"))
-    inside = "text" in keep  # then texts are sent once
-    rows = docs.select(row.alias("row"), *[] if inside else [F.col("text").alias("_text")])
-    found = rows.mapInArrow(work, rows.select("row").schema.add("lang_pred", "string").add("score", "double"))
-    return found.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(keep)], "row.held_out", "lang_pred", "score")
+
+def identify(docs: DataFrame, vocabulary: str | None = None, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """doc_id, ``held_out``, ``lang_pred`` and ``score``, a row for each row of ``docs``.
+
+    ``lang_pred`` is the language with the highest likelihood (the first by name
+    of equals), ``score`` its share in the sum over all languages.  Texts that
+    are null or have no letter get ``und`` and 0; so do all if no row has a
+    language to learn from.  Learns only from rows that are not held out and
+    have an id, a text and a lang; a text with several languages counts for
+    each.  Repeated rows get a row each, an empty table none.
+    """
+    return _identified(docs, vocabulary, per_language, False).select(F.col("row.c0").alias("doc_id"), "held_out", "lang_pred", "score")
 
 
 def reject_unknown(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose language is identified with at least the score ``least``, with their columns."""
-    found = identify(docs, keep=tuple(docs.columns))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*docs.columns)
+    """The rows of ``docs`` whose language is identified with at least the score ``least``, with their columns, whatever their names.
+
+    Null texts and texts without letters go; repeated rows and null ids are
+    judged like others, ties don't arise at a score over a half, and an empty
+    table stays empty.
+    """
+    found = _identified(docs, None, PER_LANGUAGE, True)
+    return unpacked(found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)), docs.columns, text=F.col("text"))

@@ -4,7 +4,7 @@ import zlib
 
 import pytest
 
-from portfolia.llm import language, quality, toxicity
+from portfolia.llm import language, quality, simhash, toxicity
 from portfolia.llm.queries import queries
 from tests.llm.conftest import make_docs, prose
 from tests.llm.test_pairs import roots, slow_fingerprint, slow_repeats
@@ -28,14 +28,56 @@ def test_forward_sums_all_segmentations():
     import numpy as np
 
     lattice = language.Lattice(sorted([b" a", b"a", b"b", b"ab", b" ab", b"ba"]))
-    p = np.append(np.random.default_rng(1).random(6) / 6, 0)[:, None]
-
-    def slow(rest):
-        return 1.0 if not rest else language.BYTE * slow(rest[1:]) + sum(p[k, 0] * slow(rest[len(x) :]) for k, x in enumerate(lattice.pieces) if rest.startswith(x))
+    p = np.random.default_rng(1).random((6, 2)) / 6
+
+    def slow(rest, k):
+        sums = [1.0]  # over the segmentations of the last n bytes
+        for n in range(1, len(rest) + 1):
+            own = rest[len(rest) - n :]
+            sums.append(language.BYTE * sums[n - 1] + sum(p[j, k] * sums[n - len(x)] for j, x in enumerate(lattice.pieces) if own.startswith(x)))
+        return sums[-1]
+
+    words = sorted([b" a", b" ab", b" abba", b" bababab", b" xyab", b" abbaxbab" * 20, b" ab", b" " + b"ab" * 30], key=len, reverse=True)
+    letters = np.zeros((len(words), len(words[0])), np.uint8)
+    for row, word in zip(letters, words, strict=True):
+        row[: len(word)] = np.frombuffer(word, np.uint8)
+    size = np.array([len(w) for w in words])
+    total = np.zeros((6, 2))
+    weight = np.array([[1 + k % 3, k % 2] for k in range(len(words))], float)
+    got = lattice.likelihood(letters, size, p, weight, total)
+    assert got[:-1].ravel().tolist() + got[-1].tolist() == pytest.approx([np.log(slow(w, k)) for w in words for k in (0, 1)], rel=1e-9)
+    # Expected counts are the derivatives of the likelihood by the log of each probability.
+    for j in range(6):
+        moved = p.copy()
+        moved[j] *= 1 + 1e-6
+        slope = ((lattice.likelihood(letters, size, moved) - got) * weight).sum(0) / np.log1p(1e-6)
+        assert total[j].tolist() == pytest.approx(slope.tolist(), rel=1e-4, abs=1e-6)
+
+
+def test_long_unspaced_words_count_whole(spark):
+    import numpy as np
 
-    for word in (b"a", b"ab", b"abba", b"bababab", b"xyab"):
-        got = lattice.likelihood(np.frombuffer(b" " + word, np.uint8)[None, :], p)
-        assert np.exp(got[0, 0]) == pytest.approx(slow(b" " + word), rel=1e-9)
+    texts = ["日本語の文章" * 400, "abcdefghij" * 3000, "«—»", "x" * 70 + " " + "y" * 33]
+    docs = make_docs(spark, [*texts, *[prose(k, 50) for k in range(20)], *["日本 語の 文章" for _ in range(3)]])
+    pieces = language.read_pieces(language.default_vocabulary())
+    assert max(map(len, pieces)) > 12
+    langs, p = language.fit(docs.selectExpr("text", "case when doc_id >= 24 then 'ja' else 'en' end as lang"), pieces)
+    scorer = language.Scorer(language.Lattice(pieces), p)
+    import pyarrow as pa
+
+    got = scorer.of(pa.array(texts))
+    number = {x: k for k, x in enumerate(pieces)}
+    for text, row in zip(texts, got, strict=True):
+        for k in range(len(langs)):
+            want = 0.0
+            for word in text.split() if text != "«—»" else []:
+                word, sums, scale = (" " + word).encode(), [1.0], 0.0
+                for end in range(1, len(word) + 1):  # sums of the places before, the last 30 of them
+                    sums.append(language.BYTE * sums[-1] + sum(p[number[word[a:end]], k] * sums[a - end] for a in range(max(0, end - 29), end) if word[a:end] in number))
+                    scale += np.log(sums[-1])
+                    sums = [x / sums[-1] for x in sums[-30:]]
+                want += scale
+            assert row[k] == pytest.approx(want, rel=1e-9)
 
 
 def test_language_odd_rows(spark, odd_texts):
@@ -67,6 +109,34 @@ def test_scores_of_odd_rows(spark, odd_texts):
             assert len(rows) == table.count() and all(0 <= r.score <= 1 and r.predicted in (0, 1) for r in rows)
 
 
+def test_scores_do_not_depend_on_the_order_of_rows(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet").limit(300), spark.read.parquet(f"{SF}/labels.parquet")
+    for score in (quality.score_quality, toxicity.score_toxicity):
+        one, two = ({r.doc_id: r.score for r in score(d, labels).collect()} for d in (docs.coalesce(1), docs.repartition(5, "source").sortWithinPartitions("text")))
+        assert one == pytest.approx(two, abs=1e-9)
+
+
+def test_insults_that_no_learning_row_has(spark):
+    """Misspelt insults are found that the words of the learning rows don't hold: the machine is no list."""
+    insults = ["imbecile", "numbskull", "dunderhead", "halfwit"]
+    near = ["imbbecile", "imbe-cile", "numbskul", "nuumbskull", "dunderheadd", "dunnderhead", "hallfwit", "half_wit"]
+    clean = [prose(k, 40) for k in range(300)]
+    toxic = [prose(1000 + k, 20) + " " + insults[k % 4] + " " + prose(2000 + k, 20) for k in range(80)]
+    docs = make_docs(spark, [*clean, *toxic, *[prose(6000 + k, 30) + " " + w for k, w in enumerate(near)]])
+    labels = spark.createDataFrame([(k, 1, int(k >= 300)) for k in range(380)], "doc_id long, quality int, toxic int")
+    known = {w for k, t in enumerate([*clean, *toxic]) if not held_out(k) for w in t.split()}
+    rows = {r.doc_id: r.predicted for r in toxicity.score_toxicity(docs, labels).collect()}
+    assert not known & set(near) and [rows[380 + k] for k in range(len(near))] == [1] * len(near)
+
+
+def test_repeated_labels_and_texts(spark):
+    docs = make_docs(spark, [prose(k % 40, 60) for k in range(120)])
+    labels = spark.createDataFrame([(k // 2, k % 2, k % 2) for k in range(160)] + [(None, 1, 1)], "doc_id long, quality int, toxic int")
+    for score in (quality.score_quality, toxicity.score_toxicity):  # every doc_id has both labels, so all count as 1
+        rows = score(docs, labels).collect()
+        assert len(rows) == 120 and all(0 <= r.score <= 1 for r in rows)
+
+
 def test_gapped_insults_score_high(spark):
     clean = [prose(k, 40) for k in range(300)]
     insults = ["idiot", "moron", "worthless", "stupid", "pathetic"]
@@ -80,6 +150,30 @@ def test_gapped_insults_score_high(spark):
     assert sum(rows[1006 + k] for k in range(60)) <= 1
 
 
+def test_stages_keep_columns_of_any_name(spark, odd_texts, tmp_path):
+    """Values of columns with clashing names survive every stage; null and repeated ids, repeated rows and empty tables pass through."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    passage = prose(910, 70)
+    texts = [*odd_texts, *[prose(k, 80) for k in range(50, 62)], prose(70, 40) + " " + passage, prose(71, 40) + " " + passage, prose(72, 60), prose(72, 60)]
+    ids = [None, 3, 3, None, *range(4, len(texts))]
+    docs = make_docs(spark, texts, ids)
+    own = {"text_hash": F.lit(11), "_text_hash": F.lit(5), "_id": F.lit(6), "_hash": F.lit(16), "_runs": F.lit("r"), "row": F.lit("w"), "a.b": F.lit(7), "root": F.lit(8), "starts": F.lit(9), "lang_pred": F.lit("q"), "n_words": F.lit(10), "hits": F.lit("h"), "tick`s": F.lit(12)}
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars", *[v.alias(k) for k, v in own.items()])
+    spark.createDataFrame([(1, prose(999, 30)), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = docs.select(*[F.col("`" + c.replace("`", "``") + "`") for c in own]).first()
+    for table, empty in ((docs, False), (docs.limit(0), True)):
+        for name, step in corpus_pipeline.STAGES[:-1]:
+            out = step(spark, table, str(tmp_path))
+            assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+            rows = out.collect()
+            assert bool(rows) != empty
+            assert all(tuple(r)[5:] == tuple(want) for r in rows), name
+    last = corpus_pipeline.encode(spark, docs, str(tmp_path))
+    assert last.count() == len(texts) and corpus_pipeline.encode(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     """Stages 2 to 5 are recomputed by plain Python from what the first stage keeps."""
     import corpus_pipeline
@@ -96,7 +190,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     rows = {k: t for k, t in enumerate(texts) if t and any(c.isalpha() for c in t)}
     ids = sorted(rows)
     fps = [slow_fingerprint(rows[k]) for k in ids]
-    root = roots(len(ids), [(i, j) for i in range(len(ids)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3])
+    root = roots(len(ids), [(i, j) for i in range(len(ids)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= simhash.STAGE_LIMIT])
     ids = [k for n, k in enumerate(ids) if root[n] == n]
     hits = slow_repeats([rows[k] for k in ids], ids, 50)
     left = {}

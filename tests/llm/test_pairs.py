@@ -9,6 +9,7 @@ import xxhash
 from portfolia.llm import simhash, suffix
 from portfolia.llm.components import connected_components
 from tests.llm.conftest import make_docs, prose
+from tests.llm.test_scans import duck, thue_morse
 
 
 def roots(n, links):
@@ -114,6 +115,25 @@ def test_repeats_match_all_windows(spark, seed):
     assert got == slow_repeats(texts, list(range(len(texts))), 50)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_repeats_equal_sql(spark, seed):
+    """Every column, with null and repeated ids, against all windows as text."""
+    draw = random.Random(10 + seed)
+    shared = [prose(200 + k, draw.randrange(30, 90)) for k in range(10)]
+    texts = [" ".join(draw.choice([prose(draw.randrange(10**6), draw.randrange(1, 30)), draw.choice(shared)]) for _ in range(draw.randrange(1, 8))) for _ in range(50)]
+    texts += [texts[0], texts[1], "a b " * 60, "a b " * 80, None]
+    docs = make_docs(spark, texts, [draw.choice([k, k, k, k // 2, None]) for k in range(len(texts))])
+    got = [(r.doc_id, r.start_word, r.end_word, r.first_doc_id) for r in suffix.repeats(docs).collect()]
+    assert sorted(got, key=str) == duck(suffix.ORACLE, documents=docs)
+
+
+def test_passages_with_a_word_that_only_a_hash_confuses(spark):
+    one, two = thue_morse(10)
+    halves = prose(1, 30), prose(2, 30)
+    docs = make_docs(spark, [f"{halves[0]} {w} {halves[1]}" for w in (one, two)])
+    assert suffix.repeats(docs).count() == 0 and suffix.remove_repeats(docs).collect() == docs.collect()
+
+
 def test_removal_keeps_all_other_bytes(spark, odd_texts):
     passage = prose(7, 60)
     texts = [*odd_texts, "Start  ÄÖ.\n" + passage + "\n\nend.", "other " + passage, passage, prose(8, 100)]

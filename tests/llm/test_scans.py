@@ -153,6 +153,34 @@ def test_top_k(spark):
     assert sorted(map(tuple, topk.top_k(plain, plain.where("vec_id % 50 = 0")).collect()), key=str) == sorted(duck(OP10_SQL, embeddings=plain), key=str)
 
 
+@pytest.mark.parametrize("kind", ["int", "string", "smallint"])
+def test_top_k_of_other_ids(spark, kind):
+    draw = random.Random(5)
+    table = spark.createDataFrame([(k, [draw.uniform(-1, 1) for _ in range(8)]) for k in range(40)], "vec_id long, embedding array<double>")
+    cast = table.withColumn("vec_id", table["vec_id"].cast(kind))
+    want = {(str(q), r): (str(v), s) for q, r, v, s in map(tuple, topk.top_k(table, table.where("vec_id % 10 = 0")).collect())}
+    got = topk.top_k(cast, cast.where("vec_id % 10 = 0"))
+    assert dict(got.dtypes)["vec_id"] == kind and {(str(q), r): (str(v), s) for q, r, v, s in map(tuple, got.collect())} == want
+
+
+def test_essential_components_are_chosen_by_bounds():
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    vectors, query = draw.integers(-20, 20, (500, 32)), draw.integers(-20, 20, 32)
+    vectors[:, :4] *= 40  # few components decide
+    shard, alive = topk.Shard(vectors, 20), np.arange(500)
+    score = vectors @ query
+    best = np.lexsort([alive, -score])[:5]
+    read = []
+    for least in (None, int(score[best[4]]) - 50, int(score[best[4]])):
+        got, place, postings = shard.best(query, alive, 5, least)
+        assert place.tolist() == best.tolist() and got.tolist() == score[best].tolist()
+        read.append(postings)
+    assert read[0] >= 32 * 500 * 0.9 and read[2] <= read[1] < read[0] / 3
+    assert len(shard.best(query, alive, 5, int(score.max()) + 1)[0]) == 0  # no row of this shard can reach it
+
+
 ODD = ["<|endoftext|> Don't 'll it's 12345 a1b2", "é ÉÀ ǅ ﬁ  x y\u0085z", "x" * 300, "\x00\x01 �", "İstanbul ΑΣ ΑΣ.", "ạ́ ̣́", "naïve... (of) l'été!!", "I\tII\nIII\r\n IV", "<|startoftext|>a<|endoftext|>", " ", "🙂🙂 👩‍👩‍👧"]
 
 
@@ -190,6 +218,63 @@ def test_store_round_trip(spark, odd_texts):
     assert sum(r.n for r in chunks.collect()) < start  # shared chunks are stored once
 
 
+def thue_morse(n, a="a", b="b"):
+    """Two unlike words that polynomial hashes modulo a power of two don't tell apart."""
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_collide_under_polynomial_hashes(spark):
+    pairs = [w for n in (10, 11, 12) for w in thue_morse(n)]
+    docs = make_docs(spark, pairs)
+    library = Tokenizer.from_file(bpe.default_tokenizer())
+    library.no_truncation()
+    want = {k: library.encode(t, add_special_tokens=False).ids for k, t in enumerate(pairs)}
+    assert {r.doc_id: r.ids for r in bpe.encode_decode(docs).collect()} == want
+    path = scratch_path(spark, "test-store")
+    token_store.write_store(docs, path)
+    assert {r.doc_id: r.ids for r in token_store.read_documents(spark, path).collect()} == {k: [*x, 2] for k, x in want.items()}
+    bench = spark.createDataFrame([(1, pairs[0])], "item_id long, text string")
+    assert [r.n_hit for r in sorted(decontaminate.report(docs, bench).collect())] == [1, 0, 0, 0, 0, 0]
+
+
+def test_words_are_told_apart_when_their_hashes_are_not(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    from portfolia.llm import common
+
+    texts = [prose(k, 60) for k in range(20)] + ["x" * 20 + " " + "y" * 300]
+    want = bpe.Encoder(bpe.default_tokenizer()).encode_all(texts)
+    for module in (common, bpe, decontaminate):
+        monkeypatch.setattr(module, "spread", lambda low, high: (low ^ high) % np.uint64(5))
+    words = common.Words(pa.array(texts))
+    first, back = common.distinct(*words.exact())
+    spelled = [w for t in texts for w in t.split()]
+    assert [spelled[first[k]] for k in back] == spelled and len(first) == len(set(spelled))
+    enc = bpe.Encoder(bpe.default_tokenizer())
+    for _ in range(2):
+        assert [x.tolist() for x in enc.encode_all(texts)] == [x.tolist() for x in want]
+
+
+def test_tokenizer_whose_words_cross_white_space(spark, odd_texts):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    got = {r.doc_id: r.ids for r in bpe.encode_decode(make_docs(spark, [*odd_texts, *ODD]), path).collect()}
+    assert got == {k: library.encode(t or "", add_special_tokens=False).ids for k, t in enumerate([*odd_texts, *ODD])}
+    assert bpe.encode_decode(make_docs(spark, [])).count() == 0
+
+
+def test_store_with_null_and_repeated_ids(spark):
+    docs, path = make_docs(spark, [prose(1, 20), prose(2, 20), None, prose(3, 20), prose(3, 20)], [None, 7, 7, None, 2]), scratch_path(spark, "test-store")
+    token_store.write_store(docs, path)
+    rows = sorted(token_store.read_digests(spark, path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [None, None, 2, 7, 7] and all(r.verified for r in rows)
+    assert [r.start for r in rows] == [sum(x.n_tokens for x in rows[:k]) for k in range(5)]
+
+
 def test_store_of_nothing(spark):
     path = scratch_path(spark, "test-store")
     token_store.write_store(make_docs(spark, []), path)
