@@ -74,6 +74,7 @@ def plan_groups(sample: np.ndarray, total: int, limit: int = 3) -> list[tuple[li
     """Groups of bits and their thresholds for ``total`` fingerprints like those of ``sample``."""
     if not len(sample):
         sample = np.zeros(1, np.uint64)
+    total = max(1, total)
     bits = ((sample[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(np.float64)
     centred = bits - bits.mean(0)
     scale = np.sqrt((centred**2).mean(0)) + 1e-9
