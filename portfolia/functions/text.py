@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 import unicodedata
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column
@@ -60,21 +61,33 @@ def project_code(cell: Column) -> Column:
     return F.when(found != "", found)
 
 
+def _number(x: float) -> str:
+    """A double as ECMAScript writes it: the shortest digits, plain from 1e-6 to below 1e21."""
+    if not math.isfinite(x):
+        raise ValueError("not a finite number")
+    sign, digits, exponent = Decimal(repr(x)).normalize().as_tuple()
+    text, point = "".join(map(str, digits)), len(digits) + exponent
+    if x == 0:
+        return "0"
+    if 0 < point <= 21:
+        plain = text.ljust(point, "0") if point >= len(text) else f"{text[:point]}.{text[point:]}"
+    elif -6 < point <= 0:
+        plain = "0." + "0" * -point + text
+    else:
+        plain = text[0] + ("." + text[1:] if text[1:] else "") + f"e{point - 1:+d}"
+    return "-" * sign + plain
+
+
 def canonical_json(value) -> str:
-    """Compact JSON with sorted keys; whole floats as integers, non-finite numbers refused."""
-
-    def plain(x):
-        if isinstance(x, dict):
-            return {k: plain(x[k]) for k in sorted(x)}
-        if isinstance(x, list | tuple):
-            return [plain(y) for y in x]
-        if isinstance(x, float):
-            if not math.isfinite(x):
-                raise ValueError("not a finite number")
-            return int(x) if x.is_integer() and abs(x) < 1e21 else x
-        return x
-
-    return json.dumps(plain(value), separators=(",", ":"), ensure_ascii=False)
+    """Compact JSON, keys sorted by their UTF-16 units, numbers as the doubles that ECMAScript writes; non-finite ones are refused."""
+    if isinstance(value, dict):
+        keys = sorted(value, key=lambda k: k.encode("utf-16-be", "surrogatepass"))
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{canonical_json(value[k])}" for k in keys) + "}"
+    if isinstance(value, list | tuple):
+        return "[" + ",".join(map(canonical_json, value)) + "]"
+    if isinstance(value, int | float) and not isinstance(value, bool):
+        return _number(float(value))
+    return json.dumps(value, ensure_ascii=False)
 
 
 @F.pandas_udf(StringType())

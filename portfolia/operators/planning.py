@@ -16,9 +16,11 @@ MONTHS = 240
 
 
 def month_spine(bounds: DataFrame, key: str) -> DataFrame:
-    """Every month from ``first_month`` to ``last_month``; bounds further apart than the limit give nothing."""
-    fits = F.months_between("last_month", "first_month") < MONTHS
-    return bounds.where(fits).select(key, F.explode(F.sequence("first_month", "last_month", F.expr("INTERVAL 1 MONTH"))).alias("competence_month"))
+    """Every month from ``first_month`` to ``last_month``; bounds further apart than the limit are an error, null ones give nothing."""
+    far = F.months_between("last_month", "first_month") >= MONTHS
+    text = F.concat(F.lit(f"more than {MONTHS} months: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    months = F.when(far, F.raise_error(text)).otherwise(F.sequence("first_month", "last_month", F.expr("INTERVAL 1 MONTH")))
+    return bounds.select(key, F.explode(months).alias("competence_month"))
 
 
 def editor_months(lines: DataFrame) -> DataFrame:
@@ -122,12 +124,14 @@ def k7_reopen_copy(t: Tables) -> DataFrame:
 SELECT id AS plan_version_id, ancestor AS ancestor_id, depth FROM up""")
 def j13_version_lineage(t: Tables) -> DataFrame:
     """Every version with its sources up to the first, by a recursive query."""
-    t.versions.createOrReplaceTempView("portfolia_versions")
-    return t.spark.sql("""
+    return t.spark.sql(
+        """
         WITH RECURSIVE up(id, ancestor, depth) AS (
-          SELECT id, id, 0 FROM portfolia_versions UNION ALL
-          SELECT up.id, v.source_version_id, depth + 1 FROM up JOIN portfolia_versions v ON v.id = up.ancestor WHERE v.source_version_id IS NOT NULL)
-        SELECT id AS plan_version_id, ancestor AS ancestor_id, depth FROM up""")
+          SELECT id, id, 0 FROM {versions} UNION ALL
+          SELECT up.id, v.source_version_id, depth + 1 FROM up JOIN {versions} v ON v.id = up.ancestor WHERE v.source_version_id IS NOT NULL)
+        SELECT id AS plan_version_id, ancestor AS ancestor_id, depth FROM up""",
+        versions=t.versions,
+    )
 
 
 @query("""

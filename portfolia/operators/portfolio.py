@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -122,11 +123,8 @@ def g9_clients(t: Tables) -> DataFrame:
 def g10_audit_page(t: Tables) -> DataFrame:
     """The 200 audit rows before a cursor, newest first (keyset paging)."""
     middle = t.audit.agg((F.max("id") / 2).cast("long").alias("id"))
-    cursor = t.audit.join(middle, "id").first()
-    if cursor is None:
-        return t.audit.limit(0).select("id", "entity_id", "operation")
-    before = F.struct("changed_at", "id") < F.struct(F.lit(cursor["changed_at"]).cast(t.audit.schema["changed_at"].dataType), F.lit(cursor["id"]).cast("long"))
-    return t.audit.where(before).orderBy(F.desc("changed_at"), F.desc("id")).limit(200).select("id", "entity_id", "operation")
+    cursor = t.audit.join(middle, "id").agg(F.max(F.struct("changed_at", "id")))
+    return t.audit.where(F.struct("changed_at", "id") < cursor.scalar()).orderBy(F.desc("changed_at"), F.desc("id")).limit(200).select("id", "entity_id", "operation")
 
 
 def latest_snapshots(t: Tables) -> DataFrame:
@@ -141,22 +139,81 @@ def a11_latest_snapshots(t: Tables) -> DataFrame:
 
 #: Roles and the plan states that those below an editor see.
 WRITERS, PUBLISHED = ["editor", "approver", "admin"], ["approved", "locked", "archived"]
+TABLE_NAMES = ("clients", "projects", "items", "versions", "lines", "scopes", "actuals", "cells", "snapshots", "audit")
+
+
+class Visible(Tables):
+    """The ten tables as a role sees them, each cut when it is first asked for.
+
+    An admin sees all and no role nothing.  Others see active clients, live
+    active projects of these, live items of these projects, and their successful
+    snapshots.  Versions, and by them lines and scopes, are seen by writers;
+    viewers see published ones.  Cells of the baseline are for editors, and for
+    viewers once it is official, not for approvers.  Events are for every role,
+    the audit log for admins only.
+    """
+
+    def __init__(self, t: Tables, role: str | None):
+        super().__init__(t.spark, t.sf_dir)
+        self._all, self._role = t, role
+
+    def _cut(self, name: str, seen: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        rows = getattr(self._all, name)
+        if self._role == "admin":
+            return rows
+        return rows.where(F.lit(False)) if self._role is None else seen(rows)
+
+    def _ids(self, name: str, key: str) -> DataFrame:
+        return getattr(self, name).select(F.col("id").alias(key))
+
+    @cached_property
+    def clients(self) -> DataFrame:
+        return self._cut("clients", lambda rows: rows.where("active"))
+
+    @cached_property
+    def projects(self) -> DataFrame:
+        return self._cut("projects", lambda rows: rows.where("not deleted and status = 'active'").join(self._ids("clients", "client_id"), "client_id", "left_semi"))
+
+    @cached_property
+    def items(self) -> DataFrame:
+        return self._cut("items", lambda rows: rows.where("active and not deleted").join(self._ids("projects", "project_id"), "project_id", "left_semi"))
+
+    @cached_property
+    def versions(self) -> DataFrame:
+        return self._cut("versions", lambda rows: rows if self._role in WRITERS else rows.where(F.col("status").isin(PUBLISHED)))
+
+    @cached_property
+    def lines(self) -> DataFrame:
+        return self._cut("lines", lambda rows: rows.join(self._ids("versions", "plan_version_id"), "plan_version_id", "left_semi"))
+
+    @cached_property
+    def scopes(self) -> DataFrame:
+        return self._cut("scopes", lambda rows: rows.join(self._ids("versions", "plan_version_id"), "plan_version_id", "left_semi"))
+
+    @cached_property
+    def actuals(self) -> DataFrame:
+        return self._cut("actuals", lambda rows: rows)
+
+    @cached_property
+    def cells(self) -> DataFrame:
+        baseline = self._all.versions.where("is_baseline").where(F.col("status").isin(OFFICIAL))
+        by_role = {"editor": lambda rows: rows, "viewer": lambda rows: rows.where(baseline.exists())}
+        return self._cut("cells", by_role.get(self._role, lambda rows: rows.where(F.lit(False))))
+
+    @cached_property
+    def snapshots(self) -> DataFrame:
+        return self._cut("snapshots", lambda rows: rows.where("status = 'success'").join(self._ids("projects", "project_id"), "project_id", "left_semi"))
+
+    @cached_property
+    def audit(self) -> DataFrame:
+        return self._cut("audit", lambda rows: rows.where(F.lit(False)))
 
 
 def visible(t: Tables, role: str | None) -> Tables:
-    """The tables as a role sees them: nothing without a role, all for an admin, else live rows and published plans."""
-    if role == "admin":
-        return t
-    if role is None:
-        return Tables(t.spark, t.sf_dir, **{n: getattr(t, n).limit(0) for n in ("clients", "projects", "items", "versions", "lines", "scopes", "actuals", "cells", "snapshots", "audit")})
-    clients = t.clients.where("active")
-    projects = t.projects.where("not deleted and status = 'active'").join(clients.select(F.col("id").alias("client_id")), "client_id", "left_semi")
-    mine = projects.select(F.col("id").alias("project_id"))
-    items = t.items.where("active and not deleted").join(mine, "project_id", "left_semi")
-    versions = t.versions if role in WRITERS else t.versions.where(F.col("status").isin(PUBLISHED))
-    seen = versions.select(F.col("id").alias("plan_version_id"))
-    lines, scopes = t.lines.join(seen, "plan_version_id", "left_semi"), t.scopes.join(seen, "plan_version_id", "left_semi")
-    return Tables(t.spark, t.sf_dir, clients=clients, projects=projects, items=items, versions=versions, lines=lines, scopes=scopes)
+    """The tables as a role sees them; an unknown role is refused."""
+    if role not in (None, "viewer", *WRITERS):
+        raise ValueError(f"unknown role: {role}")
+    return Visible(t, role)
 
 
 @query("""
@@ -171,3 +228,24 @@ def x11_visible_rows(t: Tables) -> DataFrame:
     """How many projects, items and plan lines each role sees; plan lines go by their version, not by their project."""
     counts = [getattr(visible(t, role), kind).agg(count_of("*").alias("n")).select(F.lit(role).alias("role"), F.lit(kind).alias("kind"), "n") for role in ("viewer", "editor", "admin") for kind in ("projects", "items", "lines")]
     return reduce(DataFrame.unionByName, counts)
+
+
+OTHERS = ("clients", "versions", "scopes", "actuals", "cells", "snapshots", "audit")
+
+
+@query("""
+, seen AS (SELECT p.* FROM projects p JOIN clients c ON c.id = client_id AND c.active WHERE NOT deleted AND status = 'active'),
+base AS (SELECT count(*) > 0 AS official FROM versions WHERE is_baseline AND status IN ('approved', 'locked')),
+n AS (SELECT (SELECT count(*) FROM clients WHERE active) AS clients, (SELECT count(*) FROM versions) AS versions, (SELECT count(*) FROM versions WHERE status IN ('approved', 'locked', 'archived')) AS published,
+  (SELECT count(*) FROM scopes) AS scopes, (SELECT count(*) FROM scopes WHERE plan_version_id IN (SELECT id FROM versions WHERE status IN ('approved', 'locked', 'archived'))) AS published_scopes,
+  (SELECT count(*) FROM actuals) AS actuals, (SELECT count(*) FROM cells) AS cells, (SELECT count(*) FROM snapshots WHERE status = 'success' AND project_id IN (SELECT id FROM seen)) AS snapshots)
+SELECT role, kind, CASE kind WHEN 'clients' THEN clients WHEN 'versions' THEN CASE role WHEN 'viewer' THEN published ELSE versions END WHEN 'scopes' THEN CASE role WHEN 'viewer' THEN published_scopes ELSE scopes END
+  WHEN 'actuals' THEN actuals WHEN 'cells' THEN CASE WHEN role = 'editor' OR role = 'viewer' AND official THEN cells ELSE 0 END WHEN 'snapshots' THEN snapshots ELSE 0 END AS n
+FROM (SELECT unnest(['viewer', 'editor', 'approver']) AS role) r, (SELECT unnest(['clients', 'versions', 'scopes', 'actuals', 'cells', 'snapshots', 'audit']) AS kind) k, n, base""")
+def x11_visible_others(t: Tables) -> DataFrame:
+    """How many rows of the other seven tables each role below an admin sees."""
+    counts = []
+    for role in ("viewer", "editor", "approver"):
+        mine = visible(t, role)
+        counts += [getattr(mine, kind).agg(count_of("*").alias("n")).select(F.lit(role).alias("role"), F.lit(kind).alias("kind"), "n") for kind in OTHERS]
+    return reduce(DataFrame.unionByName, counts)

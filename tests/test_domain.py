@@ -68,6 +68,38 @@ def test_golden_visibility_and_findings(golden):
     assert {r.unscheduled_balance_status for r in portfolio.portfolio(golden).collect()} == {"no_official_plan"}
 
 
+def test_visibility_of_each_table(golden, spark):
+    make = spark.createDataFrame
+    audit = make([(1, dt.datetime(2026, 7, 1), 1, "UPDATE")], "id long, changed_at timestamp_ntz, entity_id long, operation string")
+    snapshots = make([(1, 1, 1, "success"), (2, 1, 2, "failed"), (3, 4, 1, "success")], "id long, project_id long, authority_revision long, status string")
+    cells = make([(1, None, d("2026-07-01"), "value", Decimal(1))], "financial_plan_line_id long, project_item_id long, competence_month date, declaration_state string, canonical_amount decimal(20,2)")
+    given = {n: getattr(golden, n) for n in ("clients", "projects", "items", "lines", "scopes", "actuals")}
+    count = lambda t, role: [getattr(portfolio.visible(t, role), n).count() for n in portfolio.TABLE_NAMES]
+    t = Tables(spark, versions=golden.versions, audit=audit, snapshots=snapshots, cells=cells, **given)
+    rows = {role: count(t, role) for role in (None, "viewer", "editor", "approver", "admin")}
+    assert rows == {None: [0] * 10, "viewer": [1, 3, 4, 0, 0, 0, 3, 0, 1, 0], "editor": [1, 3, 4, 2, 7, 4, 3, 1, 1, 0], "approver": [1, 3, 4, 2, 7, 4, 3, 0, 1, 0], "admin": [1, 4, 5, 2, 7, 4, 3, 1, 3, 1]}
+    official = golden.versions.withColumn("status", F.when(F.col("id") == 1, "locked").otherwise(F.col("status")))
+    assert portfolio.visible(Tables(spark, versions=official, audit=audit, snapshots=snapshots, cells=cells, **given), "viewer").cells.count() == 1
+    with pytest.raises(ValueError):
+        portfolio.visible(t, "nobody")
+
+
+def test_month_spine(spark):
+    bounds = spark.createDataFrame([(1, d("2000-01-01"), d("2019-12-01")), (2, None, None)], "k long, first_month date, last_month date")
+    assert planning.month_spine(bounds, "k").count() == 240
+    far = spark.createDataFrame([(7, d("2000-01-01"), d("2020-01-01"))], bounds.schema)
+    with pytest.raises(Exception, match="more than 240 months: 7"):
+        planning.month_spine(far, "k").collect()
+
+
+def test_canonical_numbers_and_keys():
+    numbers = {1e-7: "1e-7", 0.00001: "0.00001", 1e-6: "0.000001", 1.5e-7: "1.5e-7", 1e21: "1e+21", 123e18: "123000000000000000000", -0.0: "0", -2.50: "-2.5", 0.1: "0.1", 12345678901234567890: "12345678901234567000", 5e-324: "5e-324", 1.7976931348623157e308: "1.7976931348623157e+308", 100: "100"}
+    assert {k: text.canonical_json(k) for k in numbers} == numbers
+    assert text.canonical_json({"\ue000": 1, "\U0001f600": True, "a": False}) == '{"a":false,"\U0001f600":true,"\ue000":1}'
+    with pytest.raises(ValueError):
+        text.canonical_json(float("nan"))
+
+
 def test_order_of_rows_does_not_matter(golden, spark):
     shuffled = Tables(spark, **{n: getattr(golden, n).orderBy(F.rand(3)).repartition(5) for n in ("clients", "projects", "items", "versions", "lines", "scopes", "actuals")})
     for view in (views.v1_portfolio_overview, views.v6_s_curve_project, views.v7_data_quality, planning.summaries):
