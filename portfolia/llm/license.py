@@ -204,16 +204,28 @@ def license_scan(docs: DataFrame, templates: dict[str, list[str]] | None = None,
 
 
 def oracle(templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> str:
-    """The same scan of ``documents`` as DuckDB SQL, with the licences joined by commas."""
+    """The same scan of ``documents`` as DuckDB SQL, with the licences joined by commas: all pieces and all runs, without pruning."""
+    chosen = TEMPLATES if templates is None else templates
     quote = lambda x: "'" + x.replace("'", "''") + "'"
-    values = ", ".join(f"({quote(n)}, [{', '.join(map(quote, g))}])" for n, g in template_rows(templates) if g)
+    strings = lambda xs: "[" + ", ".join(map(quote, xs)) + "]::VARCHAR[]"
+    values = ", ".join(f"({quote(n)}, {strings(g)})" for n, g in template_rows(chosen) if g)
+    heads = ", ".join(strings(h) for h in _heads(chosen))
+    longest = max((_bounds(len(words_of(text)), threshold)[1] for texts in chosen.values() for text in texts), default=0) + 1
+    pieces_of = lambda lines: f"string_split(regexp_replace({lines}, '([.!?:;])[ \\t]+', '\\1' || chr(10), 'g'), chr(10))"
+    words_in = lambda piece: f"list_filter(string_split_regex(translate({piece}, '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+'), lambda x: x <> '')"
     return f"""
 WITH t(name, grams) AS (VALUES {values}),
 docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
-lines AS (SELECT r, unnest(string_split(regexp_replace(text, '([\\n\\r]+)', chr(10), 'g'), chr(10))) AS line FROM docs),
-pieces AS (SELECT r, unnest(string_split(regexp_replace(line, '([.!?:;])[ \\t]+', '\\1' || chr(10), 'g'), chr(10))) AS piece FROM lines),
-words AS (SELECT r, list_filter(string_split_regex(translate(piece, '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM pieces),
-grams AS (SELECT r, CASE WHEN len(w) > 1 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END AS g FROM words WHERE len(w) > 0),
+lines AS (SELECT r, unnest(string_split_regex(text, '\\r\\n|\\r|\\n')) AS line, generate_subscripts(string_split_regex(text, '\\r\\n|\\r|\\n'), 1) AS k FROM docs),
+single AS (SELECT r, {words_in("piece")} AS w FROM (SELECT r, unnest({pieces_of("line")}) AS piece FROM lines)),
+paragraphs AS (SELECT r, k, translate(line, '|¶', '  ') AS line, sum(CASE WHEN regexp_matches(line, '[A-Za-z0-9]') THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY k) AS p FROM lines),
+cut AS (SELECT r, p, k, unnest({pieces_of("line")}) AS piece, generate_subscripts({pieces_of("line")}, 1) AS j FROM paragraphs),
+numbered AS (SELECT r, p, w, row_number() OVER o AS i, sum(len(w)) OVER o AS upto FROM (SELECT r, p, k, j, {words_in("piece")} AS w FROM cut) WHERE len(w) > 0 WINDOW o AS (PARTITION BY r, p ORDER BY k, j)),
+paged AS (SELECT r, p, list(w ORDER BY i) AS ws, list(upto ORDER BY i) AS upto FROM numbered GROUP BY r, p HAVING count(*) > 1),
+starts AS (SELECT r, ws, upto, unnest(range(1, len(ws))) AS a FROM paged),
+ends AS (SELECT r, ws, a, unnest(list_filter(range(a + 1, len(ws) + 1), lambda b: upto[b] - upto[a] + len(ws[a]) <= {longest})) AS b FROM starts),
+words AS (SELECT r, w FROM single WHERE len(w) > 0 UNION ALL SELECT r, flatten(ws[a:b]) AS w FROM ends),
+grams AS (SELECT r, CASE WHEN len(w) > 1 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END AS g FROM words{f" WHERE w NOT IN ({heads})" if heads else ""}),
 pairs AS (SELECT r, name, 2.0::DOUBLE * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS dice FROM grams, t WHERE list_has_any(g, grams)),
 good AS (SELECT r, name, max(dice) AS dice FROM pairs WHERE dice >= {threshold} GROUP BY ALL),
 top AS (SELECT r, string_agg(name, ',' ORDER BY name) AS licenses, arg_min(name, struct_pack(d := -dice, n := name)) AS best, max(dice) AS dice FROM good GROUP BY r)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import duckdb
@@ -35,6 +36,20 @@ def test_license_scan(spark, odd_texts):
     assert license.license_scan(docs, {}).where("best is not null").count() == 0
 
 
+def test_license_sql_finds_runs(spark):
+    wrap = lambda text, mark: mark.join(textwrap.wrap(text, 40))
+    own = [text for texts in license.TEMPLATES.values() for text in texts]
+    texts = [wrap(t, mark) for t in own for mark in ("\n", "\r\n", "\n# ")] + [wrap(t, "\n\n") for t in own] + [wrap(t, "\n--\n") for t in own]
+    texts += ["SPDX-License-Identifier: Zlib", "SPDX-License-Identifier:\nMIT", "Licensed under.| the Apache License; Version\u00b6 2.0.", "a. b.\n\n \nreleased under\nthe MIT. License", "\n\nReleased\nunder\n\n"]
+    draw = random.Random(5)
+    some = "released under the mit license bsd 2 clause all rights reserved permission".split()
+    texts += ["".join(draw.choice(some) + draw.choice([" ", " ", "\n", ". ", ": ", "\n \n", "|", "; "]) for _ in range(40)) for _ in range(300)]
+    docs = make_docs(spark, texts)
+    got = license.license_scan(docs).selectExpr("doc_id", "array_join(licenses, ',')", "best", "dice").collect()
+    assert sum(r.best is not None for r in got[: 3 * len(own)]) >= 2 * len(own)
+    assert sorted(map(tuple, got), key=str) == duck(license.oracle(), documents=docs)
+
+
 def test_size_bounds_lose_no_match(spark):
     draw = random.Random(1)
     words = "permission is hereby granted to use copy and modify this".split()
