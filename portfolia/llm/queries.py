@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portfolia.llm import bpe, decontaminate, language, license, quality, simhash, suffix, token_store, topk, toxicity
+from portfolia.llm import bpe, decontaminate, exact_dedup, infill, language, license, merkle, quality, simhash, suffix, token_store, topk, toxicity
 from portfolia.llm.common import scratch_path
 
 
@@ -60,6 +60,20 @@ def op10_max_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "manifest")
+    tiers = merkle.write_manifest(_table(spark, sf_dir, "documents"), path, merkle.tampered_n_chars())
+    return merkle.proofs(spark, path, *tiers)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(infill.fill_in_middle(_table(spark, sf_dir, "documents")))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -67,7 +81,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_license_scan, op2_simhash_near_dedup, op3_token_store, op4_decontaminate, op5_bpe_round_trip, op6_suffix_dedup, op7_language_id, op8_quality, op9_toxicity, op10_max_score, pipeline]
+    own = [op1_license_scan, op2_simhash_near_dedup, op3_token_store, op4_decontaminate, op5_bpe_round_trip, op6_suffix_dedup, op7_language_id, op8_quality, op9_toxicity, op10_max_score]
+    own += [op11_merkle_manifest, op12_fill_in_middle, op13_exact_dedup, pipeline]
     return {f.__name__: f for f in own}
 
 
@@ -99,4 +114,5 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM best WHERE rank <= 5
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license.oracle(), "op4_decontaminate": OP4_SQL, "op6_suffix_dedup": suffix.ORACLE, "op10_max_score": OP10_SQL}
+    own = {"op1_license_scan": license.oracle(), "op4_decontaminate": OP4_SQL, "op6_suffix_dedup": suffix.ORACLE, "op10_max_score": OP10_SQL}
+    return own | {"op11_merkle_manifest": merkle.ORACLE, "op12_fill_in_middle": infill.ORACLE, "op13_exact_dedup": exact_dedup.ORACLE}
