@@ -8,7 +8,6 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from portfolia.functions.text import canonical_json
-from portfolia.operators import reconciliation
 from portfolia.sources import jsonl, workbook
 from portfolia.streaming import snapshots
 
@@ -56,29 +55,3 @@ def test_stream_of_snapshots(spark, tmp_path):
         name = f"latest_{len(want)}_{bool(more)}"
         snapshots.keep_latest(stream(), name, f"{tmp_path}/{name}").awaitTermination(120)
         assert {tuple(r) for r in spark.table(name).collect()} == want
-
-
-def payload(spark, item="60", month="60", database="100"):
-    projects = spark.createDataFrame([("A", "BRL", Decimal("100"), Decimal(database)), ("B", "BRL", Decimal("50"), Decimal("50"))], "project_code string, currency_code string, contract_value decimal(20,2), database_contract_value decimal(20,2)")
-    items = spark.createDataFrame([("A", "k1", "BRL", "x", Decimal(1), "UN", Decimal(item), Decimal(item)), ("A", "k2", "BRL", "x", Decimal(1), "UN", Decimal("40"), Decimal("40")), ("B", "k3", "BRL", "x", Decimal(1), "UN", Decimal("50"), Decimal("50"))], "project_code string, source_line_key string, currency_code string, description string, quantity decimal(20,4), unit_code string, total_amount decimal(20,2), database_total_amount decimal(20,2)")
-    monthly = spark.createDataFrame([("A", "k1", dt.date(2026, 7, 1), "billing_planned", "BRL", Decimal("60"), None if month is None else Decimal(month))], "project_code string, source_line_key string, competence_month date, metric string, currency_code string, source_amount decimal(20,2), database_amount decimal(20,2)")
-    return projects, items, monthly
-
-
-def test_reconciliation(spark):
-    projects, items, monthly = payload(spark)
-    assert reconciliation.reconcile(projects, items, monthly).count() == 0
-    assert {r.status for r in reconciliation.report(projects, reconciliation.reconcile(projects, items, monthly)).collect()} == {"PASS"}
-    changed = payload(spark, item="60.01", month="59.99", database="100.01")
-    found = reconciliation.reconcile(*changed)
-    got = {(r.finding_code, str(r.delta)) for r in found.collect()}
-    assert got == {("PROJECT_VALUE_MISMATCH", "0.01"), ("CONTRACT_VALUE_MISMATCH", "0.01"), ("MONTHLY_VALUE_MISMATCH", "-0.01")}
-    state = {r.project_code: (r.findings, str(r.delta_total), r.status) for r in reconciliation.report(projects, found).collect()}
-    assert state == {"A": (3, "0.01", "ERROR"), "B": (0, "0.00", "PASS")}
-    assert [r.finding_code for r in reconciliation.reconcile(*payload(spark, month=None)).collect()] == ["MONTH_MISSING_IN_DATABASE"]
-    twice = reconciliation.reconcile(projects, items.union(items.where("source_line_key = 'k3'")), monthly)
-    assert {r.finding_code for r in twice.collect()} == {"DUPLICATE_ITEM", "PROJECT_VALUE_MISMATCH"}
-    ids = lambda f: sorted(r.finding_id for r in f.collect())
-    assert ids(found) == ids(reconciliation.reconcile(*[t.orderBy(F.rand(1)).repartition(3) for t in changed]))
-    odd = items.withColumns({"currency_code": F.when(F.col("source_line_key") == "k2", "USD").otherwise("BRL"), "unit_code": F.when(F.col("source_line_key") == "k3", " ").otherwise("UN")})
-    assert {"CURRENCY_MISMATCH", "MISSING_REQUIRED_FIELD"} <= {r.finding_code for r in reconciliation.reconcile(projects, odd, monthly).collect()}
