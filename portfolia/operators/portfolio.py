@@ -148,9 +148,9 @@ class Visible(Tables):
     An admin sees all and no role nothing.  Others see active clients, live
     active projects of these, live items of these projects, and their successful
     snapshots.  Versions, and by them lines and scopes, are seen by writers;
-    viewers see published ones.  Cells of the baseline are for editors, and for
-    viewers once it is official, not for approvers.  Events are for every role,
-    the audit log for admins only.
+    viewers see published ones; so it is with the cells of a baseline, by the
+    version that each cell belongs to.  Events are for every role, the audit log
+    for admins only.
     """
 
     def __init__(self, t: Tables, role: str | None):
@@ -196,9 +196,8 @@ class Visible(Tables):
 
     @cached_property
     def cells(self) -> DataFrame:
-        baseline = self._all.versions.where("is_baseline").where(F.col("status").isin(OFFICIAL))
-        by_role = {"editor": lambda rows: rows, "viewer": lambda rows: rows.where(baseline.exists())}
-        return self._cut("cells", by_role.get(self._role, lambda rows: rows.where(F.lit(False))))
+        published = self._all.versions.where(F.col("status").isin(PUBLISHED)).select(F.col("id").alias("plan_version_id"))
+        return self._cut("cells", lambda rows: rows if self._role in WRITERS else rows.join(published, "plan_version_id", "left_semi"))
 
     @cached_property
     def snapshots(self) -> DataFrame:
@@ -235,13 +234,13 @@ OTHERS = ("clients", "versions", "scopes", "actuals", "cells", "snapshots", "aud
 
 @query("""
 , seen AS (SELECT p.* FROM projects p JOIN clients c ON c.id = client_id AND c.active WHERE NOT deleted AND status = 'active'),
-base AS (SELECT count(*) > 0 AS official FROM versions WHERE is_baseline AND status IN ('approved', 'locked')),
 n AS (SELECT (SELECT count(*) FROM clients WHERE active) AS clients, (SELECT count(*) FROM versions) AS versions, (SELECT count(*) FROM versions WHERE status IN ('approved', 'locked', 'archived')) AS published,
   (SELECT count(*) FROM scopes) AS scopes, (SELECT count(*) FROM scopes WHERE plan_version_id IN (SELECT id FROM versions WHERE status IN ('approved', 'locked', 'archived'))) AS published_scopes,
-  (SELECT count(*) FROM actuals) AS actuals, (SELECT count(*) FROM cells) AS cells, (SELECT count(*) FROM snapshots WHERE status = 'success' AND project_id IN (SELECT id FROM seen)) AS snapshots)
+  (SELECT count(*) FROM actuals) AS actuals, (SELECT count(*) FROM cells) AS cells,
+  (SELECT count(*) FROM cells c WHERE EXISTS (SELECT 1 FROM versions v WHERE v.id = c.plan_version_id AND v.status IN ('approved', 'locked', 'archived'))) AS published_cells, (SELECT count(*) FROM snapshots WHERE status = 'success' AND project_id IN (SELECT id FROM seen)) AS snapshots)
 SELECT role, kind, CASE kind WHEN 'clients' THEN clients WHEN 'versions' THEN CASE role WHEN 'viewer' THEN published ELSE versions END WHEN 'scopes' THEN CASE role WHEN 'viewer' THEN published_scopes ELSE scopes END
-  WHEN 'actuals' THEN actuals WHEN 'cells' THEN CASE WHEN role = 'editor' OR role = 'viewer' AND official THEN cells ELSE 0 END WHEN 'snapshots' THEN snapshots ELSE 0 END AS n
-FROM (SELECT unnest(['viewer', 'editor', 'approver']) AS role) r, (SELECT unnest(['clients', 'versions', 'scopes', 'actuals', 'cells', 'snapshots', 'audit']) AS kind) k, n, base""")
+  WHEN 'actuals' THEN actuals WHEN 'cells' THEN CASE WHEN role IN ('editor', 'approver', 'admin') THEN cells ELSE published_cells END WHEN 'snapshots' THEN snapshots ELSE 0 END AS n
+FROM (SELECT unnest(['viewer', 'editor', 'approver']) AS role) r, (SELECT unnest(['clients', 'versions', 'scopes', 'actuals', 'cells', 'snapshots', 'audit']) AS kind) k, n""")
 def x11_visible_others(t: Tables) -> DataFrame:
     """How many rows of the other seven tables each role below an admin sees."""
     counts = []

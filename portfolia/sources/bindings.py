@@ -104,8 +104,8 @@ class Tables:
     def cells(self) -> DataFrame:
         planned = self.lines.where("plan_version_id = 3 and project_item_id is not null")
         zero = F.col("id") % 10 == 0
-        filled = planned.select(F.col("id").alias("financial_plan_line_id"), "project_item_id", "competence_month", F.when(zero, "explicit_zero").otherwise("value").alias("declaration_state"), F.when(zero, money(F.lit(0))).otherwise(F.col("amount")).alias("canonical_amount"))
-        blank = planned.where("id % 4 = 0").select(F.lit(None).cast("long").alias("financial_plan_line_id"), "project_item_id", F.add_months("competence_month", 1).alias("competence_month"), F.lit("blank").alias("declaration_state"), F.lit(None).cast("decimal(20,2)").alias("canonical_amount"))
+        filled = planned.select("plan_version_id", F.col("id").alias("financial_plan_line_id"), "project_item_id", "competence_month", F.when(zero, "explicit_zero").otherwise("value").alias("declaration_state"), F.when(zero, money(F.lit(0))).otherwise(F.col("amount")).alias("canonical_amount"))
+        blank = planned.where("id % 4 = 0").select("plan_version_id", F.lit(None).cast("long").alias("financial_plan_line_id"), "project_item_id", F.add_months("competence_month", 1).alias("competence_month"), F.lit("blank").alias("declaration_state"), F.lit(None).cast("decimal(20,2)").alias("canonical_amount"))
         return filled.unionByName(blank)
 
     @cached_property
@@ -113,6 +113,31 @@ class Tables:
         revision = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
         return self.raw("events").select(F.col("event_id").alias("id"), F.col("user_id").alias("project_id"), revision.alias("authority_revision"), F.when(F.col("event_id") % 7 == 0, "failed").otherwise("success").alias("status"))
 
+    @cached_property
+    def project_observations(self) -> DataFrame:
+        """What each snapshot saw of its project; some saw it twice."""
+        seen = self.snapshots.join(self.projects.select(F.col("id").alias("project_id"), "project_code"), "project_id")
+        times = F.explode(F.sequence(F.lit(1), F.when(F.col("id") % 19 == 0, 2).otherwise(1))).alias("occurrence_ordinal")
+        return seen.select(F.col("id").alias("snapshot_id"), "project_id", "project_code", times).withColumn("id", F.concat_ws(":", "snapshot_id", "occurrence_ordinal"))
+
+    @cached_property
+    def item_observations(self) -> DataFrame:
+        """What each snapshot saw of its project's items; some it saw twice, once without an id."""
+        code = self.projects.select(F.col("id").alias("project_id"), "project_code")
+        seen = self.snapshots.withColumnRenamed("id", "snapshot_id").join(self.items.select("project_id", "source_line_key", F.col("id").alias("item")), "project_id").join(code, "project_id")
+        times = F.explode(F.sequence(F.lit(1), F.when((F.col("snapshot_id") + F.col("item")) % 97 == 0, 2).otherwise(1))).alias("occurrence_ordinal")
+        item = F.when(F.col("occurrence_ordinal") == 1, F.col("item").cast("string")).alias("item_id")
+        return seen.select("snapshot_id", "project_id", "project_code", "source_line_key", "item", times).select("*", item, F.concat_ws(":", "snapshot_id", "item", "occurrence_ordinal").alias("id")).drop("item")
+
+    @cached_property
+    def source_references(self) -> DataFrame:
+        """References of both kinds of observations, three each: two to the source, not in the order of their text, and one to the database."""
+        owners = [getattr(self, f"{kind}_observations").select(F.lit(kind).alias("observed"), F.col("id").alias("observation_id")) for kind in ("project", "item")]
+        places = F.array(*[F.struct(F.lit(k).alias("reference_ordinal"), F.lit(kind).alias("kind"), F.lit(sheet).alias("sheet")) for k, kind, sheet in ((1, "source", "Sheet!B"), (2, "source", "Sheet!A"), (3, "database", "ltc_m:"))])
+        rows = owners[0].unionByName(owners[1]).select("observed", "observation_id", F.explode(places).alias("p"))
+        locator = F.concat("p.sheet", "observation_id")
+        return rows.select("observed", "observation_id", "p.reference_ordinal", "p.kind", locator.alias("locator"), F.sha2(locator, 256).alias("fingerprint"))
+
     @cached_property
     def audit(self) -> DataFrame:
         return self.raw("events").select(F.col("event_id").alias("id"), F.col("ts").alias("changed_at"), F.col("user_id").alias("entity_id"), F.col("event_type").alias("operation"))
@@ -149,9 +174,17 @@ actuals AS (
     CASE l_returnflag WHEN 'R' THEN 'cancelled' WHEN 'A' THEN 'posted' ELSE 'draft' END AS status, l_shipdate::DATE AS competence_date, l_extendedprice::DECIMAL(20,2) AS amount,
     CASE WHEN l_suppkey % 53 = 0 THEN 'EUR' ELSE base_currency END AS currency_code FROM billed),
 cells AS (
-  SELECT id AS financial_plan_line_id, project_item_id, competence_month, CASE WHEN id % 10 = 0 THEN 'explicit_zero' ELSE 'value' END AS declaration_state,
+  SELECT plan_version_id, id AS financial_plan_line_id, project_item_id, competence_month, CASE WHEN id % 10 = 0 THEN 'explicit_zero' ELSE 'value' END AS declaration_state,
     CASE WHEN id % 10 = 0 THEN 0::DECIMAL(20,2) ELSE amount END AS canonical_amount FROM lines WHERE plan_version_id = 3 AND project_item_id IS NOT NULL
-  UNION ALL SELECT NULL, project_item_id, (competence_month + INTERVAL 1 MONTH)::DATE, 'blank', NULL FROM lines WHERE plan_version_id = 3 AND project_item_id IS NOT NULL AND id % 4 = 0),
+  UNION ALL SELECT plan_version_id, NULL, project_item_id, (competence_month + INTERVAL 1 MONTH)::DATE, 'blank', NULL FROM lines WHERE plan_version_id = 3 AND project_item_id IS NOT NULL AND id % 4 = 0),
 snapshots AS (SELECT event_id AS id, user_id AS project_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS authority_revision, CASE WHEN event_id % 7 = 0 THEN 'failed' ELSE 'success' END AS status FROM events),
+project_observations AS (
+  SELECT s.id AS snapshot_id, project_id, project_code, k AS occurrence_ordinal, s.id || ':' || k AS id FROM snapshots s JOIN projects p ON p.id = project_id, (VALUES (1), (2)) v(k) WHERE k = 1 OR s.id % 19 = 0),
+item_observations AS (
+  SELECT s.id AS snapshot_id, s.project_id, project_code, source_line_key, k AS occurrence_ordinal, CASE WHEN k = 1 THEN i.id::VARCHAR END AS item_id, s.id || ':' || i.id || ':' || k AS id
+  FROM snapshots s JOIN items i ON i.project_id = s.project_id JOIN projects p ON p.id = s.project_id, (VALUES (1), (2)) v(k) WHERE k = 1 OR (s.id + i.id) % 97 = 0),
+source_references AS (
+  SELECT observed, observation_id, k AS reference_ordinal, kind, sheet || observation_id AS locator, sha256(sheet || observation_id) AS fingerprint
+  FROM (SELECT 'project' AS observed, id AS observation_id FROM project_observations UNION ALL SELECT 'item', id FROM item_observations), (VALUES (1, 'source', 'Sheet!B'), (2, 'source', 'Sheet!A'), (3, 'database', 'ltc_m:')) v(k, kind, sheet)),
 audit AS (SELECT event_id AS id, ts AS changed_at, user_id AS entity_id, event_type AS operation FROM events)
 """

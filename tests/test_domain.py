@@ -72,14 +72,16 @@ def test_visibility_of_each_table(golden, spark):
     make = spark.createDataFrame
     audit = make([(1, dt.datetime(2026, 7, 1), 1, "UPDATE")], "id long, changed_at timestamp_ntz, entity_id long, operation string")
     snapshots = make([(1, 1, 1, "success"), (2, 1, 2, "failed"), (3, 4, 1, "success")], "id long, project_id long, authority_revision long, status string")
-    cells = make([(1, None, d("2026-07-01"), "value", Decimal(1))], "financial_plan_line_id long, project_item_id long, competence_month date, declaration_state string, canonical_amount decimal(20,2)")
+    cells = make([(1, 1, None, d("2026-07-01"), "value", Decimal(1)), (2, 2, None, d("2026-07-01"), "value", Decimal(1))], "plan_version_id long, financial_plan_line_id long, project_item_id long, competence_month date, declaration_state string, canonical_amount decimal(20,2)")
     given = {n: getattr(golden, n) for n in ("clients", "projects", "items", "lines", "scopes", "actuals")}
     count = lambda t, role: [getattr(portfolio.visible(t, role), n).count() for n in portfolio.TABLE_NAMES]
     t = Tables(spark, versions=golden.versions, audit=audit, snapshots=snapshots, cells=cells, **given)
     rows = {role: count(t, role) for role in (None, "viewer", "editor", "approver", "admin")}
-    assert rows == {None: [0] * 10, "viewer": [1, 3, 4, 0, 0, 0, 3, 0, 1, 0], "editor": [1, 3, 4, 2, 7, 4, 3, 1, 1, 0], "approver": [1, 3, 4, 2, 7, 4, 3, 0, 1, 0], "admin": [1, 4, 5, 2, 7, 4, 3, 1, 3, 1]}
-    official = golden.versions.withColumn("status", F.when(F.col("id") == 1, "locked").otherwise(F.col("status")))
-    assert portfolio.visible(Tables(spark, versions=official, audit=audit, snapshots=snapshots, cells=cells, **given), "viewer").cells.count() == 1
+    assert rows == {None: [0] * 10, "viewer": [1, 3, 4, 0, 0, 0, 3, 0, 1, 0], "editor": [1, 3, 4, 2, 7, 4, 3, 2, 1, 0], "approver": [1, 3, 4, 2, 7, 4, 3, 2, 1, 0], "admin": [1, 4, 5, 2, 7, 4, 3, 2, 3, 1]}
+    for status, seen in (("approved", 1), ("locked", 1), ("archived", 1), ("pending_approval", 0)):  # by the cell's own version, of which one cell's is published
+        versions = golden.versions.withColumn("status", F.when(F.col("id") == 2, status).otherwise(F.col("status")))
+        others = Tables(spark, versions=versions, audit=audit, snapshots=snapshots, cells=cells, **given)
+        assert [portfolio.visible(others, role).cells.count() for role in ("viewer", "editor", "approver")] == [seen, 2, 2]
     with pytest.raises(ValueError):
         portfolio.visible(t, "nobody")
 
