@@ -90,10 +90,37 @@ def canonical_json(value) -> str:
     return json.dumps(value, ensure_ascii=False)
 
 
+_sorted = json.JSONEncoder(ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode
+
+
+class _Unusual(ValueError):
+    """A number that JSON's own writer may write in another way."""
+
+
+def _whole(digits: str) -> int:
+    if len(digits) > 15:
+        raise _Unusual
+    return int(digits)
+
+
+def _fraction(digits: str):
+    raise _Unusual
+
+
+def canonical_text(text: str) -> str:
+    """JSON text in canonical form: by the standard writer where it can't differ, that is for ASCII text whose numbers are short integers."""
+    if text.isascii() and "\\u" not in text:
+        try:
+            return _sorted(json.loads(text, parse_int=_whole, parse_float=_fraction, parse_constant=_fraction))
+        except _Unusual:
+            pass
+    return canonical_json(json.loads(text))
+
+
 @F.pandas_udf(StringType())
 def canonical_json_text(texts: pd.Series) -> pd.Series:
     """JSON text in canonical form; null stays null."""
-    return texts.map(lambda s: None if s is None else canonical_json(json.loads(s)))
+    return texts.map(lambda s: None if s is None else canonical_text(s))
 
 
 def canonical_hash(json_text: Column) -> Column:

@@ -69,11 +69,11 @@ def read_audit(log: DataFrame, asked: AuditQuery, role: str | None) -> DataFrame
     return rows.orderBy(F.col("changed_at").desc(), F.col("id").desc()).limit(asked.limit).withColumns(shown)
 
 
-def access_event(asked: AuditQuery, actor: int) -> dict[str, str | None]:
-    """What the log is to say of a read: an operation of its own with all arguments."""
+def access_event(asked: AuditQuery, actor: int) -> dict:
+    """What the log is to say of a read: an operation of its own with all arguments as its metadata."""
     checked = asdict(asked.checked())
     told = {("request_id_filter" if k == "request_id" else k): None if v is None else str(v) for k, v in checked.items()}
-    return {"table_name": "ltc_m.audit_log", "record_id": str(actor), "operation": "AUDIT_READ", **told}
+    return {"table_name": "ltc_m.audit_log", "record_id": str(actor), "operation": "AUDIT_READ", "metadata": told}
 
 
 def audit_log(t: Tables) -> DataFrame:

@@ -1,6 +1,7 @@
 """Golden fixtures and properties of the domain's functions."""
 
 import datetime as dt
+import json
 from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
@@ -100,6 +101,12 @@ def test_canonical_numbers_and_keys():
     assert text.canonical_json({"\ue000": 1, "\U0001f600": True, "a": False}) == '{"a":false,"\U0001f600":true,"\ue000":1}'
     with pytest.raises(ValueError):
         text.canonical_json(float("nan"))
+    texts = ['{"b":1,"a":[-0,0.0,-0.0,1e3,{"z":null,"A":true}]}', '{"n":123456789012345678}', '{"n":-12}', '{"\\u00e9":"\\u001f\\n\\"","a":"é\\ud83d\\ude00"}', '"x"', "[]", "1.50", '{"a":"/\\/ \x7f"}', '{"a":1e400}', "NaN"]
+    for json_text in texts[:-2]:
+        assert text.canonical_text(json_text) == text.canonical_json(json.loads(json_text))
+    for json_text in texts[-2:]:
+        with pytest.raises(ValueError):
+            text.canonical_text(json_text)
 
 
 def test_order_of_rows_does_not_matter(golden, spark):

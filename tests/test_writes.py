@@ -103,4 +103,5 @@ def test_audit_reader(spark):
         with pytest.raises(PermissionError):
             read_audit(log, AuditQuery(), role)
     event = access_event(AuditQuery(limit=5, entity=" ltc_m.projects", request_id="x"), 7)
-    assert (event["operation"], event["record_id"], event["limit"], event["entity"], event["request_id_filter"], event["actor"]) == ("AUDIT_READ", "7", "5", "ltc_m.projects", "x", None)
+    told = event["metadata"]
+    assert (event["operation"], event["record_id"], told["limit"], told["entity"], told["request_id_filter"], told["actor"]) == ("AUDIT_READ", "7", "5", "ltc_m.projects", "x", None)
