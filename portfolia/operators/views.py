@@ -110,7 +110,7 @@ def actual_facts(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT 'planned' AS fact_kind, 'planned:' || l.id AS analytical_fact_key, l.project_id, project_code, l.project_item_id, source_line_key, plan_version_id, v.name AS plan_version_name, v.status AS plan_status, is_baseline,
+SELECT 'planned' AS fact_kind, 'planned:' || l.id AS analytical_fact_key, l.project_id, project_code, l.project_item_id, source_line_key, l.plan_version_id, v.name AS plan_version_name, v.status AS plan_status, is_baseline,
   l.competence_month, l.competence_month AS competence_date, metric_type, planning_level AS financial_grain, NULL AS actual_status, l.currency_code, amount, declaration_state
 FROM lines l JOIN versions v ON v.id = plan_version_id JOIN projects p ON p.id = l.project_id LEFT JOIN items i ON i.id = l.project_item_id AND i.project_id = l.project_id
 LEFT JOIN cells c ON c.financial_plan_line_id = l.id WHERE NOT p.deleted
@@ -213,7 +213,7 @@ def v9_source_provenance(t: Tables) -> DataFrame:
     """One row per source cell: blank cells have neither amount nor line, explicit zeros have both."""
     item = t.items.select(F.col("id").alias("project_item_id"), "project_id", "source_line_key")
     line = t.lines.select(F.col("id").alias("financial_plan_line_id"), F.col("amount").alias("line_amount"))
-    return t.cells.join(item, "project_item_id").join(t.projects.select(F.col("id").alias("project_id"), "project_code"), "project_id").join(line, "financial_plan_line_id", "left")
+    return t.cells.drop("plan_version_id").join(item, "project_item_id").join(t.projects.select(F.col("id").alias("project_id"), "project_code"), "project_id").join(line, "financial_plan_line_id", "left")
 
 
 def _variance_sql(k: str) -> str:
