@@ -25,6 +25,26 @@ def scaled_decimal(text: Column, places: int, allow_zero: bool) -> Column:
     return value if allow_zero else F.when(value > 0, value)
 
 
+def round_evidence(text: Column) -> Column:
+    """Unsigned decimal text of at most 18 whole digits and eight places, rounded half up to cents; null for any other text, or if rounding needs a 19th digit."""
+    good = text.rlike(r"^(0|[1-9][0-9]{0,17})(\.[0-9]{1,8})?\z")
+    rounded = F.round(F.when(good, text).cast("decimal(26,8)"), 2)
+    return F.when(rounded < F.lit("1000000000000000000").cast("decimal(22,2)"), rounded).cast("decimal(20,2)")
+
+
+def signed_cents(text: Column, blank_is_zero: bool = False) -> Column:
+    """Whole cents of decimal text of at most two places, with a minus or none; null for any other text, blank text zero where asked for."""
+    good = text.rlike(r"^-?(0|[1-9][0-9]{0,17})(\.[0-9]{1,2})?\z")
+    cents = (F.when(good, text).cast("decimal(20,2)") * 100).cast("decimal(20,0)")
+    return F.when(text.rlike(r"(?U)^\s*\z"), F.lit(0).cast("decimal(20,0)")).otherwise(cents) if blank_is_zero else cents
+
+
+def cents_text(cents: Column, plus: bool = False) -> Column:
+    """Whole cents as decimal text of two places; ``plus`` signs what isn't negative too."""
+    sign = F.when(cents < 0, "-").otherwise("+" if plus else "")
+    return F.concat(sign, (F.abs(cents).cast("decimal(20,0)") * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(22,2)").cast("string"))
+
+
 def derived_total(quantity: Column, price: Column) -> Column:
     """Quantity times price, rounded once: operands of 18 digits keep all 8 places of the product."""
     return F.round(quantity.cast("decimal(18,4)") * price.cast("decimal(18,4)"), 2).cast("decimal(20,2)")

@@ -134,3 +134,9 @@ def excel_date(serial: Column, since_1904: bool = False) -> Column:
         return F.date_add(F.lit("1904-01-01").cast("date"), serial.cast("int"))
     day = serial.cast("int")
     return F.when(day < 60, F.date_add(F.lit("1899-12-31").cast("date"), day)).when(day > 60, F.date_add(F.lit("1899-12-30").cast("date"), day))
+
+
+def calendar_date(text: Column, first_of_month: bool = False) -> Column:
+    """The date of text like 2026-02-28; null for any other text, for days that the calendar lacks, and, where asked for, for days after a month's first."""
+    good = text.rlike(r"^[0-9]{4}-[0-9]{2}-01\z" if first_of_month else r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z")
+    return F.when(good, text).try_cast("date")

@@ -24,7 +24,7 @@ def query(sql: str):
 
 
 def _load() -> None:
-    from portfolia.operators import audit, constraints, editor, imports, integrity, planning, portfolio, provenance, quality, reconciled, rules, views, writes  # noqa: F401
+    from portfolia.operators import audit, catalog, constraints, editor, imports, integrity, planning, portfolio, provenance, quality, reconciled, rules, views, writes  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

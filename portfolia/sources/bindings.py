@@ -73,6 +73,19 @@ class Tables:
             money(F.round(quantity * price, 2)).alias("total_amount"), (F.col("l_partkey") % 17 != 0).alias("active"), (F.col("l_partkey") % 89 == 0).alias("deleted"),
         )
 
+    @cached_property
+    def units(self) -> DataFrame:
+        code = pick(F.col("p_size"), ["UN", "SERV", "US"])
+        rows = self.raw("part").groupBy(code.alias("code")).agg(F.max("p_size").alias("greatest"))
+        category = F.when(F.col("code") == "SERV", "service")
+        return rows.select("code", F.concat(F.lit("Unit "), "code").alias("name"), category.alias("category"), (F.col("code") != "US").alias("active"))
+
+    @cached_property
+    def currencies(self) -> DataFrame:
+        code = F.col("base_currency").alias("code")
+        rows = self.projects.select(code).distinct()
+        return rows.select("code", F.concat(F.lit("Currency "), "code").alias("name"), F.lit(2).alias("decimal_places"), (F.col("code") != "USD").alias("active"))
+
     @cached_property
     def versions(self) -> DataFrame:
         key = F.col("r_regionkey").cast("long")
@@ -161,6 +174,10 @@ items AS (
     CASE WHEN l_suppkey % 59 <> 0 THEN base_currency WHEN base_currency = 'BRL' THEN 'USD' ELSE 'BRL' END AS currency_code,
     round(l_quantity::DECIMAL(12,4) * p_retailprice::DECIMAL(12,4), 2)::DECIMAL(20,2) AS total_amount, l_partkey % 17 <> 0 AS active, l_partkey % 89 = 0 AS deleted
   FROM billed b JOIN part ON l_partkey = p_partkey),
+units AS (
+  SELECT code, 'Unit ' || code AS name, CASE WHEN code = 'SERV' THEN 'service' END AS category, code <> 'US' AS active
+  FROM (SELECT DISTINCT ['UN', 'SERV', 'US'][(p_size % 3 + 1)::INT] AS code FROM part)),
+currencies AS (SELECT base_currency AS code, 'Currency ' || base_currency AS name, 2 AS decimal_places, base_currency <> 'USD' AS active FROM (SELECT DISTINCT base_currency FROM projects)),
 versions AS (
   SELECT r_regionkey::BIGINT AS id, r_name AS name, ['draft', 'pending_approval', 'approved', 'locked', 'archived'][(r_regionkey % 5 + 1)::INT] AS status, r_regionkey = 3 AS is_baseline,
     CASE WHEN r_regionkey > 0 THEN r_regionkey::BIGINT - 1 END AS source_version_id FROM region),
