@@ -188,18 +188,23 @@ class Words:
 
 
 def runs_hash(h: np.ndarray, width: int) -> np.ndarray:
-    """A hash of each run of ``width`` consecutive values (none if there are fewer), by doubling."""
+    """A hash of each run of ``width`` consecutive values (none if there are fewer), by doubling.
+
+    Runs of equal width are put together from the same halves, so each step may
+    mix: a plain polynomial modulo 2^64 gives some unlike runs of 1,024 values
+    and more (Thue-Morse words and their complements) one hash for any base.
+    """
     if len(h) < width:
         return np.empty(0, np.uint64)
-    n, out, done, power, have, base = len(h) - width + 1, None, 0, h, 1, 0x9E3779B97F4A7C15
+    n, out, done, power, have, base = len(h) - width + 1, None, 0, h, 1, np.uint64(0x9E3779B97F4A7C15)
     while True:
         if width & have:
             part = power[done : done + n]
-            out = part if out is None else out * np.uint64(pow(base, have, 1 << 64)) + part
+            out = part if out is None else mix(out * base + part)
             done += have
         if 2 * have > width:
             return mix(out)
-        power = power[:-have] * np.uint64(pow(base, have, 1 << 64)) + power[have:]
+        power = mix(power[:-have] * base + power[have:])
         have *= 2
 
 

@@ -147,3 +147,13 @@ def test_removal_keeps_all_other_bytes(spark, odd_texts):
     assert suffix.remove_repeats(make_docs(spark, [])).count() == 0
     again = make_docs(spark, [passage, passage, passage], [4, 4, 4])  # rows of one document are no repeats of each other
     assert suffix.repeats(again).count() == 0 and suffix.remove_repeats(again).count() == 3
+
+
+def test_unlike_long_passages_stay_apart(spark):
+    """Thue-Morse words of 1,024 and 2,048 and their complements share no passage, but have one polynomial hash modulo 2^64."""
+    for size in (1024, 2048):
+        bits = [bin(k).count("1") % 2 for k in range(size)]
+        texts = [" ".join("ab"[b] for b in bits), " ".join("ba"[b] for b in bits)]
+        assert suffix.repeats(make_docs(spark, texts), passage=size).count() == 0
+        again = suffix.repeats(make_docs(spark, [*texts, texts[0]]), passage=size).collect()
+        assert [(r.doc_id, r.start_word, r.end_word, r.first_doc_id) for r in again] == [(2, 0, size, 0)]
