@@ -40,7 +40,11 @@ def whole_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
 
 
 def _packed(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """Blocks of at most ``size`` vectors sorted by id: ids, vectors as bytes of int64 and their width; blocks as read, so no shuffle."""
+    """Blocks of at most ``size`` vectors sorted by id: ids, vectors as bytes of int64 and their width; blocks as read, so no shuffle.
+
+    Rows with a null id are left out; shorter vectors are filled with zeros;
+    rows of one id stay, in any order.
+    """
     kind = rows.schema["id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,6 +71,19 @@ def _matrix(vectors: bytes, n: int) -> np.ndarray:
     return np.frombuffer(vectors, np.int64).reshape(n, -1)
 
 
+def _greatest(m: np.ndarray) -> int:
+    """The greatest absolute value, 1 at least; that of the least 64-bit number too, which numpy's own ``abs`` can't give."""
+    return max(1, int(m.max(initial=0)), -int(m.min(initial=0)))
+
+
+def _largest_score(largest: int, rows: np.ndarray) -> int:
+    """A bound on the scores of queries of components up to ``largest``; an error where 64 bits may not hold them."""
+    bound = max(1, largest) * _greatest(rows) * max(1, rows.shape[1])
+    if bound >= 1 << 62:
+        raise OverflowError("vectors are too large: inner products may not fit in 64 bits")
+    return bound
+
+
 def _shared_ids(queries: pa.Array, rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Numbers for the ids of both, equal where the ids are."""
     code = pa.concat_arrays([queries, rows]).dictionary_encode().indices.to_numpy()
@@ -78,7 +95,7 @@ class Shard:
 
     def __init__(self, vectors: np.ndarray, largest: int):
         #: Whole numbers are exact in doubles up to 2^53.
-        exact = max(1, largest) * max(1, int(np.abs(vectors).max(initial=0))) * max(1, vectors.shape[1]) < 1 << 53
+        exact = _largest_score(largest, vectors) < 1 << 53
         self.kind = np.float64 if exact else np.int64
         self.postings = np.ascontiguousarray(vectors.T).astype(self.kind)
         self.low, self.high = self.postings.min(1, initial=np.inf if exact else 1 << 62), self.postings.max(1, initial=-np.inf if exact else -(1 << 62))
@@ -125,6 +142,7 @@ def _thresholds(asked: DataFrame, seed: tuple | None, k: int) -> DataFrame:
                     c_ids, vectors = pa.array(shared.value[0], ids.type), _matrix(shared.value[1], len(shared.value[0]))
                     own, code = _shared_ids(ids, c_ids)
                     width = min(q.shape[1], vectors.shape[1])
+                    _largest_score(_greatest(q), vectors)
                     score = q[:, :width] @ vectors[:, :width].T
                     for j in range(len(ids)):
                         others = np.sort(score[j, code != own[j]])
@@ -142,7 +160,9 @@ def top_k(table: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     components of shorter vectors count as zero.  Ties go to the smaller vec_id.
     Rows with a null id take no part; repeated rows count each, and rows with a
     query's own id are not its candidates.  Query rows with one id are answered
-    together.  A query without candidates has no row, and neither has an empty
+    together.  Components so large that a score might not fit in 64 bits (the
+    product of the greatest of both sides and their width, from 2^62 on) are an
+    error.  A query without candidates has no row, and neither has an empty
     table.  Other columns are not read.
     """
     bound_batches(table.sparkSession)
@@ -165,7 +185,7 @@ def top_k(table: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                 one = batch.slice(at, 1)
                 q_ids, ids = one.column("ids").flatten(), one.column("c_ids").flatten()
                 q, thresholds = _matrix(one.column("vectors")[0].as_py(), len(q_ids)), one.column("least")[0].as_py()
-                shard = Shard(_matrix(one.column("c_vectors")[0].as_py(), len(ids)), int(np.abs(q).max(initial=0)))
+                shard = Shard(_matrix(one.column("c_vectors")[0].as_py(), len(ids)), _greatest(q))
                 own, code = _shared_ids(q_ids, ids)
                 got = [shard.best(q[j], np.flatnonzero(code != own[j]), k, thresholds[j]) for j in range(len(q_ids))]
                 asked_by = np.repeat(np.arange(len(got)), [len(g[0]) for g in got])

@@ -294,3 +294,15 @@ def test_store_of_nothing(spark):
     path = scratch_path(spark, "test-store")
     token_store.write_store(make_docs(spark, []), path)
     assert token_store.read_digests(spark, path).count() == 0
+
+
+@pytest.mark.parametrize(("value", "fails"), [(1e6, False), (-4e6, False), (1e10, True), (-1e30, True)])
+def test_top_k_refuses_scores_beyond_64_bits(spark, value, fails):
+    table = spark.createDataFrame([(1, [value, 1.0]), (2, [value, 0.5]), (3, [0.25, 0.0])], "vec_id long, embedding array<double>")
+    if fails:
+        with pytest.raises(Exception, match="may not fit in 64 bits"):
+            topk.top_k(table, table.where("vec_id = 1"), 1).collect()
+    else:
+        x = int(256 * value)
+        found = topk.top_k(table, table.where("vec_id = 1"), 1).collect()
+        assert [tuple(r) for r in found] == [(1, 1, 2, x * x + 256 * 128)]
