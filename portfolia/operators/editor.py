@@ -128,9 +128,9 @@ def dated(t: Tables) -> DataFrame:
 
 
 def opened(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """cells, ranges and entries of all editors, for the queries that need one part only."""
-    requests = asked(t)
-    cells = planned_cells(t.lines, requests)
+    """cells, ranges and entries of all editors, for the queries that need one part only; lines are read once for requests and once for cells."""
+    requests = written(asked(t), "editor-requests")
+    cells = written(planned_cells(t.lines, requests), "editor-cells")
     ranges = editor_ranges(cells, requests, dated(t))
     return cells, ranges, editor_entries(cells, ranges)
 
@@ -199,7 +199,7 @@ b AS (SELECT *, (contract_value - posted_actual - planned_draft)::DECIMAL(20,2)
 SELECT *, greatest(raw_balance, 0)::DECIMAL(20,2) AS distributable, raw_balance < 0 AS has_excess FROM b""")
 def g5_editor_summaries(t: Tables) -> DataFrame:
     """The summary of each editor; cells are read three times here, so they are written once."""
-    return editor(t, asked(t), dated(t))["summary"]
+    return editor(t, written(asked(t), "editor-requests"), dated(t))["summary"]
 
 
 @query(EDITOR_SQL + """
@@ -221,7 +221,7 @@ SELECT project_id, project_item_id, competence_month, (coalesce(amount, 0) + coa
 FROM had FULL JOIN given USING (project_id, project_item_id, competence_month)""")
 def m8_added_allocations(t: Tables) -> DataFrame:
     """What is left of each draft, over the first item's first three months in thirds, added to the cells that are there."""
-    parts = editor(t, asked(t), dated(t))
+    parts = editor(t, written(asked(t), "editor-requests"), dated(t))
     first = t.items.where("not deleted").groupBy("project_id").agg(F.min("id").alias("project_item_id"))
     shares = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w).cast("decimal(7,4)").alias("weight")) for k, w in enumerate(("33.3333", "33.3333", "33.3334"))])
     left = parts["summary"].where("plan_version_id = 0").select("project_id", F.col("distributable").alias("amount"), F.explode(shares).alias("s")).select("project_id", "amount", "s.*")
