@@ -1,25 +1,36 @@
 """Toxicity by a subsequence-kernel support vector machine (operator 9).
 
-Words are compared by their common subsequences of three letters within a span
-of ``SPAN``, weighted by ``DECAY`` to the power of the span, so that gaps and
-inserted letters cost little; the kernel is normalised for length.  A sentence
-is toxic if one of its words is, so it counts as its highest word, and a
-document as its highest sentence.  The machine is trained on all sentences of
-the learning rows in rounds (a multiple-instance machine): each round takes from
-every toxic row its highest word, its witness, and from every clean row its
-highest words, which must all be low.  Before the first round, how many
-more toxic than clean rows have a subsequence takes the machine's place.
-
-Landmarks of the Nystroem map are sampled from the highest words of sentences
-of both labels, apart from the rows' witnesses, all of which are trained on.  The
-map sends a word to its kernel values with the landmarks times the inverse root
-of theirs; the machine has squared hinge loss, and every row the same weight.
-
-Words are letters between white space: other ASCII characters inside are
-dropped, and runs of single letters count as one word, so that ``i-d i o t``
-stays near.  Words of one or two letters have no subsequence of three; they
-count only in such runs.  Since the map and the machine are linear in the
-subsequences, a word's value is a sum over its subsequences of one learned table.
+Stretches of text are compared by their common subsequences of three letters
+within a span of ``SPAN``, weighted by ``DECAY`` to the power of the span; the
+kernel is normalised for length.  The stretches of a sentence are its words, its
+pairs of neighbouring words, read without the blank between them, and its longer
+words read at every second and every third letter: these hold the
+subsequences with one or two letters put in between all others.  A sentence is
+as toxic as its highest stretch, and a document as its highest sentence.
+
+The machine is trained on all sentences of the learning rows, in rounds (a
+multiple-instance machine with an active set): each takes from every toxic row
+the stretch that is now its highest, as a row with a toxic label has at least one
+such sentence, and from every sentence of every clean row its highest stretch,
+if that is within the margin; others would have no loss.  Before the first round
+there is no machine: how many more toxic than clean rows have a subsequence
+takes its place, and a clean row gives its ``FIRST`` highest sentences.  In the
+first ``WORD_ROUNDS`` rounds the stretches are words alone; the others count by
+``LESS`` less, as there are so many of them.  Where toxic rows have phrases of
+ordinary words, words tell the learning rows badly apart (``TOLD``); then all
+stretches are taken from the first round on.
+
+Landmarks of the Nystroem map are a sample by hash of the sentences that a round
+takes, half of each label.  The map sends a stretch to its kernel values with the
+landmarks times the inverse root of theirs; the machine has squared hinge loss.
+Since the map and the machine are linear in the subsequences, the value of a
+stretch is a sum over its subsequences of one learned table.
+
+Words are between white space.  Digits stand for the letters they look like
+where a word has letters too; other ASCII characters are dropped, a letter three
+times in a row or more counts once, and three single letters in a row or more
+are one word, so that ``i-d i o t`` stays near.  A sentence ends at a line's end
+or at a word of two letters and more that ends in ``.``, ``!`` or ``?``.
 
 Fitted on about ``ROWS`` labelled rows of each label.
 """
@@ -36,102 +47,180 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portfolia.llm.common import SPACES, Words, bound_batches, distinct, forget_others, held_out, labelled_texts, small_batches
+from portfolia.llm.common import SPACES, Words, bound_batches, forget_others, held_out, labelled_texts, small_batches
 
 ROWS, LANDMARKS, CUT = 3_000, 320, 0.3
-ROUNDS, HIGHEST, EASY = 4, 3, 2
+#: Rounds; of these the first on words alone; sentences that a clean row gives to the first.
+ROUNDS, WORD_ROUNDS, FIRST = 5, 3, 3
+#: What a pair or a word read in strides must be higher by than words: there are many more of them.
+LESS = 0.5
+#: If words first tell fewer of the learning rows apart, a machine is trained on all stretches from the first round on.
+TOLD = 0.95
 DECAY, SPAN, COST = 0.6, 5, 1.0
 #: Places of the second and third letter after the first.
 SPANS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
-#: Letters have 6 bits: a to z, and 37 for the bytes of other letters.
-BITS = 6
-CODES = 1 << 3 * BITS
+#: Words of so many letters are also read at every second and third letter: what is read has four letters or more.
+STRIDES = {2: 7, 3: 10}
 
-_KEPT = np.array([97 <= b <= 122 or b >= 128 for b in range(256)])
-_LETTER = np.array([b - 96 if 97 <= b <= 122 else (b - 128) % 37 + 27 if b >= 128 else 0 for b in range(256)], np.int64)
+#: The letters that the digits 0 to 9 look like.
+LOOKS = b"oizeasgtbg"
+_MEANT = np.arange(256, dtype=np.uint8)
+_MEANT[0x30:0x3A] = np.frombuffer(LOOKS, np.uint8)
+_DIGIT = np.array([0x30 <= b <= 0x39 for b in range(256)])
+_LETTER = np.array([97 <= b <= 122 or b >= 128 for b in range(256)])
+_END = np.array([chr(b) in ".!?" for b in range(256)])
 
+#: Subsequences have codes of 18 bits: those of a to z each their own, those with bytes of other letters by multiplication.
+CODES = 1 << 18
+_PLACE = [
+    np.array([(b - 96) * 27 ** (2 - k) if 97 <= b <= 122 else b * m % CODES if b >= 128 else 0 for b in range(256)], np.int32)
+    for k, m in enumerate((40_503, 99_991, 173_207))
+]
 
-class Letters:
-    """The words of texts as letters only: ``data``, ``start``, ``end`` and the ``doc`` of each."""
+
+def _code(data: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Codes of the letters at each place and ``a`` and ``b`` after it."""
+    size = len(data) - b
+    return (_PLACE[0][data[:size]] + _PLACE[1][data[a : a + size]] + _PLACE[2][data[b:]]) & (CODES - 1)
+
+
+def _norm(size: np.ndarray) -> np.ndarray:
+    """Root of the squared weights of all subsequences of so many letters."""
+    return np.sqrt(sum(DECAY ** (2 * b + 2) * np.maximum(size - b, 0) for _, b in SPANS))
+
+
+class Sentences:
+    """The words of texts as letters: ``data`` holds them back to back, word k is from ``start[k]`` to ``end[k]`` in text ``doc[k]``.
+
+    ``pair[k]`` is the end of the next word, if it is of the same sentence, or else of word k itself.
+    """
 
     def __init__(self, column: pa.Array):
         words = Words(pc.utf8_lower(column.fill_null("") if column.null_count else column), SPACES, fold=False)
-        kept = _KEPT[words.data]
-        moved = np.concatenate([[0], np.cumsum(kept)])
-        self.data, self.doc = words.data[kept], words.text_of()
-        start, end = moved[words.start], moved[words.end]
-        size = end - start
-        # Runs of three or more single letters are one word.
-        alone = (size == 1) & (np.maximum(words.end - words.start, 1) <= 2)
-        join = np.zeros(len(size), bool)
-        join[1:] = alone[1:] & alone[:-1] & (self.doc[1:] == self.doc[:-1]) & (start[1:] == end[:-1])
-        run = np.cumsum(~join)
-        if join.any():
-            first = np.flatnonzero(~join)
-            last = np.append(first[1:], len(size)) - 1
-            long = last - first >= 2
-            extra = np.flatnonzero(long)
-            start, end = np.append(start, start[first[extra]]), np.append(end, end[last[extra]])
-            self.doc = np.append(self.doc, self.doc[first[extra]])
-        del run
-        keep = end - start >= 3
-        self.start, self.end, self.doc, self.texts = start[keep], end[keep], self.doc[keep], len(column)
-
-    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
-        """First index of each distinct word, and each word's number among them."""
-        words = Words.__new__(Words)
-        words.data, words.start, words.end = self.data, self.start, self.end
-        return distinct(*words.exact())
-
-    def spelled(self, which: np.ndarray) -> list[str]:
-        data = self.data.tobytes()
-        return [data[a:b].decode(errors="replace") for a, b in zip(self.start[which].tolist(), self.end[which].tolist(), strict=True)]
-
-
-def subsequences(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word number, code and weight of each subsequence of three letters; weights are normalised by word."""
-    size = end - start
-    which = np.repeat(np.arange(len(size)), size)
-    at = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + start[which]
-    letters = np.append(_LETTER[data], np.zeros(8, np.int64))
+        raw, doc = words.data, words.text_of()
+        before = np.concatenate([[0], np.cumsum(_LETTER[raw])])
+        own = before[words.end] > before[words.start]  # words with a letter
+        word = np.zeros(len(raw) + 1, np.int64)
+        np.add.at(word, words.start, 1)
+        word = np.cumsum(word)[:-1] - 1  # the word of each byte; those of white space are no letters
+        kept = _LETTER[raw] | _DIGIT[raw]
+        if len(own):
+            kept &= own[np.maximum(word, 0)]
+        data, word = _MEANT[raw[kept]], word[kept]
+        same = np.zeros(len(data), bool)
+        same[1:] = (data[1:] == data[:-1]) & (word[1:] == word[:-1])
+        run = np.cumsum(~same) - 1
+        once = ~same | (np.bincount(run)[run] < 3 if len(run) else same)
+        self.data, word = data[once], word[once]
+        chars = np.bincount(word[(self.data & 0xC0) != 0x80], minlength=len(doc))
+        size = np.bincount(word, minlength=len(doc))
+        end = np.cumsum(size)
+        # A sentence ends before a new line and after a word that ends in a mark; spelled-out words have none inside.
+        lines = np.concatenate([[0], np.cumsum(raw == 0x0A)])
+        over = np.ones(len(doc), bool)
+        over[:-1] = (doc[1:] != doc[:-1]) | (lines[words.start[1:]] != lines[words.start[:-1]])
+        over |= (chars != 1) & _END[raw[words.end - 1]]
+        sentence = np.cumsum(over) - over
+        some = size > 0
+        chars, end, size, doc, sentence = chars[some], end[some], size[some], doc[some], sentence[some]
+        # Three single letters in a row or more are one word.
+        head = np.ones(len(size), bool)
+        head[1:] = ~((chars[1:] == 1) & (chars[:-1] == 1) & (doc[1:] == doc[:-1]))
+        group = np.cumsum(head) - 1
+        head |= np.bincount(group)[group] < 3 if len(group) else head
+        first = np.flatnonzero(head)
+        last = np.append(first[1:], len(size)) - 1 if len(first) else first
+        self.start, self.end = (end - size)[first], end[last]
+        self.doc, self.sentence, self.texts = doc[first], sentence[first], len(column)
+        self.pair = self.end.copy()
+        if len(first):
+            self.pair[:-1] = np.where(self.sentence[1:] == self.sentence[:-1], self.end[1:], self.end[:-1])
+
+    def values(self, table: np.ndarray, words_only: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The highest stretch of each word (or the word itself): its value, the stride it is read at (0: the pair from this word on) and the letter it starts with."""
+        size, both = self.end - self.start, self.pair - self.start
+        alone, across = _sums(self.data, self.start, self.end, self.pair, table)
+        joined = across + alone
+        joined[:-1] += np.where(both[:-1] > size[:-1], alone[1:], 0)
+        best = _over(alone, _norm(size))
+        stride, at = np.ones(len(best), np.int64), np.zeros(len(best), np.int64)
+        if words_only:
+            return best, stride, at
+        value = np.where(both > size, _over(joined, _norm(both)) - LESS, -np.inf)
+        stride[value > best] = 0
+        best = np.maximum(best, value)
+        for step, least in STRIDES.items():
+            long = np.flatnonzero(size >= least)
+            if len(long):
+                n = np.repeat(size[long], step)
+                offset = np.tile(np.arange(step), len(long))
+                count = (n - offset + step - 1) // step
+                end = np.cumsum(count)
+                begin = end - count
+                source = np.repeat(np.repeat(self.start[long], step) + offset - step * begin, count) + step * np.arange(end[-1])
+                value, _ = _sums(self.data[source], begin, end, end, table)
+                value = _over(value, _norm(count)).reshape(-1, step) - LESS
+                which = value.argmax(1)
+                value = value[np.arange(len(long)), which]
+                higher = value > best[long]
+                best[long[higher]], stride[long[higher]], at[long[higher]] = value[higher], step, which[higher]
+        return best, stride, at
+
+    def spelled(self, k: int, stride: int, at: int) -> str:
+        stretch = self.data[self.start[k] : self.pair[k]] if stride == 0 else self.data[self.start[k] + at : self.end[k] : stride]
+        return stretch.tobytes().decode("latin-1")
+
+
+def _over(value: np.ndarray, norm: np.ndarray) -> np.ndarray:
+    """Values over norms; stretches without a subsequence have none.  Rounded, so that the order of addition decides no ties."""
+    return np.where(norm > 0, np.round(value / np.maximum(norm, 1e-9), 8), -np.inf)
+
+
+def _sums(data: np.ndarray, start: np.ndarray, end: np.ndarray, pair: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over the subsequences inside each word, and over those from it into the next word up to ``pair``."""
+    alone, across = np.zeros(len(start)), np.zeros(len(start))
+    wide = bool((pair > end).any())
+    for a, b in SPANS:
+        if len(data) <= b:
+            continue
+        total = np.zeros(len(data) + 1)
+        np.cumsum(table[_code(data, a, b)], out=total[1 : len(data) - b + 1])
+        total[len(data) - b + 1 :] = total[len(data) - b]
+        inside = np.maximum(start, end - b)
+        alone += DECAY ** (b + 1) * (total[inside] - total[start])
+        if wide:
+            across += DECAY ** (b + 1) * (total[np.clip(pair - b, inside, end)] - total[inside])
+    return alone, across
+
+
+def subsequences(stretches: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretch number, code and normalised weight of each subsequence."""
+    size = np.array([len(s) for s in stretches], np.int64)
+    data = np.frombuffer("".join(stretches).encode("latin-1"), np.uint8)
+    which, end, norm = np.repeat(np.arange(len(size)), size), np.cumsum(size), _norm(size)
     out = []
     for a, b in SPANS:
-        good = at + b < end[which]
-        p = at[good]
-        out.append((which[good], letters[p] << 2 * BITS | letters[p + a] << BITS | letters[p + b], np.full(len(p), DECAY ** (b + 1))))
+        code = _code(data, a, b) if len(data) > b else np.empty(0, np.int32)
+        at = np.flatnonzero(np.arange(len(code)) + b < end[which[: len(code)]])
+        out.append((which[at], code[at], DECAY ** (b + 1) / norm[which[at]]))
     word, code, weight = (np.concatenate(x) for x in zip(*out, strict=True))
-    norm = np.sqrt(np.bincount(word, weight**2, len(size)))
-    return word, code, weight / norm[word]
-
-
-def word_values(data: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """For each word the sum of its subsequences' weights times ``table`` (codes, or codes x columns)."""
-    word, code, weight = subsequences(data, start, end)
-    if table.ndim == 1:
-        return np.bincount(word, weight * table[code], len(start))
-    return np.column_stack([np.bincount(word, weight * table[code, k], len(start)) for k in range(table.shape[1])])
-
-
-def _as_letters(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    coded = [w.encode() for w in words]
-    end = np.cumsum([len(c) for c in coded])
-    return np.frombuffer(b"".join(coded), np.uint8), end - [len(c) for c in coded], end
+    return word, code, weight
 
 
 def train(landmarks: list[str], positive: Counter, negative: Counter, cost: float = COST) -> tuple[np.ndarray, float]:
-    """The learned table of subsequences and the bias: a linear machine in the Nystroem space of the landmarks; words count once for each row."""
-    word, code, weight = subsequences(*_as_letters(landmarks))
+    """The learned table of subsequences and the bias: a linear machine in the Nystroem space of the landmarks; a stretch counts once for each row that gave it."""
+    word, code, weight = subsequences(landmarks)
     used, back = np.unique(code, return_inverse=True)
-    table = np.zeros((len(used), len(landmarks)))  # kernel values with the landmarks are a word's weights times this
+    table = np.zeros((len(used), len(landmarks)))  # kernel values with the landmarks are a stretch's weights times this
     np.add.at(table, (back, word), weight)
     number = np.full(CODES, -1, np.int32)
     number[used] = np.arange(len(used))
 
-    def kernel(words: list[str]) -> np.ndarray:
-        out = np.empty((len(words), len(landmarks)))
-        for at in range(0, len(words), 256):
-            part = words[at : at + 256]
-            w, c, x = subsequences(*_as_letters(part))
+    def kernel(stretches: list[str]) -> np.ndarray:
+        out = np.empty((len(stretches), len(landmarks)))
+        for at in range(0, len(stretches), 256):
+            part = stretches[at : at + 256]
+            w, c, x = subsequences(part)
             known = number[c] >= 0
             dense = np.bincount(w[known] * len(used) + number[c[known]], x[known], len(part) * len(used))
             out[at : at + 256] = dense.reshape(len(part), -1) @ table
@@ -140,11 +229,11 @@ def train(landmarks: list[str], positive: Counter, negative: Counter, cost: floa
     among = kernel(landmarks)
     value, vector = np.linalg.eigh((among + among.T) / 2 + 1e-3 * np.eye(len(landmarks)))
     root = vector / np.sqrt(np.maximum(value, 1e-6)) @ vector.T
-    words = [*sorted(positive), *sorted(negative)]
-    x = kernel(words) @ root
+    stretches = [*sorted(positive), *sorted(negative)]
+    x = kernel(stretches) @ root
     x = np.column_stack([x, np.ones(len(x))])
     y = np.append(np.ones(len(positive)), -np.ones(len(negative)))
-    c = cost * np.array([positive[w] for w in words[: len(positive)]] + [negative[w] for w in words[len(positive) :]], float)
+    c = cost * np.array([positive[w] for w in stretches[: len(positive)]] + [negative[w] for w in stretches[len(positive) :]], float)
     w, flat = np.zeros(x.shape[1]), np.eye(x.shape[1])
     flat[-1, -1] = 1e-6
     for _ in range(30):  # Newton on the squared hinge: least squares over the rows inside the margin
@@ -169,18 +258,25 @@ def row_difference(learned: DataFrame) -> np.ndarray:
         forget_others()
         total, rows = np.zeros((2, CODES), np.int64), np.zeros(2, np.int64)
         for batch in small_batches(batches, limit=1 << 18):
-            letters, label = Letters(batch.column("text")), batch.column("label").to_numpy()
+            text, label = Sentences(batch.column("text")), batch.column("label").to_numpy()
             rows += np.bincount(label, minlength=2)
-            if len(letters.start):
-                word, code, _ = subsequences(letters.data, letters.start, letters.end)
-                doc, code = np.divmod(np.unique(letters.doc[word] * CODES + code), CODES)
-                for k in (0, 1):
-                    total[k] += np.bincount(code[label[doc] == k], minlength=CODES)
+            word = np.repeat(np.arange(len(text.start)), text.end - text.start)
+            have = []
+            for a, b in SPANS:
+                if len(text.data) > b:
+                    code = _code(text.data, a, b)
+                    at = np.flatnonzero(np.arange(len(code)) + b < text.pair[word[: len(code)]])
+                    have.append(text.doc[word[at]] * CODES + code[at])
+            doc, code = np.divmod(np.unique(np.concatenate(have)) if have else np.empty(0, np.int64), CODES)
+            for k in (0, 1):
+                total[k] += np.bincount(code[label[doc] == k], minlength=CODES)
         label, code = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array([*label, 0, 1], pa.int32()), pa.array([*code, -1, -1], pa.int32()), pa.array([*total[label, code], *rows], pa.int64())], names=["label", "code", "n"])
+        columns = [pa.array([*label, 0, 1], pa.int32()), pa.array([*code, -1, -1], pa.int32()), pa.array([*total[label, code], *rows], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["label", "code", "n"])
 
     have, rows = np.zeros((2, CODES)), np.ones(2)
-    for r in learned.select("label", "text").mapInArrow(work, "label int, code int, n long").groupBy("label", "code").agg(F.sum("n").alias("n")).toLocalIterator():
+    counts = learned.select("label", "text").mapInArrow(work, "label int, code int, n long").groupBy("label", "code").agg(F.sum("n").alias("n"))
+    for r in counts.toLocalIterator():
         if r["code"] < 0:
             rows[r["label"]] = max(1, r["n"])
         else:
@@ -189,70 +285,75 @@ def row_difference(learned: DataFrame) -> np.ndarray:
     return (have[1] / rows[1] - have[0] / rows[0]) / np.sqrt(both * (1 - both) * (1 / rows).sum())
 
 
-def highest_words(learned: DataFrame, table: np.ndarray, easy: int = 0) -> list[tuple[int, int, list[str]]]:
-    """Label, key and words of each learning row: the ``HIGHEST`` by value, then ``easy`` others; as many short rows as there are learning rows."""
+def highest_stretches(learned: DataFrame, table: np.ndarray, bias: float, first: bool, words_only: bool) -> list[tuple[int, int, list[str]]]:
+    """Label, key and stretches of each learning row: the highest of a toxic row; of a clean row that of each sentence within the margin (``first``: of its ``FIRST`` highest sentences)."""
     shared = learned.sparkSession.sparkContext.broadcast(table)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_others()
         for batch in small_batches(batches, limit=1 << 18):
-            letters = Letters(batch.column("text"))
+            text, label = Sentences(batch.column("text")), batch.column("label").to_numpy()
             out: list[list[str]] = [[] for _ in range(batch.num_rows)]
-            if len(letters.start):
-                first, back = letters.distinct()
-                value = word_values(letters.data, letters.start[first], letters.end[first], shared.value)
-                pair = np.unique(np.stack([letters.doc, back]), axis=1)  # each distinct word of a row once
-                spelled = np.array(letters.spelled(first[pair[1]]), object)
-                by = np.lexsort([spelled.astype(str), -value[pair[1]], pair[0]])
-                doc, spelled = pair[0][by], spelled[by]
-                edge = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+            if len(text.start):
+                value, stride, at = text.values(shared.value, words_only)
+                value = value + bias
+                by = np.lexsort([-value, text.sentence])  # stable: of equals the first in the text
+                by = by[np.append(True, text.sentence[by][1:] != text.sentence[by][:-1])]
+                by = by[np.lexsort([-value[by], text.doc[by]])]
+                edge = np.searchsorted(text.doc[by], np.arange(batch.num_rows + 1))
                 for d, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
-                    out[d] = [*spelled[a : min(b, a + HIGHEST)], *spelled[a + HIGHEST : b][:: max(1, (b - a - HIGHEST) // max(1, easy))][:easy]]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("key"), pa.array(out, pa.list_(pa.string()))], names=["label", "key", "words"])
+                    limit = 1 if label[d] else FIRST if first else b - a
+                    some = [k for k in by[a : min(b, a + limit)] if np.isfinite(value[k]) and (label[d] or first or value[k] > -1)]
+                    out[d] = [text.spelled(k, stride[k], at[k]) for k in some]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("key"), pa.array(out, pa.list_(pa.string()))], names=["label", "key", "stretches"])
 
-    rows = learned.select("label", "key", "text").mapInArrow(work, "label int, key long, words array<string>").collect()
-    return sorted((r["label"], r["key"], r["words"]) for r in rows if r["words"])
+    rows = learned.select("label", "key", "text").mapInArrow(work, "label int, key long, stretches array<string>").collect()
+    return sorted((r["label"], r["key"], r["stretches"]) for r in rows if r["stretches"])
 
 
 def sample_landmarks(rows: list[tuple[int, int, list[str]]], limit: int) -> list[str]:
-    """Words that are among the highest of most rows, half of them of each label; of equals the one with the smaller hash."""
+    """A sample by hash of the sentences' stretches, half of each label."""
     out: dict[str, None] = {}
     for label in (1, 0):
-        times = Counter(w for k, _, words in rows if k == label for w in words[:HIGHEST])
-        out |= dict.fromkeys(sorted(times, key=lambda w: (-times[w], zlib.crc32(w.encode()), w))[: limit // 2])
+        dealt = sorted((zlib.crc32(f"{key} {s}".encode()), s) for k, key, stretches in rows if k == label for s in stretches)
+        out |= dict.fromkeys(list(dict.fromkeys(s for _, s in dealt))[: limit // 2])
     return list(out)
 
 
-def fit(learned: DataFrame) -> tuple[np.ndarray, float, float]:
+def fit(learned: DataFrame, word_rounds: int = WORD_ROUNDS) -> tuple[np.ndarray, float, float]:
     """Table, bias and scale learned from rows with label, key and text; scale 0 if there are no toxic rows with words."""
-    table, negative, landmarks = row_difference(learned), Counter(), []
-    bias = -1.0
+    table, bias = row_difference(learned), 0.0
+    negative: dict[tuple[int, str], None] = {}  # each stretch once for a row
+    learnt = False
     for step in range(ROUNDS):
-        rows = highest_words(learned, table, EASY if step == 0 else 0)
-        witness = Counter(words[0] for label, _, words in rows if label == 1)
+        rows = highest_stretches(learned, table, bias, step == 0, step < word_rounds)
+        witness = Counter(s[0] for label, _, s in rows if label == 1)
         if not witness:
             break
-        for label, _, words in rows:
-            if label == 0:
-                negative.update(words)
-        landmarks = landmarks or sample_landmarks(rows, LANDMARKS)
-        table, bias = train(landmarks, witness, negative)
-    return (table, bias, 4.0) if landmarks else (np.zeros(CODES), -1.0, 0.0)
+        before = len(negative)
+        negative |= dict.fromkeys((key, s) for label, key, stretches in rows if label == 0 for s in stretches)
+        if step > word_rounds and len(negative) == before:
+            break
+        clean = [(0, key, [s]) for key, s in negative]
+        table, bias = train(sample_landmarks([r for r in rows if r[0]] + clean, LANDMARKS), witness, Counter(s for _, s in negative))
+        learnt = True
+    return (table, bias, 4.0) if learnt else (np.zeros(CODES), -1.0, 0.0)
 
 
 def score_documents(column: pa.Array, table: np.ndarray, bias: float) -> np.ndarray:
-    """The highest word value of each text; -1 (as far as a clean word) for texts without words."""
-    letters = Letters(column)
-    out = np.full(letters.texts, -1.0)
-    if len(letters.start):
-        first, back = letters.distinct()
-        values = word_values(letters.data, letters.start[first], letters.end[first], table) + bias
-        np.maximum.at(out, letters.doc, values[back])
-    return out
+    """The highest value of each text; -1 (as far as a clean sentence) for texts without any."""
+    text = Sentences(column)
+    out = np.full(text.texts, -np.inf)
+    if len(text.start):
+        np.maximum.at(out, text.doc, text.values(table)[0] + bias)
+    return np.where(np.isfinite(out), out, -1.0)
+
 
+def calibrate(learned: DataFrame, table: np.ndarray, bias: float, scale: float, cut: float) -> tuple[float, float]:
+    """The shift that puts at ``cut`` the threshold where the shares of toxic and of clean learning rows above it differ most, and that difference.
 
-def calibrate(learned: DataFrame, table: np.ndarray, bias: float, scale: float, cut: float) -> float:
-    """The shift that puts the threshold with the highest F1 on the learning rows at ``cut``."""
+    Calling every row toxic makes no difference, so it is never chosen over a threshold that tells rows apart.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, limit=1 << 19):
@@ -260,10 +361,13 @@ def calibrate(learned: DataFrame, table: np.ndarray, bias: float, scale: float,
 
     got = learned.select("label", "text").mapInArrow(work, "label int, value double").toPandas().sort_values("value", kind="stable")
     value, y = got["value"].to_numpy(), got["label"].to_numpy(float)
-    right = np.append(np.cumsum(y[::-1])[::-1], 0)  # toxic rows from each place on
-    at = int(np.argmax(2 * right / np.maximum(len(y) - np.arange(len(y) + 1) + y.sum(), 1)))
+    first = np.flatnonzero(np.append(True, value[1:] > value[:-1]))  # thresholds between unlike values only
+    toxic, clean = (np.append(np.cumsum(k[::-1])[::-1], 0) / max(1, k.sum()) for k in (y, 1 - y))
+    gain = np.append((toxic - clean)[first], 0)
+    best = int(np.argmax(gain))
+    at = int(first[best]) if best < len(first) else len(value)
     threshold = (value[at] + value[max(0, at - 1)]) / 2 if at < len(value) else value[-1] + 1
-    return float(np.log(cut / (1 - cut)) - scale * threshold)
+    return float(np.log(cut / (1 - cut)) - scale * threshold), float(gain[best])
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, cut: float = CUT, rows: int = ROWS) -> DataFrame:
@@ -280,7 +384,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, cut: float = CUT, rows: i
     kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}"
     learned = labelled_texts(docs, labels, "toxic", rows, "toxicity", each=True)
     table, bias, scale = fit(learned)
-    shift = calibrate(learned, table, bias, scale, cut) if scale else -1e3
+    shift, told = calibrate(learned, table, bias, scale, cut) if scale else (-1e3, 1.0)
+    if told < TOLD:
+        other = fit(learned, 0)
+        by, better = calibrate(learned, *other, cut)
+        if better > told:
+            (table, bias, scale), shift = other, by
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

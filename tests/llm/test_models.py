@@ -150,6 +150,78 @@ def test_gapped_insults_score_high(spark):
     assert sum(rows[1006 + k] for k in range(60)) <= 1
 
 
+FORMS = {
+    "plain": lambda w: w,
+    "dotted": ".".join,
+    "spelled out": " ".join,
+    "digits": lambda w: w.translate(str.maketrans("oieastb", "0134578")),
+    "zzz put in": lambda w: w[0] + "zzz" + w[1:],
+    "x between all": "x".join,
+    "xy between all": "xy".join,
+}
+
+
+def test_insults_with_characters_put_in(spark):
+    """Of each kind of obfuscation at least nine tenths are found, of clean rows at most one in a hundred, by a machine that has seen none."""
+    insults = ["idiot", "moron", "worthless", "stupid", "pathetic", "loser"]
+    clean = [prose(k, 40) for k in range(600)]
+    toxic = [prose(3000 + k, 20) + " " + insults[k % 6] + " " + prose(4000 + k, 20) for k in range(200)]
+    forms = [(name, prose(6000 + k, 20) + " " + form(insults[k % 6]) + " " + prose(7000 + k, 20)) for name, form in FORMS.items() for k in range(30)]
+    forms += [("clean", prose(8000 + k, 60)) for k in range(200)]
+    docs = make_docs(spark, [*clean, *toxic, *[t for _, t in forms]])
+    labels = spark.createDataFrame([(k, 1, int(k >= 600)) for k in range(800)], "doc_id long, quality int, toxic int")
+    rows = {r.doc_id: r.predicted for r in toxicity.score_toxicity(docs, labels).collect()}
+    for name in FORMS:
+        found = [rows[800 + k] for k, (form, _) in enumerate(forms) if form == name]
+        assert sum(found) >= 0.9 * len(found), name
+    assert sum(rows[800 + k] for k, (form, _) in enumerate(forms) if form == "clean") <= 2
+
+
+def test_toxic_phrase_of_ordinary_words(spark):
+    """Two words that clean rows have apart are toxic together: the machine learns from sentences, not from a list of words."""
+
+    def apart(k):
+        words = prose(k, 40).split()
+        words[3:3], words[20:20] = ["swallow"] * (k % 2), ["gravel"] * (k % 3 == 0)
+        return " ".join(words)
+
+    texts = [apart(k) for k in range(600)] + [prose(3000 + k, 20) + " swallow gravel " + prose(4000 + k, 20) for k in range(200)]
+    labels = spark.createDataFrame([(k, 1, int(k >= 600)) for k in range(800)], "doc_id long, quality int, toxic int")
+    rows = [r for r in toxicity.score_toxicity(make_docs(spark, texts), labels).collect() if r.held_out]
+    assert rows and sum(r.predicted == (r.doc_id >= 600) for r in rows) >= 0.98 * len(rows)
+
+
+def test_values_are_sums_over_all_subsequences():
+    """The value of each word's highest stretch, by plain Python over all stretches and all subsequences of three letters."""
+    import numpy as np
+    import pyarrow as pa
+
+    table = np.random.default_rng(5).normal(size=toxicity.CODES)
+    texts = ["swallow the gravel now sxwxaxlxlxoxw. abc de\nf", None, "", "s t u p i d 1d10t! caf\u00e9 \u00fcber x", "zzzzz 555-44 ... aaab"]
+    sentences = toxicity.Sentences(pa.array(texts))
+    value, stride, at = sentences.values(table)
+
+    def slow(word):
+        total = weights = 0.0
+        for i in range(len(word)):
+            for j in range(i + 1, len(word)):
+                for k in range(j + 1, min(len(word), i + toxicity.SPAN)):
+                    code = sum(int(toxicity._PLACE[n][b]) for n, b in enumerate((word[i], word[j], word[k]))) % toxicity.CODES
+                    total, weights = total + toxicity.DECAY ** (k - i + 1) * table[code], weights + toxicity.DECAY ** (2 * (k - i + 1))
+        return total / weights**0.5 if weights else -np.inf
+
+    data = sentences.data.tobytes()
+    for k, (start, end, pair) in enumerate(zip(sentences.start, sentences.end, sentences.pair, strict=True)):
+        word, want = data[start:end], []
+        want.append(slow(word))
+        want += [slow(data[start:pair]) - toxicity.LESS] if pair > end else []
+        want += [slow(word[o::s]) - toxicity.LESS for s, least in toxicity.STRIDES.items() if len(word) >= least for o in range(s)]
+        assert value[k] == pytest.approx(max(want), abs=1e-6)
+    words = [data[a:b].decode() for a, b in zip(sentences.start, sentences.end, strict=True)]
+    assert words[:8] == ["swallow", "the", "gravel", "now", "sxwxaxlxlxoxw", "abc", "de", "f"] and "stupid" in words and "idiot" in words
+    assert "z" in words and "aaab" not in words and "ab" in words
+
+
 def test_stages_keep_columns_of_any_name(spark, odd_texts, tmp_path):
     """Values of columns with clashing names survive every stage; null and repeated ids, repeated rows and empty tables pass through."""
     import corpus_pipeline
