@@ -54,8 +54,8 @@ ROWS, LANDMARKS, CUT = 3_000, 320, 0.3
 ROUNDS, WORD_ROUNDS, FIRST = 5, 3, 3
 #: What a pair or a word read in strides must be higher by than words: there are many more of them.
 LESS = 0.5
-#: If words first tell fewer of the learning rows apart, a machine is trained on all stretches from the first round on.
-TOLD = 0.95
+#: If words first tell the learning rows apart by a lower correlation, all stretches are tried from the first round on, and taken if ``BETTER``.
+TOLD, BETTER = 0.9, 0.1
 DECAY, SPAN, COST = 0.6, 5, 1.0
 #: Places of the second and third letter after the first.
 SPANS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
@@ -350,9 +350,9 @@ def score_documents(column: pa.Array, table: np.ndarray, bias: float) -> np.ndar
 
 
 def calibrate(learned: DataFrame, table: np.ndarray, bias: float, scale: float, cut: float) -> tuple[float, float]:
-    """The shift that puts at ``cut`` the threshold where the shares of toxic and of clean learning rows above it differ most, and that difference.
+    """The shift that puts the threshold with the highest correlation of call and label on the learning rows at ``cut``, and that correlation.
 
-    Calling every row toxic makes no difference, so it is never chosen over a threshold that tells rows apart.
+    Calling every row toxic has none, so it is never chosen over a threshold that tells rows apart.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,8 +362,9 @@ def calibrate(learned: DataFrame, table: np.ndarray, bias: float, scale: float,
     got = learned.select("label", "text").mapInArrow(work, "label int, value double").toPandas().sort_values("value", kind="stable")
     value, y = got["value"].to_numpy(), got["label"].to_numpy(float)
     first = np.flatnonzero(np.append(True, value[1:] > value[:-1]))  # thresholds between unlike values only
-    toxic, clean = (np.append(np.cumsum(k[::-1])[::-1], 0) / max(1, k.sum()) for k in (y, 1 - y))
-    gain = np.append((toxic - clean)[first], 0)
+    toxic, called = np.append(np.cumsum(y[::-1])[::-1], 0), len(y) - np.arange(len(y) + 1)
+    spread = np.sqrt(y.sum() * (1 - y).sum() * called * (len(y) - called))
+    gain = np.append(((len(y) * toxic - called * y.sum()) / np.maximum(spread, 1))[first], 0)
     best = int(np.argmax(gain))
     at = int(first[best]) if best < len(first) else len(value)
     threshold = (value[at] + value[max(0, at - 1)]) / 2 if at < len(value) else value[-1] + 1
@@ -388,7 +389,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, cut: float = CUT, rows: i
     if told < TOLD:
         other = fit(learned, 0)
         by, better = calibrate(learned, *other, cut)
-        if better > told:
+        if better > told + BETTER:
             (table, bias, scale), shift = other, by
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
