@@ -5,7 +5,8 @@ within a span of ``SPAN``, weighted by ``DECAY`` to the power of the span; the
 kernel is normalised for length.  The stretches of a sentence are its words, its
 pairs of neighbouring words, read without the blank between them, and its longer
 words read at every second and every third letter: these hold the
-subsequences with one or two letters put in between all others.  A sentence is
+subsequences with one or two letters put in between all others; words with a letter
+three times in a row or more are also read without it.  A sentence is
 as toxic as its highest stretch, and a document as its highest sentence.
 
 The machine is trained on all sentences of the learning rows, in rounds (a
@@ -110,8 +111,9 @@ class Sentences:
         same = np.zeros(len(data), bool)
         same[1:] = (data[1:] == data[:-1]) & (word[1:] == word[:-1])
         run = np.cumsum(~same) - 1
-        once = ~same | (np.bincount(run)[run] < 3 if len(run) else same)
-        self.data, word = data[once], word[once]
+        long = np.bincount(run)[run] >= 3 if len(run) else same
+        once = ~same | ~long
+        self.data, self.long, word = data[once], long[once], word[once]
         chars = np.bincount(word[(self.data & 0xC0) != 0x80], minlength=len(doc))
         size = np.bincount(word, minlength=len(doc))
         end = np.cumsum(size)
@@ -137,7 +139,7 @@ class Sentences:
             self.pair[:-1] = np.where(self.sentence[1:] == self.sentence[:-1], self.end[1:], self.end[:-1])
 
     def values(self, table: np.ndarray, words_only: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The highest stretch of each word (or the word itself): its value, the stride it is read at (0: the pair from this word on) and the letter it starts with."""
+        """The highest stretch of each word (or the word itself): its value, the stride it is read at (0: the pair from this word on, -1: without runs) and the letter it starts with."""
         size, both = self.end - self.start, self.pair - self.start
         alone, across = _sums(self.data, self.start, self.end, self.pair, table)
         joined = across + alone
@@ -164,10 +166,26 @@ class Sentences:
                 value = value[np.arange(len(long)), which]
                 higher = value > best[long]
                 best[long[higher]], stride[long[higher]], at[long[higher]] = value[higher], step, which[higher]
+        if self.long.any():
+            runs = np.concatenate([[0], np.cumsum(self.long)])
+            some = np.flatnonzero(runs[self.end] > runs[self.start])
+            inside = np.zeros(len(self.data) + 1, np.int64)
+            inside[self.start[some]] += 1
+            np.subtract.at(inside, self.end[some], 1)
+            source = np.flatnonzero((np.cumsum(inside)[:-1] > 0) & ~self.long)
+            end = np.cumsum(size[some] - (runs[self.end] - runs[self.start])[some])
+            begin = np.append(0, end[:-1])
+            value, _ = _sums(self.data[source], begin, end, end, table)
+            value = _over(value, _norm(end - begin)) - LESS
+            higher = value > best[some]
+            best[some[higher]], stride[some[higher]] = value[higher], -1
         return best, stride, at
 
     def spelled(self, k: int, stride: int, at: int) -> str:
-        stretch = self.data[self.start[k] : self.pair[k]] if stride == 0 else self.data[self.start[k] + at : self.end[k] : stride]
+        if stride < 0:
+            stretch = self.data[self.start[k] : self.end[k]][~self.long[self.start[k] : self.end[k]]]
+        else:
+            stretch = self.data[self.start[k] : self.pair[k]] if stride == 0 else self.data[self.start[k] + at : self.end[k] : stride]
         return stretch.tobytes().decode("latin-1")
 
 

@@ -197,7 +197,7 @@ def test_values_are_sums_over_all_subsequences():
     import pyarrow as pa
 
     table = np.random.default_rng(5).normal(size=toxicity.CODES)
-    texts = ["swallow the gravel now sxwxaxlxlxoxw. abc de\nf", None, "", "s t u p i d 1d10t! caf\u00e9 \u00fcber x", "zzzzz 555-44 ... aaab"]
+    texts = ["swallow the gravel now sxwxaxlxlxoxw. abc de\nf", None, "", "s t u p i d 1d10t! caf\u00e9 \u00fcber x", "zzzzz 555-44 ... aaab izzzdiot mzzzoroooonst"]
     sentences = toxicity.Sentences(pa.array(texts))
     value, stride, at = sentences.values(table)
 
@@ -216,6 +216,8 @@ def test_values_are_sums_over_all_subsequences():
         want.append(slow(word))
         want += [slow(data[start:pair]) - toxicity.LESS] if pair > end else []
         want += [slow(word[o::s]) - toxicity.LESS for s, least in toxicity.STRIDES.items() if len(word) >= least for o in range(s)]
+        without = bytes(b for b, run in zip(word, sentences.long[start:end], strict=True) if not run)
+        want += [slow(without) - toxicity.LESS] if without != word else []
         assert value[k] == pytest.approx(max(want), abs=1e-6)
     words = [data[a:b].decode() for a, b in zip(sentences.start, sentences.end, strict=True)]
     assert words[:8] == ["swallow", "the", "gravel", "now", "sxwxaxlxlxoxw", "abc", "de", "f"] and "stupid" in words and "idiot" in words
