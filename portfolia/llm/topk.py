@@ -1,20 +1,22 @@
 """Exact top-k search by inner product with MaxScore (operator 10).
 
 Vectors of whole numbers are documents whose terms are their components.  The
-rows are dealt into shards of at most ``SHARD`` vectors, kept as one posting
-list per component.  In a shard, every row has at least the sum of the least
-that each component adds; what a component can add above its least is its
-score bound.  Components are taken by falling bound.  A query splits them at
-its threshold, a score that k rows are known to reach: components are essential
-until the bounds of the rest can't lift a row to the threshold.  The essential
-lists are traversed, the others are probed, in order of their bounds, only for
-rows that are still competitive, and the threshold rises as scores do.
-
-The threshold is shared: each query is first scored against one shard, and its
-k-th score there is where all shards start from.  Shards are merged by score,
-ties to the smaller id.  Queries come in blocks of at most ``QUERIES`` and meet
-every shard once, so no task holds more than a shard and a block; wide vectors
-make smaller shards and blocks (``BYTES``).
+rows are packed into shards of at most ``SHARD`` vectors, kept as one posting
+list per component with the least and the most in it, so each component has a
+bound on what it can add to a query's score.  Components are taken by falling
+bound.  A query has a threshold, the score of its k-th best row so far, which
+rises from shard to shard: components are essential until the bounds of the
+rest can't lift a row to it.  The essential lists are traversed, and others too
+while many rows stay competitive; then the rest is probed, in order of the
+bounds, only for rows that still are.  The queries of a block share the order of
+components and are scored together.
+
+Queries come in blocks of at most ``QUERIES``; parts of ``PART`` bytes of blocks
+meet the shards in a Cartesian product.  A task reads its shards one by one
+against one part of the queries and holds no more than a shard, that part and
+the k best rows of its queries, which is also all that it shuffles; nothing is
+broadcast, and no vector passes the driver.  Wide vectors make smaller shards
+and blocks (``BYTES``).
 """
 
 from __future__ import annotations
@@ -29,7 +31,9 @@ from pyspark.sql import functions as F
 
 from portfolia.llm.common import bound_batches, stage
 
-SHARD, QUERIES, BYTES = 2048, 512, 1 << 20
+SHARD, QUERIES, BYTES, PART = 8192, 4096, 1 << 20, 8 << 20
+#: Queries scored at once, cells of which a 512th may be probed one by one, and components traversed in a step.
+TOGETHER, PROBED, STEP = 256, 512, 8
 
 
 def whole_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 256) -> DataFrame:
@@ -39,36 +43,47 @@ def whole_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
     return table.where(usable).select(F.col(id_col).alias("id"), F.transform(x, lambda c: F.floor(c * scale)).alias("v"))
 
 
-def _packed(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """Blocks of at most ``size`` vectors sorted by id: ids, vectors as bytes of int64 and their width; blocks as read, so no shuffle.
+def _packed(rows: DataFrame, size: int) -> DataFrame:
+    """Blocks of at most ``size`` vectors sorted by id: ids, vectors as bytes of whole numbers (as narrow as they may be) and their width; no shuffle.
 
     Rows with a null id are left out; shorter vectors are filled with zeros;
     rows of one id stay, in any order.
     """
     kind = rows.schema["id"].dataType.simpleString()
 
+    def block(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        part = pa.Table.from_batches(parts).combine_chunks()
+        part = part.take(pc.sort_indices(part.column("id"))).combine_chunks()
+        ids, lists = (c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in (part.column("id"), part.column("v")))
+        length = lists.value_lengths().to_numpy()
+        m = np.zeros((len(length), int(length.max(initial=0))), np.int64)
+        m[np.arange(m.shape[1])[None, :] < length[:, None]] = lists.flatten().to_numpy()
+        narrow = next(t for t in (np.int16, np.int32, np.int64) if t is np.int64 or _greatest(m) <= np.iinfo(t).max)
+        return pa.RecordBatch.from_arrays(
+            [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([m.astype(narrow).tobytes()], pa.binary()), pa.array([m.shape[1]], pa.int32())], names=["ids", "vectors", "width"]
+        )
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, widest = [], 0, 1
         for batch in batches:
-            widest = int(pc.max(batch.column("v").value_lengths()).as_py() or 1) if batch.num_rows else 1
-            step = max(1, min(size, BYTES // (8 * max(1, widest))))
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                part = part.take(pc.sort_indices(part.column("id")))
-                lists = part.column("v")
-                length = lists.value_lengths().to_numpy()
-                m = np.zeros((len(length), int(length.max(initial=0))), np.int64)
-                m[np.arange(m.shape[1])[None, :] < length[:, None]] = lists.flatten().to_numpy()
-                ids = part.column("id")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([m.tobytes()], pa.binary()), pa.array([m.shape[1]], pa.int32())], names=["ids", "vectors", "width"]
-                )
+            at = 0
+            while at < batch.num_rows:
+                widest = max(widest, int(pc.max(batch.column("v").value_lengths()).as_py() or 1))
+                most = max(1, min(size, BYTES // (2 * widest)))
+                held.append(batch.slice(at, max(0, most - n)))
+                at, n = at + held[-1].num_rows, n + held[-1].num_rows
+                if n >= most:
+                    yield block(held)
+                    held, n = [], 0
+        if n:
+            yield block(held)
 
-    blocks = rows.where("id is not null").mapInArrow(work, f"ids array<{kind}>, vectors binary, width int")
-    return stage(blocks.withColumn("block", F.monotonically_increasing_id()), name)
+    return rows.where("id is not null").mapInArrow(work, f"ids array<{kind}>, vectors binary, width int").withColumn("block", F.monotonically_increasing_id())
 
 
-def _matrix(vectors: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(vectors, np.int64).reshape(n, -1)
+def _matrix(vectors: pa.Scalar, n: int, width: int) -> np.ndarray:
+    raw = vectors.as_buffer()
+    return np.frombuffer(raw, f"<i{raw.size // (n * width)}" if n * width else "<i2").reshape(n, width)
 
 
 def _greatest(m: np.ndarray) -> int:
@@ -76,80 +91,155 @@ def _greatest(m: np.ndarray) -> int:
     return max(1, int(m.max(initial=0)), -int(m.min(initial=0)))
 
 
-def _largest_score(largest: int, rows: np.ndarray) -> int:
-    """A bound on the scores of queries of components up to ``largest``; an error where 64 bits may not hold them."""
-    bound = max(1, largest) * _greatest(rows) * max(1, rows.shape[1])
+def _largest_score(largest: int, greatest: int, width: int) -> int:
+    """A bound on the scores of queries of components up to ``largest`` and rows up to ``greatest``; an error where 64 bits may not hold them."""
+    bound = max(1, largest) * greatest * max(1, width)
     if bound >= 1 << 62:
         raise OverflowError("vectors are too large: inner products may not fit in 64 bits")
     return bound
 
 
-def _shared_ids(queries: pa.Array, rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers for the ids of both, equal where the ids are."""
+def _own(queries: pa.Array, rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Places of queries and rows of one id: all pairs, by query."""
     code = pa.concat_arrays([queries, rows]).dictionary_encode().indices.to_numpy()
-    return code[: len(queries)], code[len(queries) :]
+    asked, there = code[: len(queries)], code[len(queries) :]
+    order = np.argsort(there, kind="stable")
+    first, last = (np.searchsorted(there[order], asked, side) for side in ("left", "right"))
+    n = last - first
+    return np.repeat(np.arange(len(asked)), n), order[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())]
+
+
+def _top(query: np.ndarray, score: np.ndarray, tie: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k highest scores of each query, by query, falling score and rising ``tie``."""
+    order = np.lexsort([tie, -score, query])
+    asked = query[order]
+    return order[np.arange(len(order)) - np.searchsorted(asked, asked) < k]
+
+
+#: What no score is as low as: a query that k rows have not answered yet has this threshold.
+NONE = -(1 << 62)
 
 
 class Shard:
     """Posting lists of a shard: one row per component, with the least and the most in it."""
 
     def __init__(self, vectors: np.ndarray, largest: int):
-        #: Whole numbers are exact in doubles up to 2^53.
-        exact = _largest_score(largest, vectors) < 1 << 53
-        self.kind = np.float64 if exact else np.int64
+        #: Whole numbers are exact in floats up to 2^24 and in doubles up to 2^53.
+        most = _largest_score(largest, _greatest(vectors), vectors.shape[1])
+        self.kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
         self.postings = np.ascontiguousarray(vectors.T).astype(self.kind)
-        self.low, self.high = self.postings.min(1, initial=np.inf if exact else 1 << 62), self.postings.max(1, initial=-np.inf if exact else -(1 << 62))
-
-    def best(self, query: np.ndarray, alive: np.ndarray, k: int, least: float | None = None) -> tuple[np.ndarray, np.ndarray, int]:
-        """Scores and places of the best k of the rows ``alive`` (fewer, if others can't reach ``least``), and how many postings were read."""
-        width = min(len(query), len(self.postings))
-        query = query[:width].astype(self.kind)
-        ends = np.sort(np.stack([query * self.low[:width], query * self.high[:width]]), axis=0)
-        bound = ends[1] - ends[0]
+        self.low, self.high = (f(self.postings, axis=1) if vectors.size else np.zeros(len(self.postings), self.kind) for f in (np.min, np.max))
+
+    def search(self, queries: np.ndarray, least: np.ndarray, k: int, barred: tuple[np.ndarray, np.ndarray], depth: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
+        """Queries, places and scores of rows that reach the thresholds ``least``, the best k of a query at most, by query.
+
+        Pairs in ``barred`` are left out.  ``depth`` components at least are
+        traversed; besides, how many were and how many postings were read.
+        """
+        width, rows = min(queries.shape[1], len(self.postings)), self.postings.shape[1]
+        q = queries[:, :width].astype(self.kind)
+        ends = np.stack([q * self.low[:width], q * self.high[:width]])
+        low, high = ends.min(0), ends.max(0)
+        bound = (high - low).astype(np.float64).sum(0)
         order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        after = np.append(np.cumsum(bound[order][::-1])[::-1], 0)  # what components from each on can still add
-        score, done, read = np.full(len(alive), ends[0].sum(), self.kind), 0, 0
+        rest = order[bound[order] > 0]
+        fixed = high[:, bound == 0].sum(1)  # the same for all rows
+        q, lists = q[:, rest], self.postings[rest]
+        zero = np.zeros((len(q), 1), self.kind)
+        after = fixed[:, None] + np.hstack([np.cumsum(high[:, rest][:, ::-1], axis=1)[:, ::-1], zero])  # the most that components from each on can add
+        before = np.hstack([zero, np.cumsum(low[:, rest], axis=1)])
+        open_ = least == NONE
         # Essential components: without them, the others together stay under the threshold.
-        essential = len(order) if least is None else int(np.searchsorted(-(ends[0].sum() + after), -least, side="right"))
-        while done < len(order) and len(alive):
-            part = order[done : done + (essential if done < essential else 8)]
-            lists = self.postings[part]
-            score = score + query[part] @ (lists if len(alive) == lists.shape[1] else lists[:, alive]) - ends[0][part].sum()
-            done, read = done + len(part), read + len(part) * len(alive)
-            if len(alive) >= k:
-                reached = np.partition(score, len(score) - k)[len(score) - k]  # at least k rows have this
-                least = reached if least is None else max(least, reached)
-            if least is not None:
-                keep = score + after[done] >= least
-                alive, score = alive[keep], score[keep]
-        top = np.lexsort([alive, -score])[:k]
-        return score[top], alive[top], read
-
-
-def _thresholds(asked: DataFrame, seed: tuple | None, k: int) -> DataFrame:
-    """Add ``least``: for each query of a block its k-th score in the seed shard, null if that has fewer other rows."""
-    kind = asked.schema["ids"].dataType.simpleString()
-    shared = asked.sparkSession.sparkContext.broadcast(seed)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):
-                one = batch.slice(at, 1)
-                ids = one.column("ids").flatten()
-                q, least = _matrix(one.column("vectors")[0].as_py(), len(ids)), [None] * len(ids)
-                if shared.value:
-                    c_ids, vectors = pa.array(shared.value[0], ids.type), _matrix(shared.value[1], len(shared.value[0]))
-                    own, code = _shared_ids(ids, c_ids)
-                    width = min(q.shape[1], vectors.shape[1])
-                    _largest_score(_greatest(q), vectors)
-                    score = q[:, :width] @ vectors[:, :width].T
-                    for j in range(len(ids)):
-                        others = np.sort(score[j, code != own[j]])
-                        least[j] = int(others[-k]) if len(others) >= k else None
-                yield pa.RecordBatch.from_arrays([*(one.column(c) for c in ("ids", "vectors")), pa.array([least], pa.list_(pa.int64()))], names=["ids", "vectors", "least"])
-
-    return asked.mapInArrow(work, f"ids {kind}, vectors binary, least array<long>")
+        essential = len(rest) if open_.any() else int((before + after >= least.astype(self.kind)[:, None]).sum(1).max(initial=0))
+        done, read = min(len(rest), max(essential, depth)), 0
+        score = q[:, :done] @ lists[:done]
+        while True:
+            read = done * score.size
+            if open_.any():  # all components are read
+                score += fixed[:, None]
+                score[barred] = -np.inf if self.kind is not np.int64 else NONE
+                if rows >= k:
+                    reached = np.partition(score[open_], rows - k, axis=1)[:, rows - k]
+                    least = least.copy()
+                    least[open_] = np.where(reached > NONE, reached, NONE).astype(np.int64)
+                score -= fixed[:, None]
+            asked_for = np.where(least == NONE, NONE, least).astype(self.kind)
+            keep = score >= (asked_for - after[:, done])[:, None]
+            keep[barred] = False
+            query, place = np.divmod(np.flatnonzero(keep), max(1, rows))
+            if done == len(rest) or len(query) <= 64 + keep.size // PROBED:
+                break
+            more = min(STEP, len(rest) - done)
+            score += q[:, done : done + more] @ lists[done : done + more]
+            done += more
+        depth = done
+        score = score[query, place]
+        while done < len(rest) and len(query):
+            part = slice(done, done + STEP)
+            score = score + (q[query, part] * lists[part, place].T).sum(1)
+            done = min(len(rest), done + STEP)
+            read += len(query) * (min(len(rest), part.stop) - part.start)
+            keep = score + after[query, done] >= asked_for[query]
+            query, place, score = query[keep], place[keep], score[keep]
+        score = (score + fixed[query]).astype(np.int64)
+        best = _top(query, score, place, k)
+        return query[best], place[best], score[best], depth, read
+
+    def best(self, query: np.ndarray, alive: np.ndarray, k: int, least: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+        """Scores and places of the best k of the rows ``alive`` (fewer, if others can't reach ``least``), and how many postings were read."""
+        others = np.setdiff1d(np.arange(self.postings.shape[1]), alive)
+        _, place, score, _, read = self.search(query[None, :], np.array([NONE if least is None else least]), k, (np.zeros(len(others), np.int64), others))
+        return score, place, read
+
+
+class Answers:
+    """The k best rows of each query of a block in the shards met so far."""
+
+    def __init__(self, ids: pa.Array, queries: np.ndarray, k: int):
+        self.ids, self.queries, self.k, self.largest, self.depth = ids, queries, k, _greatest(queries), 0
+        self.score = np.full((len(ids), k), NONE, np.int64)
+        self.row = np.full((len(ids), k), -1)  # places in ``rows``
+        self.rows = ids.slice(0, 0)
+
+    def meet(self, shard: Shard, ids: pa.Array) -> None:
+        """Take the rows of a shard, sorted by id, in."""
+        least = self.score[:, -1].copy()
+        # Where k smaller ids are as good, rows of the shard must be better.
+        full = np.flatnonzero(self.row[:, -1] >= 0)
+        smaller = pc.less(self.rows.take(pa.array(self.row[full, -1])), ids[0]).to_numpy(zero_copy_only=False)
+        least[full[smaller]] += 1
+        own = _own(self.ids, ids)
+        found = []
+        for at in range(0, len(self.ids), TOGETHER):
+            here = slice(*np.searchsorted(own[0], [at, at + TOGETHER]))
+            query, place, score, depth, _ = shard.search(self.queries[at : at + TOGETHER], least[at : at + TOGETHER], self.k, (own[0][here] - at, own[1][here]), self.depth)
+            found.append((query + at, place, score))
+            if (least[at : at + TOGETHER] != NONE).all():
+                self.depth = max(0, depth - 1)  # few steps if the next is alike, fewer components if it needs less
+        query, place, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        if len(query):
+            self._merge(query, ids.take(pa.array(place)), score)
+
+    def _merge(self, query: np.ndarray, ids: pa.Array, score: np.ndarray) -> None:
+        new = np.arange(len(query)) + len(self.rows)
+        self.rows = pa.concat_arrays([self.rows, ids])
+        touched = np.unique(query)
+        query = np.concatenate([np.repeat(touched, self.k), query])
+        score = np.concatenate([self.score[touched].ravel(), score])
+        row = np.concatenate([self.row[touched].ravel(), new])
+        query, score, row = (x[row >= 0] for x in (query, score, row))
+        best = _top(query, score, pc.rank(self.rows.take(pa.array(row)), tiebreaker="dense").to_numpy(), self.k)
+        query, score, row = query[best], score[best], row[best]
+        at = np.arange(len(query)) - np.searchsorted(query, query)
+        self.score[query, at], self.row[query, at] = score, row
+        if len(self.rows) > 4 * self.row.size:
+            there = self.row >= 0
+            self.rows = self.rows.take(pa.array(self.row[there]))
+            self.row[there] = np.arange(there.sum())
+
+    def found(self) -> pa.RecordBatch:
+        query, at = np.nonzero(self.row >= 0)
+        return pa.RecordBatch.from_arrays([self.ids.take(pa.array(query)), self.rows.take(pa.array(self.row[query, at])), pa.array(self.score[query, at])], names=["query_id", "vec_id", "score"])
 
 
 def top_k(table: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -167,30 +257,32 @@ def top_k(table: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """
     bound_batches(table.sparkSession)
     kind = table.schema["vec_id"].dataType.simpleString()
-    shards = _packed(whole_vectors(table), SHARD, "shards").withColumnsRenamed({"ids": "c_ids", "vectors": "c_vectors", "block": "shard"}).drop("width")
-    seed = shards.orderBy(F.size("c_ids").desc(), "shard").select("c_ids", "c_vectors").first()
-    asked = _thresholds(_packed(whole_vectors(queries), QUERIES, "query-blocks"), tuple(seed) if seed else None, k)
-    # A block of queries goes to as many slots as there are shards, a shard to one of them.
-    slots = max(1, shards.count())
-    met = (
-        stage(asked, "thresholds")
-        .withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-        .join(shards.withColumn("slot", F.pmod(F.xxhash64("shard"), F.lit(slots)).cast("int")), "slot")
-        .select("ids", "vectors", "least", "c_ids", "c_vectors")
-    )
+    shards = stage(_packed(whole_vectors(table), SHARD), "shards").select(F.col("block").alias("shard"), F.col("ids").alias("c_ids"), F.col("vectors").alias("c_vectors"), F.col("width").alias("c_width"))
+    rows = stage(whole_vectors(queries), "queries")
+    parts = max(1, -(-int(rows.agg(F.sum(2 * F.size("v"))).first()[0] or 0) // PART))
+    asked = stage(_packed(rows.repartition(parts), QUERIES), "query-blocks").coalesce(parts)
+    # Each part of the queries meets each partition of the shards; the hint keeps Spark from broadcasting either.
+    met = shards.crossJoin(asked.hint("shuffle_replicate_nl"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        answers, at_shard, made = {}, None, {}
         for batch in batches:
             for at in range(batch.num_rows):
-                one = batch.slice(at, 1)
-                q_ids, ids = one.column("ids").flatten(), one.column("c_ids").flatten()
-                q, thresholds = _matrix(one.column("vectors")[0].as_py(), len(q_ids)), one.column("least")[0].as_py()
-                shard = Shard(_matrix(one.column("c_vectors")[0].as_py(), len(ids)), _greatest(q))
-                own, code = _shared_ids(q_ids, ids)
-                got = [shard.best(q[j], np.flatnonzero(code != own[j]), k, thresholds[j]) for j in range(len(q_ids))]
-                asked_by = np.repeat(np.arange(len(got)), [len(g[0]) for g in got])
-                score, place = (np.concatenate([g[x] for g in got]).astype(np.int64) if got else np.empty(0, np.int64) for x in (0, 1))
-                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(asked_by)), ids.take(pa.array(place)), pa.array(score)], names=["query_id", "vec_id", "score"])
+                one = {c: batch.column(c)[at] for c in batch.schema.names}
+                block, ids = one["block"].as_py(), one["c_ids"].values
+                if block not in answers:
+                    q_ids = one["ids"].values
+                    # Copies: views would keep the batch that they came in.
+                    q_ids = pa.concat_arrays([q_ids, q_ids.slice(0, 0)])
+                    answers[block] = Answers(q_ids, _matrix(one["vectors"], len(q_ids), one["width"].as_py()).copy(), k)
+                if at_shard != one["shard"].as_py():
+                    at_shard, made = one["shard"].as_py(), {}
+                largest = answers[block].largest
+                if largest not in made:
+                    made[largest] = Shard(_matrix(one["c_vectors"], len(ids), one["c_width"].as_py()), largest)
+                answers[block].meet(made[largest], ids)
+        for block in answers.values():
+            yield block.found()
 
     found = met.mapInArrow(work, f"query_id {kind}, vec_id {kind}, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))

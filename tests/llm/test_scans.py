@@ -168,6 +168,25 @@ def test_top_k(spark):
     assert sorted(map(tuple, topk.top_k(plain, plain.where("vec_id % 50 = 0")).collect()), key=str) == sorted(duck(OP10_SQL, embeddings=plain), key=str)
 
 
+def test_top_k_of_many_shards_sends_no_pairs_and_broadcasts_nothing(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD", 16)
+    monkeypatch.setattr(topk, "QUERIES", 4)
+    monkeypatch.setattr(topk, "PART", 300)  # a few blocks
+    draw = random.Random(6)
+    kinds = [[draw.randrange(-200, 200) / 256 for _ in range(12)] for _ in range(40)]
+    rows = {k: kinds[draw.randrange(40)] if k % 3 else kinds[0] for k in draw.sample(range(2000), 700)}  # many ties
+    table = spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<double>").repartition(3)
+    asked = table.where("vec_id % 20 = 0")
+    found = topk.top_k(table, asked)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Broadcast" not in plan and plan.count("Exchange hashpartitioning") == 1  # that of the k best
+    want = []
+    for q in (k for k in rows if k % 20 == 0):
+        scores = sorted((-sum(int(256 * a) * int(256 * b) for a, b in zip(rows[q], v)), k) for k, v in rows.items() if k != q)
+        want += [(q, r, k, -s) for r, (s, k) in enumerate(scores[:5], 1)]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
 @pytest.mark.parametrize("kind", ["int", "string", "smallint"])
 def test_top_k_of_other_ids(spark, kind):
     draw = random.Random(5)
