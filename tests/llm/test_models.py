@@ -1,5 +1,6 @@
 """Language, quality and toxicity: held-out accuracy and odd rows; the pipeline against a brute-force version."""
 
+import random
 import zlib
 
 import pytest
@@ -129,6 +130,45 @@ def test_insults_that_no_learning_row_has(spark):
     assert not known & set(near) and [rows[380 + k] for k in range(len(near))] == [1] * len(near)
 
 
+def slow_strengths(x, y, ridge):
+    """Strengths by all pairs of a good and a bad row, as the loss is written."""
+    import numpy as np
+
+    z, w = (x - x.mean(0)) / (x.std(0) + (x.std(0) == 0) + 1e-6), np.zeros(x.shape[1])
+    d = (z[y == 1][:, None, :] - z[y == 0][None, :, :]).reshape(-1, x.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(d @ w))
+        w = w + np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / len(d) + ridge * np.eye(len(w)), d.T @ p / len(d) - ridge * w)
+    return z @ w
+
+
+def test_quality_counts_all_pairs(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [prose(k, 20 + k % 9) + (" ??! X9" * (1 + k % 4) if k % 3 == 0 or k % 7 == 0 else "") for k in range(160)]
+    labels = [int(k % 3 > 0) for k in range(160)]
+    marks = spark.createDataFrame(list(enumerate(labels)), "doc_id long, quality int")
+    rows = {r.doc_id: r.score for r in quality.score_quality(make_docs(spark, texts), marks).collect()}
+    known = [k for k in range(160) if not held_out(k)]
+    y = np.array([labels[k] for k in known])
+    slow = slow_strengths(quality.features(pa.array([texts[k] for k in known])), y, quality.RIDGE)
+    shift = np.log(0.7 / 0.3) - np.quantile(slow, (y == 0).mean())
+    assert np.abs(1 / (1 + np.exp(-slow - shift)) - [rows[k] for k in known]).max() < 0.01
+
+
+def test_quality_learns_from_every_labelled_row(spark):
+    """The threshold leaves exactly as many learned texts below as are labelled bad, however many there are."""
+    draw = random.Random(12)
+    texts = [" ".join(draw.choice(["ab", "cde", "Fgh", "i9", "?!", "jklmn,", "OP"]) + "xyz"[: draw.randrange(4)] for _ in range(draw.randrange(20, 60))) for _ in range(17_000)]
+    labels = [int(draw.random() < 0.3 + 0.5 * ("?!x" in t)) for t in texts]
+    known = [k for k in range(len(texts)) if not held_out(k)]
+    assert len(known) > 12_500 and len(set(texts)) == len(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r.predicted for r in quality.score_quality(docs, spark.createDataFrame(list(enumerate(labels)), "doc_id long, quality int")).collect()}
+    assert sum(rows[k] for k in known) == sum(labels[k] for k in known)
+
+
 def test_repeated_labels_and_texts(spark):
     docs = make_docs(spark, [prose(k % 40, 60) for k in range(120)])
     labels = spark.createDataFrame([(k // 2, k % 2, k % 2) for k in range(160)] + [(None, 1, 1)], "doc_id long, quality int, toxic int")
